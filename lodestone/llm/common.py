@@ -42,6 +42,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has few rows, else as it is.
+
+    ``df`` should be materialized and narrow; its rows are counted.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that long texts do not add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

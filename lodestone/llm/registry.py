@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
+from . import exact_dedup, mixing, packing, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_shards": sharding.op2_shards,
+        "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_packing": packing.op6_packing,
+        "op10_mix": mixing.op10_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secrets": secrets.OP1_SQL,
+        "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op10_mix": mixing.OP10_SQL,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, secrets, sharding
+from . import exact_dedup, jaccard_join, langid, media, mixing, packing, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secrets": secrets.op1_secrets,
         "op2_shards": sharding.op2_shards,
+        "op3_quality": quality.op3_quality,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_packing": packing.op6_packing,
+        "op7_language": langid.op7_language,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+        "op9_media": media.op9_media,
         "op10_mix": mixing.op10_mix,
     }
 

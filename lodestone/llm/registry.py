@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, langid, media, mixing, packing, quality, secrets, sharding
+from . import exact_dedup, jaccard_join, langid, licenses, media, mixing, packing, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_secrets": secrets.op1_secrets,
         "op2_shards": sharding.op2_shards,
         "op3_quality": quality.op3_quality,
+        "op4_licenses": licenses.op4_licenses,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_packing": packing.op6_packing,
         "op7_language": langid.op7_language,

@@ -39,7 +39,7 @@ from .common import arrow_rows, fold, table, whole
 FOLDS, HELD = 3, 1
 SAMPLE, SAMPLE_CHARS, SAMPLE_WORDS = 300, 20_000, 20_000
 LANGUAGES = 500
-LONGEST, PIECE = 32, 12
+LONGEST, PIECE = 32, 8
 UNKNOWN = "und"
 _MEMORY = 400_000
 
@@ -60,6 +60,48 @@ def pieces(path: str) -> dict[bytes, int]:
     return {p: i for i, p in enumerate(kept)}
 
 
+class Places:
+    """Numbers of pieces by their bytes, for whole arrays at once.
+
+    Two hash tables hold a piece at one of two places; seeds are tried until
+    all have one.
+    """
+
+    def __init__(self, known: dict[bytes, int]):
+        self.count = len(known)
+        sizes = np.array([len(p) for p in known], np.uint64)
+        keys = np.array([int.from_bytes(p, "little") for p in known], np.uint64)
+        self.keys, self.sizes = np.append(keys, np.uint64(0)), np.append(sizes, np.uint64(0))
+        seed = 0
+        while True:
+            seed += 1
+            self.factors = np.random.default_rng(seed).integers(0, 1 << 63, 2).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+            self.tables = [np.full(1 << 20, self.count, np.int32) for _ in range(2)]
+            left = np.arange(self.count)
+            for k in range(2):
+                at = self._hash(keys[left], sizes[left], k)
+                self.tables[k][at] = left
+                left = left[self.tables[k][at] != left]
+            if not len(left):
+                return
+
+    def _hash(self, keys: np.ndarray, size: np.ndarray | int, k: int) -> np.ndarray:
+        return (((keys ^ (keys >> np.uint64(29))) + np.uint64(0x9E3779B97F4A7C15) * np.asarray(size, np.uint64)) * self.factors[k]) >> np.uint64(44)
+
+    def of(self, keys: np.ndarray, size: int) -> np.ndarray:
+        """The piece at each key of ``size`` bytes, or the number of pieces if none is."""
+        a = self.tables[0][self._hash(keys, size, 0)]
+        b = self.tables[1][self._hash(keys, size, 1)]
+        is_a = (self.keys[a] == keys) & (self.sizes[a] == size)
+        is_b = (self.keys[b] == keys) & (self.sizes[b] == size)
+        return np.where(is_a, a, np.where(is_b, b, self.count))
+
+
+@lru_cache(2)
+def places(path: str) -> Places:
+    return Places(pieces(path))
+
+
 def words(text: str) -> list[bytes]:
     found = []
     for w in text.lower().split():
@@ -71,57 +113,56 @@ def words(text: str) -> list[bytes]:
     return found
 
 
-@dataclass
 class Lattice:
-    """All pieces in all words: word, place behind, length and piece, by place."""
-
-    count: int
-    sizes: np.ndarray
-    by_end: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # for each end: words, starts, pieces
+    """All pieces in all words; words of a length go together."""
+
+    def __init__(self, found: list[bytes], known: Places):
+        self.count = len(found)
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(found):
+            groups.setdefault(len(w), []).append(i)
+        self.groups = []  # length, words, and for each piece length the pieces by word and start
+        for size, members in groups.items():
+            data = np.frombuffer(b"".join([found[i] for i in members]), np.uint8).reshape(-1, size).T.astype(np.uint64)
+            keys, ids = np.zeros_like(data), []
+            for n in range(1, min(PIECE, size) + 1):
+                keys = keys[: size - n + 1] | data[n - 1 :] << np.uint64(8 * (n - 1))
+                ids.append(known.of(keys, n))
+            self.groups.append((size, np.array(members), ids))
 
     @staticmethod
-    def of(found: list[bytes], vocabulary_: dict[bytes, int]) -> Lattice:
-        get = vocabulary_.get
-        ends: list[list[int]] = [[] for _ in range(max(map(len, found), default=0) + 1)]
-        for k, w in enumerate(found):
-            for e in range(1, len(w) + 1):
-                here = ends[e]
-                for s in range(max(0, e - PIECE), e):
-                    p = get(w[s:e])
-                    if p is not None:
-                        here += (k, s, p)
-        arrays = [np.array(x, np.int64).reshape(-1, 3) for x in ends]
-        return Lattice(len(found), np.array([len(w) for w in found], np.int64), [(a[:, 0], a[:, 1], a[:, 2]) for a in arrays])
-
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """alpha: words x places x languages. ``prob`` is pieces x languages."""
-        alpha = np.zeros((self.count, len(self.by_end), prob.shape[1]))
-        alpha[:, 0] = 1
-        for e in range(1, len(self.by_end)):
-            k, s, p = self.by_end[e]
-            if len(k):
-                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                alpha[k[first], e] = np.add.reduceat(alpha[k, s] * prob[p], first)
+    def _forward(size: int, ids: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
+        """alpha: places x words x languages. ``prob`` ends with a row of zeros."""
+        alpha = np.zeros((size + 1, ids[0].shape[1], prob.shape[1]))
+        alpha[0] = 1
+        for e in range(1, size + 1):
+            for n in range(1, min(len(ids), e) + 1):
+                alpha[e] += alpha[e - n] * prob[ids[n - 1][e - n]]
         return alpha
 
     def score(self, prob: np.ndarray) -> np.ndarray:
-        """log probability of each word in each language."""
-        alpha = self.forward(prob)
-        return np.log(alpha[np.arange(self.count), self.sizes])
+        """log probability of each word in each language; ``prob`` is pieces x languages."""
+        prob = np.vstack([prob, np.zeros(prob.shape[1])])
+        out = np.zeros((self.count, prob.shape[1]))
+        for size, members, ids in self.groups:
+            out[members] = np.log(self._forward(size, ids, prob)[size])
+        return out
 
     def expected(self, prob: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected uses of each piece of one language; ``weights`` counts the words."""
-        alpha = self.forward(prob[:, None])[:, :, 0]
-        beta = np.zeros_like(alpha)
-        total = alpha[np.arange(self.count), self.sizes]
-        beta[np.arange(self.count), self.sizes] = weights / total
+        prob = np.append(prob, 0.0)
         uses = np.zeros(len(prob))
-        for e in range(len(self.by_end) - 1, 0, -1):
-            k, s, p = self.by_end[e]
-            share = prob[p] * beta[k, e]
-            uses += np.bincount(p, alpha[k, s] * share, len(prob))
-            np.add.at(beta, (k, s), share)
-        return uses
+        for size, members, ids in self.groups:
+            alpha = self._forward(size, ids, prob[:, None])[:, :, 0]
+            beta = np.zeros_like(alpha)
+            beta[size] = weights[members] / alpha[size]
+            for e in range(size, 0, -1):
+                for n in range(1, min(len(ids), e) + 1):
+                    piece = ids[n - 1][e - n]
+                    share = prob[piece] * beta[e]
+                    beta[e - n] += share
+                    uses += np.bincount(piece, alpha[e - n] * share, len(prob))
+        return uses[:-1]
 
 
 @dataclass
@@ -138,7 +179,7 @@ def fit(samples: dict[str, Counter], path: str, rounds: int = 4) -> Model:
     columns = []
     for language in sorted(samples):
         kept = sorted(samples[language].items(), key=lambda x: (-x[1], x[0]))[:SAMPLE_WORDS]
-        lattice = Lattice.of([w for w, _ in kept], known)
+        lattice = Lattice([w for w, _ in kept], places(path))
         weights = np.array([n for _, n in kept], float)
         prob = np.exp(-12.0 / sizes)
         prob /= prob.sum()
@@ -173,7 +214,7 @@ class Predictor:
     """Scores texts; remembers the words it has seen."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, pieces(model.path)
+        self.model, self.known = model, places(model.path)
         self.number: dict[bytes, int] = {}
         self.scores = np.zeros((1 << 12, len(model.languages)))
 
@@ -181,9 +222,9 @@ class Predictor:
         base = len(self.number)
         while base + len(fresh) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        for i in range(0, len(fresh), 2000):
-            part = fresh[i : i + 2000]
-            self.scores[base + i : base + i + len(part)] = Lattice.of(part, self.known).score(self.model.prob)
+        for i in range(0, len(fresh), 8192):
+            part = fresh[i : i + 8192]
+            self.scores[base + i : base + i + len(part)] = Lattice(part, self.known).score(self.model.prob)
         self.number.update(zip(fresh, range(base, base + len(fresh)), strict=True))
 
     def batch(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

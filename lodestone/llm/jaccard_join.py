@@ -12,17 +12,21 @@ of its classes, keyed by the class's content; texts that merely share a passage
 do not meet, as they would have to agree in a whole class. Sizes are levelled,
 and a document near a level's edge also goes to the level below, if a partner
 can be there. Classes in which a document is empty count only for documents
-with too few others to be sure of an agreement.
-
-*Pivots.* Each region's pivot is its document with the most company. Distances
-to it are exact. All within the threshold are of one component and need no
-comparison among themselves. A region that still has several components is
-searched by the triangle inequality: only documents whose distances to the
-pivot differ by at most the threshold can be linked. If it is small, the pairs
-within that window are compared; if not, it is parted into shells around the
-pivot, with documents replicated to the next shell, and each shell becomes a
-region with a pivot of its own, recursively. After ``ROUNDS`` rounds what is
-left is compared within its windows whatever its size, so no link is lost.
+with too few others to be sure of an agreement. The surplus of classes says how
+many regions a document shares with any linked one; with fewer it has no link.
+
+*Pivots.* Each region's pivot is its document with the most company, and all
+documents of a pivot's regions are its cell. Distances to the pivot are exact.
+All within the threshold are of one component and need no comparison among
+themselves. For the others the cell is centred on its pivot: a document becomes
+its deviation, the shingles in which it differs from the pivot, and two
+documents differ exactly where their deviations differ. By the triangle
+inequality two linked documents, one of them beyond the threshold, have
+deviations whose sizes differ little and that overlap in a known number of
+shingles, so they meet in one of the first of these in the order of their
+frequency in the cell. Each document is replicated to the sub-regions of those
+few shingles, its window, and what meets there is compared, so no link is lost
+and a cell's documents are not all compared with each other.
 
 Sets are compared as 64-bit shingle hashes, whole. Texts of equal sets, such as
 copies, are one node. A null or empty text or one without words has no shingles,
@@ -36,7 +40,7 @@ except that :func:`one_of_each` returns the rows it keeps as they came.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -47,8 +51,6 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, broadcast_if_small, materialize, table, whole
 
-#: Rows up to which a region's windows are compared at once, and rounds of pivots for larger ones.
-SMALL, ROUNDS = 64, 4
 _PART = 1 << 20
 _LEVEL_RATIO = 1.5
 U = np.uint64
@@ -69,9 +71,22 @@ class Measure:
     def linked(self, inter: Column, union: Column) -> Column:
         return inter * self.den >= union * self.num
 
-    @property
-    def reach(self) -> float:
-        return 1 - self.num / self.den
+    def window(self, total: Column) -> Column:
+        """The most elements in which linked sets of ``total`` elements in all differ."""
+        return total * (self.den - self.num) / (self.den + self.num)
+
+    def first(self, size: Column, deviation: Column, linked: Column) -> Column:
+        """How many shingles of a deviation are sure to meet those of a partner.
+
+        Let u be a set not linked with the pivot P, v a partner, d the size of a
+        deviation. As u is beyond and v within the threshold, d(u) exceeds
+        |u - v| by more than -d(v) * (den - num) / (den + num), so that more
+        than d(v) * num / (den + num) shingles are common. That bounds every v.
+        If v is itself beyond, d(v) - apart(v) or more are common as well.
+        """
+        own = deviation - F.floor(deviation * self.num / (self.num + self.den))
+        apart = F.floor(size * (self.den - self.num) / self.num)
+        return F.when(linked, own).otherwise(F.least(own, apart + 1, deviation)).cast("int")
 
 
 @lru_cache(8)
@@ -170,13 +185,13 @@ def identities(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, b, mixed(a ^ mixed(b, 7))
 
 
-def signatures(h: np.ndarray, counts: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures of each set end to end, their counts)."""
+def signatures(h: np.ndarray, counts: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures of each set end to end, their counts, how many a linked set shares at least)."""
     low, classes, partner = levels(measure)
     spread, value = mixed(h, 8) >> U(24), mixed(h, 9)
     level = np.searchsorted(low, counts, "right") - 1
     starts = np.cumsum(counts) - counts
-    found, owners = [], []
+    found, owners, least = [], [], np.full(len(counts), np.iinfo(np.int32).max)
     docs, at = np.flatnonzero(counts > 0), level[counts > 0]
     while len(docs):
         m, n = classes[at], counts[docs]
@@ -187,7 +202,9 @@ def signatures(h: np.ndarray, counts: np.ndarray, measure: Measure) -> tuple[np.
         np.add.at(content, cell, value[place])
         filled = np.bincount(cell, minlength=len(content)) > 0
         differ = np.minimum(n, low[np.minimum(at + 1, len(low) - 1)] - 1) * (measure.den - measure.num) // measure.num
-        unsure = np.add.reduceat(filled, base) <= differ
+        sure = np.add.reduceat(filled, base, dtype=np.int64) - differ
+        unsure = sure <= 0
+        least[docs] = np.minimum(least[docs], np.maximum(sure, 1))
         emit = filled | np.repeat(unsure, m)
         number = np.arange(len(content)) - np.repeat(base, m)
         tag = mixed((np.repeat(at, m) << 40 | number).astype(np.uint64), 10)
@@ -197,9 +214,9 @@ def signatures(h: np.ndarray, counts: np.ndarray, measure: Measure) -> tuple[np.
         down = (at > 0) & (n <= partner[np.maximum(at - 1, 0)])
         docs, at = docs[down], at[down] - 1
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64), least
     owner, sig = np.concatenate(owners), np.concatenate(found)
-    return sig[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(counts))
+    return sig[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(counts)), least
 
 
 def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -224,9 +241,9 @@ def _listed(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def describe(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
-    """id, h, n_shingles, key, node, sigs of each row, written to the shared folder.
+    """id, h, n_shingles, key, node, least, sigs of each row, written to the shared folder.
 
-    A task gives the signatures of equal sets once; those of empty sets are null.
+    A task gives the signatures of equal sets once, else none.
     """
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("h"), whole(text_col).cast("binary").alias("data"))
 
@@ -244,14 +261,16 @@ def describe(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> Dat
                     if counts[i] and x not in seen:
                         seen.add(x)
                         fresh[i] = True
-                sig, many = signatures(h[np.repeat(fresh, counts)], counts[fresh], measure)
+                sig, many, few = signatures(h[np.repeat(fresh, counts)], counts[fresh], measure)
                 own = np.zeros(len(counts), np.int64)
                 own[fresh] = many
-                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(_key(a, b, counts), pa.binary()), pa.array(node.view(np.int64)), _listed(sig, own)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n_shingles", "key", "node", "sigs"])
+                least = np.zeros(len(counts), np.int32)
+                least[fresh] = few
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(_key(a, b, counts), pa.binary()), pa.array(node.view(np.int64)), pa.array(least), _listed(sig, own)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n_shingles", "key", "node", "least", "sigs"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(run, f"id {kind}, h long, n_shingles long, key binary, node long, sigs array<long>"), "shingles")
+    return materialize(rows.mapInArrow(run, f"id {kind}, h long, n_shingles long, key binary, node long, least int, sigs array<long>"), "shingles")
 
 
 def gather_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
@@ -277,13 +296,12 @@ def gather_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, me
     return sets if sets.count() == sets.select("key").distinct().count() else materialize(sets.dropDuplicates(["key"]), "sets")
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The exact overlap of each (u, v) of ``pairs``; u and v are nodes."""
+def paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of ``pairs``, which are nodes, with the keys, sizes and items of both."""
     left = sets.select(F.col("node").alias("u"), F.col("key").alias("ku"), F.col("n").alias("nu"), F.col("items").alias("iu"))
     right = sets.select(F.col("node").alias("v"), F.col("key").alias("kv"), F.col("n").alias("nv"), F.col("items").alias("iv"))
-    both = pairs.join(left, "u").join(right, "v")
     inter = F.size(F.array_intersect("iu", "iv")).cast("long")
-    return both.select("u", "v", "ku", "kv", inter.alias("inter"), (F.col("nu") + F.col("nv")).alias("total"))
+    return pairs.join(left, "u").join(right, "v").withColumn("inter", inter)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -315,55 +333,52 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("key"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("label")).distinct())
 
 
-def _pivots(rows: DataFrame, rank: Callable[[str], Column]) -> DataFrame:
-    """(region, pivot): the node of each region that ranks highest."""
-    best = rows.groupBy("region").agg(F.max(F.struct(rank("node").alias("r"), F.col("node"))).alias("best"))
-    return best.select("region", F.col("best.node").alias("pivot"))
+def shared_regions(listed: DataFrame) -> DataFrame:
+    """The rows of ``listed`` in regions that two nodes or more are in."""
+    shared = listed.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("region")
+    return listed.join(shared, "region")
 
 
 def links(base: DataFrame, df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
     """(key, label) of every set that is linked with a different one."""
-    listed = base.where(F.col("sigs").isNotNull()).select("node", F.explode("sigs").alias("region"))
-    shared = listed.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("region")
-    regions = materialize(listed.join(shared, "region").distinct(), "regions")
+    regions = shared_regions(base.select("node", "least", F.explode("sigs").alias("region")))
+    regions = materialize(regions.distinct(), "regions")
+    # a set that shares too few regions has no link; without it, others may share too few
+    for _ in range(2):
+        enough = regions.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.max("least").alias("least")).where("many >= least")
+        regions = materialize(shared_regions(regions.join(enough.select("node"), "node", "left_semi")), "regions")
     company = regions.groupBy("node").agg(F.count(F.lit(1)).alias("many"))
     wanted = base.join(company.select("node"), "node", "left_semi").where("n_shingles > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("node").alias("node"))
     nodes = materialize(wanted, "nodes")
     sets = gather_sets(df, nodes.select("id", "key"), id_col, text_col, measure)
 
-    seen = regions.join(company, "node")
-    pivots = seen.groupBy("region").agg(F.max(F.struct("many", "node")).alias("best")).select("region", F.col("best.node").alias("pivot"))
-    rows = materialize(regions.join(pivots, "region"), "rows")  # node, region, pivot
-    known = materialize(compare(rows.where("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), sets), "compared")
-    union = F.col("total") - F.col("inter")
-    all_known = known
-    for turn in range(ROUNDS + 1):
-        found = components(all_known.where(measure.linked(F.col("inter"), union)).select(F.col("ku").alias("a"), F.col("kv").alias("b")))
-        label = nodes.join(found, "key", "left").groupBy("node").agg(F.min(F.coalesce("label", "key")).alias("label"))
-        # regions with several components are not done; distances are to their pivots
-        marked = rows.join(label, "node")
-        open_ = marked.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi").select("region", "many")
-        away = known.select(F.col("u").alias("node"), F.col("v").alias("pivot"), (1 - F.col("inter") / union).alias("d"))
-        left = marked.join(open_, "region").join(away, ["node", "pivot"], "left").where(F.col("d").isNotNull())
-        left = materialize(left.select("region", "node", "label", "d", "many"), "open")
-        if left.isEmpty():
-            return found
-        last = turn == ROUNDS
-        near = left if last else left.where(F.col("many") <= SMALL)
-        a = near.select("region", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("d").alias("du"))
-        b = near.select("region", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("d").alias("dv"))
-        window = (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & (F.abs(F.col("du") - F.col("dv")) <= measure.reach + 1e-9)
-        pairs = a.join(b, "region").where(window).select("u", "v").distinct()
-        # shells around the pivot; each row also goes to the next one
-        shell = F.floor(F.col("d") / F.lit(measure.reach + 1e-9))
-        far = left.where(F.col("many") > SMALL) if not last else left.limit(0)
-        parted = far.withColumn("shell", F.explode(F.array(shell, shell + 1))).select("node", F.xxhash64("region", "shell", F.lit(turn)).alias("region")).distinct()
-        parted = materialize(parted, "shells")
-        rows = materialize(parted.join(_pivots(parted, lambda c: F.xxhash64(c, F.lit(turn))), "region"), "rows")
-        star = rows.where("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-        known = materialize(compare(pairs.unionByName(star).distinct(), sets), "compared")
-        all_known = all_known.unionByName(known)
-    return components(all_known.where(measure.linked(F.col("inter"), union)).select(F.col("ku").alias("a"), F.col("kv").alias("b")))
+    best = regions.join(company, "node").groupBy("region").agg(F.max(F.struct("many", "node")).alias("best"))
+    star = regions.join(best.select("region", F.col("best.node").alias("v")), "region").where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    linked = measure.linked(F.col("inter"), F.col("nu") + F.col("nv") - F.col("inter"))
+    deviation = F.concat(F.array_except("iu", "iv"), F.array_except("iv", "iu"))
+    cells = materialize(paired(star, sets).select("u", "v", "ku", "kv", "nu", linked.alias("linked"), deviation.alias("items")), "cells")
+    edges = cells.where("linked").select(F.col("ku").alias("a"), F.col("kv").alias("b"))
+    found = components(edges)
+
+    # cells that hold a document beyond the threshold and another one
+    open_ = cells.groupBy("v").agg(F.count(F.lit(1)).alias("many"), F.bool_and("linked").alias("done")).where("many > 1 AND NOT done").select("v")
+    label = broadcast_if_small(found) if found.count() else found
+    inside = cells.join(open_, "v", "left_semi").join(label.withColumnRenamed("key", "ku"), "ku", "left")
+    inside = inside.select("u", "v", "nu", "linked", F.coalesce("label", "ku").alias("label"), F.size("items").alias("far"), F.explode("items").alias("item"))
+    inside = materialize(inside, "deviations")
+    often = inside.groupBy("v", "item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = inside.join(often, ["v", "item"]).groupBy("u", "v", "nu", "linked", "label", "far").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
+    # shingles of one document alone come first in the order and meet nobody
+    alone = F.col("far") - F.size("items")
+    first = F.greatest(measure.first(F.col("nu"), F.col("far"), F.col("linked")) - alone, F.lit(0))
+    windows = materialize(ranked.select("u", "v", "nu", "linked", "label", "far", F.explode(F.slice("items", F.lit(1), first)).alias("i")).withColumn("item", F.col("i.item")).drop("i"), "windows")
+    a, b = (windows.select("v", "item", *(F.col(c).alias(f"{c}{side}") for c in ("u", "nu", "linked", "label", "far"))) for side in (1, 2))
+    close = (F.col("u1") < F.col("u2")) & (F.col("label1") != F.col("label2")) & ~(F.col("linked1") & F.col("linked2")) & (F.abs(F.col("far1") - F.col("far2")) <= measure.window(F.col("nu1") + F.col("nu2")))
+    pairs = materialize(a.join(b, ["v", "item"]).where(close).select(F.col("u1").alias("u"), F.col("u2").alias("v")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return found
+    more = materialize(paired(pairs, sets).where(linked).select(F.col("ku").alias("a"), F.col("kv").alias("b")), "links")
+    return found if more.isEmpty() else components(found.select(F.col("key").alias("a"), F.col("label").alias("b")).unionByName(more))
 
 
 def _assigned(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
@@ -376,7 +391,7 @@ def _assigned(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> Da
     grouped = materialize(grouped, "grouped")
     best = grouped.groupBy("label").agg(F.min("least").alias("best"))
     placed = materialize(grouped.join(best, "label").select("key", "best"), "placed")
-    out = base.drop("sigs", "node").join(placed, "key", "left")
+    out = base.drop("sigs", "node", "least").join(placed, "key", "left")
     return out.select("id", "h", "n_shingles", F.coalesce("best", "id").alias("component_id"))
 
 

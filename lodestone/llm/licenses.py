@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, broadcast_if_small, materialize, table
 
-LINE, FILE = 0.6, 0.5
+LINE, FILE = 0.6, 0.8
 
 # Short notices of public licences, several for some of them.
 TEMPLATES: tuple[tuple[str, str], ...] = (

@@ -86,7 +86,7 @@ class Network:
         reach into the next, which is how chunks overlap. ``ends`` has the end
         of the text for each symbol; windows from there on do not count.
         """
-        at = np.arange(0, max(len(s) - WIDTH, 1), STRIDE)
+        at = np.arange(0, len(s), STRIDE)
         padded = np.concatenate([s, np.zeros(WIDTH, s.dtype)])
         out = self.filters[0].take(padded[at], axis=0)
         for k in range(1, WIDTH):

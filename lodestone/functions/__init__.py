@@ -1 +1 @@
-
+"""Column functions: code sequences, tokens and scores."""

@@ -1 +1 @@
-
+"""Readers and writers of retrieval files."""

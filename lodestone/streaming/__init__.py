@@ -1 +1 @@
-
+"""No streaming operators: the retrieval operators are all batch."""

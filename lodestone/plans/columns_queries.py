@@ -201,7 +201,7 @@ def _(v):
     return edges.select("depth", (F.dense_rank().over(W.partitionBy("depth").orderBy("p")) - 1).cast("long").alias("state"), "next")
 
 
-@query("mask_invalid", "SELECT l.qid, l.code, CASE WHEN t.next IS NULL THEN -1e9 ELSE round(l.part, 6) END AS logit FROM logits l LEFT JOIN (SELECT next FROM trie WHERE m = 0 AND next < 5) t ON t.next = l.code WHERE l.m = 0")
+@query("mask_invalid", "SELECT l.qid, l.code, CASE WHEN t.next IS NULL THEN -1e9 ELSE round(l.part, 6) END AS logit FROM logits l LEFT JOIN (SELECT next FROM trie WHERE m = 1 AND prefix = '0') t ON t.next = l.code WHERE l.m = 1")
 def _(v):
-    allowed = prefixes.edges(v.codes).where((F.size("prefix") == 0) & (F.col("next") < 5)).select(F.col("next").alias("code"), F.lit(True).alias("ok"))
-    return v.logits.where("m = 0").join(allowed, "code", "left").select("qid", "code", F.when(F.col("ok"), F.round("part", 6)).otherwise(-1e9).alias("logit"))
+    allowed = prefixes.edges(v.codes).where(F.col("prefix") == F.array(F.lit(0))).select(F.col("next").alias("code"), F.lit(True).alias("ok"))
+    return v.logits.where("m = 1").join(allowed, "code", "left").select("qid", "code", F.when(F.col("ok"), F.round("part", 6)).otherwise(-1e9).alias("logit"))

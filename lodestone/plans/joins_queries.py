@@ -24,9 +24,9 @@ def _(v):
     return v.run_v.join(lex, "docid").join(smt, "docid").select("qid", "docid", "lex", "smt")
 
 
-@query("sparse_score_join", "SELECT qid, docid, term, round(q.weight * d.weight, 6) AS part FROM topic_weights q JOIN doc_weights d USING (term) WHERE qid < 5 AND docid < 200")
+@query("sparse_score_join", "SELECT qid, docid, term, round(q.weight * d.weight, 6) AS part FROM topic_weights q JOIN doc_weights d USING (term)")
 def _(v):
-    rows = v.topic_weights.where("qid < 5").join(v.index.where("docid < 200"), "term")
+    rows = v.topic_weights.join(v.index, "term")
     return rows.select("qid", "docid", "term", F.round(F.col("weight") * F.col("value"), 6).alias("part"))
 
 
@@ -121,23 +121,23 @@ def _(v):
     return kept.select("docid", C.to_string(F.col("codes")).alias("codes"))
 
 
-@query("merge_runs", "SELECT qid, docid, max(score) AS score FROM (SELECT * FROM run_a UNION ALL SELECT * FROM run_a WHERE docid % 2 = 0 UNION ALL SELECT * FROM run_b) GROUP BY qid, docid")
+@query("merge_runs", "SELECT qid, docid, max(score) AS score FROM (SELECT * FROM run_a UNION ALL SELECT * FROM run_a UNION ALL SELECT * FROM run_b) GROUP BY qid, docid")
 def _(v):
-    return ranking.merge_max([v.run_a, v.run_a.where("docid % 2 = 0"), v.run_b], ["qid", "docid"])
+    return ranking.merge_max([v.run_a, v.run_a, v.run_b], ["qid", "docid"])
 
 
 TRIPLES = "SELECT qid, smtid, docid, score FROM run_v JOIN smtids USING (docid)"
 
 
-@query("merge_smtid_runs", "SELECT qid, smtid, docid, max(score) AS score FROM (SELECT * FROM triples UNION ALL SELECT * FROM triples WHERE qid < 9) GROUP BY qid, smtid, docid", {"triples": TRIPLES})
+@query("merge_smtid_runs", "SELECT qid, smtid, docid, max(score) AS score FROM (SELECT * FROM triples UNION ALL SELECT qid, smtid, docid, score * 2 FROM triples) GROUP BY qid, smtid, docid", {"triples": TRIPLES})
 def _(v):
     triples = v.run_v.join(v.smtids, "docid").select("qid", "smtid", "docid", "score")
-    return ranking.merge_max([triples, triples.where("qid < 9")], ["qid", "smtid", "docid"])
+    return ranking.merge_max([triples, triples.withColumn("score", F.col("score") * 2)], ["qid", "smtid", "docid"])
 
 
-@query("concat_triples", "SELECT qid, docid, score FROM run_a UNION ALL SELECT qid, docid, score FROM run_a WHERE qid < 9")
+@query("concat_triples", "SELECT qid, docid, score FROM run_a UNION ALL SELECT qid, docid, score FROM run_b")
 def _(v):
-    return v.run_a.unionByName(v.run_a.where("qid < 9"))
+    return v.run_a.unionByName(v.run_b)
 
 
 @query("merge_inverted_indexes", "SELECT term, count(*) AS n, round(sum(weight), 6) AS total FROM doc_weights GROUP BY term")

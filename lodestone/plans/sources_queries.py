@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import dataset_name, title_text
 from ..operators import metrics, ranking, sparse, training
 from ..sources import formats
+from ..sources.shared import shared_dir
 from .registry import query
 from .views import best
 
@@ -78,12 +79,7 @@ def _(v):
 
 def scratch(v, name: str) -> str:
     """A new folder for a query that writes and reads back."""
-    found = v.spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("write_index", "SELECT term, docid, round(weight, 6) AS value FROM doc_weights WHERE term IN (SELECT term FROM topic_weights)")

@@ -22,9 +22,9 @@ def _(v):
     return rounded(ranking.fuse(v.run_v, smt, 1.0))
 
 
-@query("rerank_lex_plus_dense", "SELECT qid, docid, round(q.score + v.score, 6) AS score FROM scores_q q JOIN scores_v v USING (qid, docid) WHERE docid < 100")
+@query("rerank_lex_plus_dense", "SELECT qid, docid, round(q.score + v.score, 6) AS score FROM scores_q q JOIN scores_v v USING (qid, docid)")
 def _(v):
-    lex = rounded(quantize.search_scores(v.logits, v.codes.where("docid < 100")))
+    lex = rounded(quantize.search_scores(v.logits, v.codes))
     return rounded(ranking.fuse(lex, rounded(dense.all_pairs(v.query_vectors, v.vectors)), 1.0))
 
 
@@ -41,13 +41,13 @@ def _(v):
     return packed.select("qid", F.array_join(F.col("docids").cast("array<string>"), ",").alias("docids"))
 
 
-POSITIVES = "SELECT q.qid, q.docid, q.rel * 10.0::DOUBLE AS score FROM qrels_v q WHERE q.rel = 3 AND q.docid < 60"
+POSITIVES = "SELECT q.qid, q.docid, q.rel * 10.0::DOUBLE AS score FROM qrels_v q WHERE q.rel = 3"
 EXAMPLES = """SELECT qid, docid AS rel_docid, CAST(0 AS BIGINT) AS pos, docid, score FROM positives UNION ALL
     SELECT qid, rel_docid, n AS pos, docid, score FROM (SELECT p.qid, p.docid AS rel_docid, r.docid, r.score, row_number() OVER (PARTITION BY p.qid, p.docid ORDER BY r.score DESC, r.docid) AS n FROM positives p JOIN run_v r ON r.qid = p.qid AND r.docid <> p.docid) WHERE n <= 20"""
 
 
 def positives(v):
-    return v.qrels_v.where("rel = 3 AND docid < 60").select("qid", "docid", (F.col("rel") * 10.0).alias("score"))
+    return v.qrels_v.where("rel = 3").select("qid", "docid", (F.col("rel") * 10.0).alias("score"))
 
 
 @query("add_qrel_to_rerank", EXAMPLES, {"positives": POSITIVES})
@@ -61,9 +61,9 @@ def _(v):
     return rows.where("pos > 0").groupBy("qid", "rel_docid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("add_qrel_to_merged_rerank", EXAMPLES.replace("run_v r", "merged r"), {"positives": POSITIVES, "merged": "SELECT * FROM run_v UNION ALL SELECT qid, docid, score * 0.5 AS score FROM scores_q s WHERE docid < 80 AND NOT EXISTS (SELECT 1 FROM run_v r WHERE r.qid = s.qid AND r.docid = s.docid)"})
+@query("add_qrel_to_merged_rerank", EXAMPLES.replace("run_v r", "merged r"), {"positives": POSITIVES, "merged": "SELECT * FROM run_v UNION ALL SELECT qid, docid, score * 0.5 AS score FROM scores_q s WHERE NOT EXISTS (SELECT 1 FROM run_v r WHERE r.qid = s.qid AND r.docid = s.docid)"})
 def _(v):
-    second = rounded(quantize.search_scores(v.logits, v.codes.where("docid < 80"))).withColumn("score", F.col("score") * 0.5)
+    second = rounded(quantize.search_scores(v.logits, v.codes)).withColumn("score", F.col("score") * 0.5)
     merged = ranking.merge_first_wins(v.run_v, second.select("qid", "docid", "score"), ["qid", "docid"])
     return training.add_positives(merged, positives(v), 20)
 
@@ -74,12 +74,12 @@ def _(v):
     return groups.select("qid", "smtid", F.array_join(F.col("d").cast("array<string>"), ",").alias("docids"))
 
 
-SMTID_SCORES = "SELECT qid, smtid, max(score) AS score FROM (SELECT qid, smtid, max(score) * 0.5 AS score FROM run_v JOIN smtids USING (docid) GROUP BY qid, smtid UNION ALL SELECT qid, smtid, min(score) AS score FROM run_v JOIN smtids USING (docid) WHERE docid % 2 = 0 GROUP BY qid, smtid) GROUP BY qid, smtid"
+SMTID_SCORES = "SELECT qid, smtid, max(score) AS score FROM (SELECT qid, smtid, max(score) * 0.5 AS score FROM run_v JOIN smtids USING (docid) GROUP BY qid, smtid UNION ALL SELECT qid, smtid, min(score) AS score FROM run_v JOIN smtids USING (docid) GROUP BY qid, smtid) GROUP BY qid, smtid"
 
 
 def smtid_scores(v, k: int):
     teacher = v.run_v.join(v.smtids, "docid")
-    own = teacher.where("docid % 2 = 0").groupBy("qid", "smtid").agg(F.min("score").alias("score"))
+    own = teacher.groupBy("qid", "smtid").agg(F.min("score").alias("score"))
     return training.smtid_examples(teacher, own, 0.5, k)
 
 
@@ -100,13 +100,13 @@ def _(v):
     return v.teacher.select("qid", "docid", *(F.round(F.col("score") * decay(n), 9).alias(f"s{n}") for n in (4, 8, 16)))
 
 
-GROUPED = "SELECT q.qid, q.docid AS rel_docid, b.docid FROM (SELECT qid, docid FROM qrels_v WHERE rel = 3 AND docid < 40) q JOIN (SELECT docid, codes[1] AS c FROM doc_codes) a USING (docid) JOIN (SELECT docid, codes[1] AS c FROM doc_codes) b ON a.c = b.c AND a.docid <> b.docid"
+GROUPED = "SELECT q.qid, q.docid AS rel_docid, b.docid FROM (SELECT qid, docid FROM qrels_v WHERE rel = 3) q JOIN (SELECT docid, codes[1] AS c FROM doc_codes) a USING (docid) JOIN (SELECT docid, codes[1] AS c FROM doc_codes) b ON a.c = b.c AND a.docid <> b.docid"
 
 
 def same_prefix(v):
     """Relevant documents with all others of the same first code."""
     groups = v.codes.select("docid", F.get("codes", F.lit(0)).alias("c"))
-    relevant = v.qrels_v.where("rel = 3 AND docid < 40").join(groups, "docid").select("qid", F.col("docid").alias("rel_docid"), "c")
+    relevant = v.qrels_v.where("rel = 3").join(groups, "docid").select("qid", F.col("docid").alias("rel_docid"), "c")
     return relevant.join(groups, "c").where("docid != rel_docid").select("qid", "rel_docid", "docid")
 
 
@@ -168,14 +168,14 @@ def _(v):
 
 
 # Losses compare dense scores, as the student, with code scores, as the teacher.
-MARGINS = "SELECT p.qid, sp.score AS s_pos, sn.score AS s_neg, tp.score AS t_pos, tn.score AS t_neg FROM (SELECT qid, docid FROM qrels_v WHERE rel = 3 AND docid < 40) p JOIN (SELECT qid, docid FROM run_v) n ON n.qid = p.qid AND n.docid <> p.docid JOIN scores_v sp ON sp.qid = p.qid AND sp.docid = p.docid JOIN scores_v sn ON sn.qid = n.qid AND sn.docid = n.docid JOIN scores_q tp ON tp.qid = p.qid AND tp.docid = p.docid JOIN scores_q tn ON tn.qid = n.qid AND tn.docid = n.docid"
+MARGINS = "SELECT p.qid, sp.score AS s_pos, sn.score AS s_neg, tp.score AS t_pos, tn.score AS t_neg FROM (SELECT qid, docid FROM qrels_v WHERE rel = 3) p JOIN (SELECT qid, docid FROM run_v) n ON n.qid = p.qid AND n.docid <> p.docid JOIN scores_v sp ON sp.qid = p.qid AND sp.docid = p.docid JOIN scores_v sn ON sn.qid = n.qid AND sn.docid = n.docid JOIN scores_q tp ON tp.qid = p.qid AND tp.docid = p.docid JOIN scores_q tn ON tn.qid = n.qid AND tn.docid = n.docid"
 
 
 def margin_pairs(v, levels: int = 4, factor: float = 1.0):
     s = rounded(dense.all_pairs(v.query_vectors, v.vectors))
     t = rounded(quantize.search_scores(v.logits.where(F.col("m") < levels), v.codes)).withColumn("score", F.col("score") * factor)
     both = s.withColumnRenamed("score", "s").join(t.withColumnRenamed("score", "t"), ["qid", "docid"])
-    pos = v.qrels_v.where("rel = 3 AND docid < 40").join(both, ["qid", "docid"]).select("qid", F.col("docid").alias("p"), F.col("s").alias("s_pos"), F.col("t").alias("t_pos"))
+    pos = v.qrels_v.where("rel = 3").join(both, ["qid", "docid"]).select("qid", F.col("docid").alias("p"), F.col("s").alias("s_pos"), F.col("t").alias("t_pos"))
     neg = v.run_v.select("qid", "docid").join(both, ["qid", "docid"]).select("qid", "docid", F.col("s").alias("s_neg"), F.col("t").alias("t_neg"))
     return pos.join(neg, "qid").where("p != docid")
 

@@ -1,7 +1,8 @@
 """The test tables as retrieval tables, for Spark and as SQL.
 
-Documents are the corpus and benchmark items its topics; vectors have labels
-that judge them; the first vectors are codewords of a given codebook.
+Documents are the corpus and benchmark items its topics. Every fiftieth vector is
+a query against all vectors, and labels judge them; the first vectors are the
+codewords of a given codebook.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ class Views:
 
     @cached_property
     def query_vectors(self) -> DataFrame:
-        return self.vectors.where("docid < 20").select(F.col("docid").alias("qid"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel"))
+        return self.vectors.where("docid % 50 = 0").select(F.col("docid").alias("qid"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel"))
 
     @cached_property
     def run_v(self) -> DataFrame:
@@ -154,7 +155,7 @@ SQL: dict[str, str] = {
     "run_b": best("scores_b", K),
     "qrels": "SELECT qid, docid, CAST(1 + docid % 3 AS INTEGER) AS rel FROM corpus c, topics t WHERE contains(c.text, t.text)",
     "vectors": "SELECT vec_id AS docid, embedding AS vec, label FROM embeddings",
-    "query_vectors": "SELECT docid AS qid, vec AS qvec, label AS qlabel FROM vectors WHERE docid < 20",
+    "query_vectors": "SELECT docid AS qid, vec AS qvec, label AS qlabel FROM vectors WHERE docid % 50 = 0",
     "scores_v": "SELECT qid, docid, round(list_inner_product(qvec::DOUBLE[], vec::DOUBLE[]), 6) AS score FROM query_vectors, vectors",
     "run_v": best("(SELECT * FROM scores_v WHERE qid <> docid)", K),
     "qrels_v": "SELECT qid, docid, CAST(1 + docid % 3 AS INTEGER) AS rel FROM vectors JOIN query_vectors ON label = qlabel WHERE qid <> docid",

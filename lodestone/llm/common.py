@@ -2,42 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_LOCAL: dict[str, str] = {}
-
+#: Narrow rows to a file.
+FILE_ROWS = 100_000
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, as in
-    tests, may fall back to a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="lodestone-")
-    return f"file://{_LOCAL[app]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
-    and what was drawn or numbered stays as it is.
+    and what was drawn or numbered stays as it is. If about how many narrow
+    rows there will be is known, there are no more files than they need.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(2 + rows // FILE_ROWS)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -15,8 +15,11 @@ can be there. Classes in which a document is empty count only for documents
 with too few others to be sure of an agreement. The surplus of classes says how
 many regions a document shares with any linked one; with fewer it has no link.
 
-*Pivots.* Each region's pivot is its document with the most company, and all
-documents of a pivot's regions are its cell. Distances to the pivot are exact.
+*Pivots.* Each region's pivot is its document with the most company. Distances
+to pivots are exact, and a pivot gives way to one that it is linked with and
+that has more company; all documents of a pivot's regions then are its cell. As
+linked documents share several regions, each can leave the cells in which it has
+the fewest and still meet every linked one.
 All within the threshold are of one component and need no comparison among
 themselves. For the others the cell is centred on its pivot: a document becomes
 its deviation, the shingles in which it differs from the pivot, and two
@@ -46,7 +49,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, broadcast_if_small, materialize, table, whole
@@ -241,14 +246,16 @@ def _listed(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def describe(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
-    """id, h, n_shingles, key, node, least, sigs of each row, written to the shared folder.
+    """id, h, n_shingles, key, node, row, least, sigs of each row, written to the shared folder.
 
-    A task gives the signatures of equal sets once, else none.
+    A task gives the signatures of equal sets once, else none. Rows are numbered
+    within tasks, so that their numbers shuffle in less space than nodes.
     """
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("h"), whole(text_col).cast("binary").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for lo, hi in _parts(texts):
@@ -266,11 +273,12 @@ def describe(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> Dat
                 own[fresh] = many
                 least = np.zeros(len(counts), np.int32)
                 least[fresh] = few
-                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(_key(a, b, counts), pa.binary()), pa.array(node.view(np.int64)), pa.array(least), _listed(sig, own)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n_shingles", "key", "node", "least", "sigs"])
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(_key(a, b, counts), pa.binary()), pa.array(node.view(np.int64)), pa.array(row + np.arange(len(counts))), pa.array(least), _listed(sig, own)]
+                row += len(counts)
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n_shingles", "key", "node", "row", "least", "sigs"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(run, f"id {kind}, h long, n_shingles long, key binary, node long, least int, sigs array<long>"), "shingles")
+    return materialize(rows.mapInArrow(run, f"id {kind}, h long, n_shingles long, key binary, node long, row long, least int, sigs array<long>"), "shingles")
 
 
 def gather_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
@@ -323,10 +331,9 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = materialize(tidy(edges), "stars")
     now = state(edges)
     while now[0]:
-        edges = materialize(tidy(small(tidy(large(edges)))), "stars")
+        edges = materialize(tidy(small(tidy(large(edges)))), "stars", 2 * now[0])
         before, now = now, state(edges)
         if now == before:
             break
@@ -341,33 +348,53 @@ def shared_regions(listed: DataFrame) -> DataFrame:
 
 def links(base: DataFrame, df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
     """(key, label) of every set that is linked with a different one."""
-    regions = shared_regions(base.select("node", "least", F.explode("sigs").alias("region")))
-    regions = materialize(regions.distinct(), "regions")
-    # a set that shares too few regions has no link; without it, others may share too few
-    for _ in range(2):
-        enough = regions.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.max("least").alias("least")).where("many >= least")
-        regions = materialize(shared_regions(regions.join(enough.select("node"), "node", "left_semi")), "regions")
-    company = regions.groupBy("node").agg(F.count(F.lit(1)).alias("many"))
-    wanted = base.join(company.select("node"), "node", "left_semi").where("n_shingles > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("node").alias("node"))
-    nodes = materialize(wanted, "nodes")
+    # regions of several rows first, which may be copies, then those of several nodes
+    listed = base.select("row", F.explode("sigs").alias("region"))
+    several = listed.groupBy("region").count().where("count > 1").select("region")
+    regions = listed.join(several, "region").join(base.select("row", "node", "least"), "row").select("region", "node", "least").distinct()
+    regions = materialize(regions, "regions")
+    # a set that shares too few regions has no link
+    enough = regions.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.max("least").alias("least")).where("many >= least")
+    regions = materialize(shared_regions(regions.join(enough.select("node"), "node", "left_semi")), "regions")
+    # a node's company: all that it shares regions with, each as often as it does
+    size = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+    company = regions.join(size, "region").groupBy("node").agg(F.sum("size").alias("many"))
+    wanted = base.join(company, "node").where("n_shingles > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("node").alias("node"), F.max("many").alias("many"))
+    nodes = materialize(wanted, "nodes", base.count() // 4)
+    count = nodes.count()
+    company = nodes.groupBy("node").agg(F.max("many").alias("many"))
     sets = gather_sets(df, nodes.select("id", "key"), id_col, text_col, measure)
 
     best = regions.join(company, "node").groupBy("region").agg(F.max(F.struct("many", "node")).alias("best"))
-    star = regions.join(best.select("region", F.col("best.node").alias("v")), "region").where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    pivots = materialize(best.select("region", F.col("best.many").alias("many"), F.col("best.node").alias("pivot")), "pivots")
+    star = regions.join(pivots, "region").where("node != pivot").groupBy(F.col("node").alias("u"), F.col("pivot").alias("v")).agg(F.max("many").alias("many"))
     linked = measure.linked(F.col("inter"), F.col("nu") + F.col("nv") - F.col("inter"))
+    near = materialize(paired(star, sets).where(linked).select("u", "v", "many", F.col("ku").alias("a"), F.col("kv").alias("b")), "near")
+    edges = near.select("a", "b")
+
+    # each node follows the linked pivot with the most company, and that one its own
+    heads = near.groupBy("u").agg(F.max(F.struct("many", F.col("v").alias("node"))).alias("head"))
+    own = F.struct("many", "node")
+    heads = company.join(heads.withColumnRenamed("u", "node"), "node", "left").select("node", F.greatest(own, F.coalesce("head", own))["node"].alias("head"))
+    heads = materialize(heads, "heads", count)
+    named = heads.join(heads.select(F.col("node").alias("head"), F.col("head").alias("label")), "head").select("node", "label")
+    # pivots give way to those that they follow
+    pivots = pivots.join(named.select(F.col("node").alias("pivot"), F.col("label").alias("v")), "pivot").select("region", "v")
+    cells = regions.join(pivots, "region").groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
+    # linked nodes share so many regions that each may leave its smallest cells, up to less than half of these
+    so_far = F.sum("n").over(W.partitionBy("u").orderBy((F.col("u") == F.col("v")).cast("int"), "n", "v").rowsBetween(W.unboundedPreceding, 0))
+    cells = cells.withColumn("so_far", so_far).where("u != v AND 2 * so_far > least - 1").select("u", "v")
+    cells = materialize(cells.join(named.select(F.col("node").alias("u"), "label"), "u"), "cells", 4 * count)
+    open_ = cells.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
     deviation = F.concat(F.array_except("iu", "iv"), F.array_except("iv", "iu"))
-    cells = materialize(paired(star, sets).select("u", "v", "ku", "kv", "nu", linked.alias("linked"), deviation.alias("items")), "cells")
-    edges = cells.where("linked").select(F.col("ku").alias("a"), F.col("kv").alias("b"))
-    found = components(edges)
-
-    # cells that hold a document beyond the threshold and another one
-    open_ = cells.groupBy("v").agg(F.count(F.lit(1)).alias("many"), F.bool_and("linked").alias("done")).where("many > 1 AND NOT done").select("v")
-    label = broadcast_if_small(found) if found.count() else found
-    inside = cells.join(open_, "v", "left_semi").join(label.withColumnRenamed("key", "ku"), "ku", "left")
-    inside = inside.select("u", "v", "nu", "linked", F.coalesce("label", "ku").alias("label"), F.size("items").alias("far"), F.explode("items").alias("item"))
-    inside = materialize(inside, "deviations")
-    often = inside.groupBy("v", "item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ranked = inside.join(often, ["v", "item"]).groupBy("u", "v", "nu", "linked", "label", "far").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
+    cells = paired(cells.join(open_, "v", "left_semi"), sets).select("u", "v", "ku", "kv", "label", "nu", linked.alias("linked"), deviation.alias("items"))
+    cells = materialize(cells.withColumn("far", F.size("items")), "deviations")
+    edges = edges.unionByName(cells.where("linked").select(F.col("ku").alias("a"), F.col("kv").alias("b")))
+
+    listed = cells.select("u", "v", F.explode("items").alias("item"))
+    often = listed.groupBy("v", "item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = listed.join(often, ["v", "item"]).groupBy("u", "v").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
+    ranked = cells.drop("items", "ku", "kv").join(ranked, ["u", "v"])
     # shingles of one document alone come first in the order and meet nobody
     alone = F.col("far") - F.size("items")
     first = F.greatest(measure.first(F.col("nu"), F.col("far"), F.col("linked")) - alone, F.lit(0))
@@ -375,10 +402,8 @@ def links(base: DataFrame, df: DataFrame, id_col: str, text_col: str, measure: M
     a, b = (windows.select("v", "item", *(F.col(c).alias(f"{c}{side}") for c in ("u", "nu", "linked", "label", "far"))) for side in (1, 2))
     close = (F.col("u1") < F.col("u2")) & (F.col("label1") != F.col("label2")) & ~(F.col("linked1") & F.col("linked2")) & (F.abs(F.col("far1") - F.col("far2")) <= measure.window(F.col("nu1") + F.col("nu2")))
     pairs = materialize(a.join(b, ["v", "item"]).where(close).select(F.col("u1").alias("u"), F.col("u2").alias("v")).distinct(), "pairs")
-    if pairs.isEmpty():
-        return found
     more = materialize(paired(pairs, sets).where(linked).select(F.col("ku").alias("a"), F.col("kv").alias("b")), "links")
-    return found if more.isEmpty() else components(found.select(F.col("key").alias("a"), F.col("label").alias("b")).unionByName(more))
+    return components(edges.unionByName(more))
 
 
 def _assigned(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
@@ -388,10 +413,10 @@ def _assigned(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> Da
     label = links(base, df, id_col, text_col, measure)
     least = base.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"))
     grouped = least.join(label, "key", "left").where((F.col("many") > 1) | F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "key"))
-    grouped = materialize(grouped, "grouped")
+    grouped = materialize(grouped, "grouped", base.count() // 4)
     best = grouped.groupBy("label").agg(F.min("least").alias("best"))
-    placed = materialize(grouped.join(best, "label").select("key", "best"), "placed")
-    out = base.drop("sigs", "node", "least").join(placed, "key", "left")
+    placed = materialize(grouped.join(best, "label").select("key", "best"), "placed", base.count() // 4)
+    out = base.drop("sigs", "node", "row", "least").join(placed, "key", "left")
     return out.select("id", "h", "n_shingles", F.coalesce("best", "id").alias("component_id"))
 
 

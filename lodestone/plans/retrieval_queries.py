@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.scores import dot
-from ..operators import analysis, beam, dense, prefixes, quantize, ranking, sparse
+from ..operators import analysis, dense, prefixes, quantize, ranking, sparse
 from .registry import query
 from .views import best, rounded
 
@@ -276,6 +276,3 @@ def _(v):
 @query("bow_doc_matrix", "SELECT q.qid, q.docid, b.term FROM qrels q JOIN bow b USING (docid) WHERE q.rel >= 2")
 def _(v):
     return v.qrels.where("rel >= 2").join(v.bow, "docid").select("qid", "docid", "term")
-
-
-__all__ = ["beam"]

@@ -8,11 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import dataset_name, title_text
-from ..operators import metrics, ranking, sparse, training
+from ..operators import metrics, ranking, training
 from ..sources import formats
 from ..sources.shared import shared_dir
 from .registry import query
-from .views import best
 
 
 @query("scan_collection", "SELECT CAST(docid AS VARCHAR) AS id, trim(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), ' ') AS text FROM corpus")
@@ -120,6 +119,3 @@ def _(v):
     # the unweighted mean of shards' means
     shards = v.doc_weights.groupBy("docid").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("docid") % 4).agg(F.avg("n").alias("l0"))
     return shards.agg(F.round(F.avg("l0"), 6).alias("l0"))
-
-
-__all__ = ["best", "sparse"]

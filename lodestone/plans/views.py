@@ -197,21 +197,26 @@ def with_views(statement: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH {ctes}\n{statement}" if ctes else statement
 
 
-def beam_sql(kind: str, beams: int = BEAMS, length: int = LEVELS) -> dict[str, str]:
-    """Views beam_0 to beam_length of a search: constrained, condition, incorporate or guided by a pooled score."""
-    views = {"beam_0": "SELECT qid, '' AS prefix, 0.0::DOUBLE AS score FROM query_vectors"}
+def beam_sql(kind: str, beams: int = BEAMS, length: int = LEVELS, tag: str = "") -> dict[str, str]:
+    """Views of a search, the last of them ``found``; ``tag`` ends all their names.
+
+    ``kind`` is constrained, condition, incorporate or guided by a pooled score.
+    """
+    views = {f"beam_0{tag}": "SELECT qid, '' AS prefix, 0.0::DOUBLE AS score FROM query_vectors"}
     how = {"guided_max": "mx", "guided_min": "mn", "guided_mean": "av"}.get(kind)
     for m in range(length):
-        source = {"constrained": f"beam_{m} b JOIN trie t ON t.m = {m} AND t.prefix = b.prefix"}.get(kind, f"beam_{m} b JOIN pooled t ON t.qid = b.qid AND t.m = {m} AND t.prefix = b.prefix")
-        extra = ""
-        if kind == "incorporate":
-            source, extra = f"beam_{m} b JOIN trie t ON t.m = {m} AND t.prefix = b.prefix LEFT JOIN pooled p ON p.qid = b.qid AND p.m = {m} AND p.prefix = b.prefix AND p.next = t.next", " + greatest(coalesce(p.mx, 0), 0)"
-        elif how:
-            extra = f" + t.{how}"
+        trie = f"beam_{m}{tag} b JOIN trie t ON t.m = {m} AND t.prefix = b.prefix"
+        source, extra = f"beam_{m}{tag} b JOIN pooled t ON t.qid = b.qid AND t.m = {m} AND t.prefix = b.prefix", f" + t.{how}" if how else ""
+        if kind == "constrained":
+            source = trie
+        elif kind == "incorporate":
+            source = f"{trie} LEFT JOIN pooled p ON p.qid = b.qid AND p.m = {m} AND p.prefix = b.prefix AND p.next = t.next"
+            extra = " + greatest(coalesce(p.mx, 0), 0)"
         step = "CASE WHEN b.prefix = '' THEN '' ELSE b.prefix || '_' END || t.next"
-        views[f"step_{m}"] = f"SELECT b.qid, {step} AS prefix, b.score + l.part AS score, row_number() OVER (PARTITION BY b.qid ORDER BY round(b.score + l.part{extra}, 6) DESC, {step}) AS r FROM {source} JOIN logits l ON l.qid = b.qid AND l.m = {m} AND l.code = t.next"
-        views[f"beam_{m + 1}"] = f"SELECT qid, prefix, score FROM step_{m} WHERE r <= {beams}"
-    views["found"] = f"SELECT qid, prefix AS smtid, score FROM beam_{length}"
+        rank = f"row_number() OVER (PARTITION BY b.qid ORDER BY round(b.score + l.part{extra}, 6) DESC, {step})"
+        views[f"step_{m}{tag}"] = f"SELECT b.qid, {step} AS prefix, b.score + l.part AS score, {rank} AS r FROM {source} JOIN logits l ON l.qid = b.qid AND l.m = {m} AND l.code = t.next"
+        views[f"beam_{m + 1}{tag}"] = f"SELECT qid, prefix, score FROM step_{m}{tag} WHERE r <= {beams}"
+    views[f"found{tag}"] = f"SELECT qid, prefix AS smtid, score FROM beam_{length}{tag}"
     return views
 
 

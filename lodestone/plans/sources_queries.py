@@ -89,6 +89,15 @@ def _(v):
     return found.join(v.topic_weights.select("term").distinct(), "term", "left_semi").select("term", "docid", F.round("value", 6).alias("value"))
 
 
+@query("load_index", "SELECT w.term, count(d.docid) AS n FROM (SELECT DISTINCT term FROM topic_weights UNION ALL SELECT 'no such term') w LEFT JOIN doc_weights d USING (term) GROUP BY w.term")
+def _(v):
+    path = scratch(v, "index")
+    formats.write_index(v.index, path)
+    # a term that no document has is an empty list, not an error
+    wanted = v.topic_weights.select("term").distinct().unionByName(v.spark.range(1).select(F.lit("no such term").alias("term")))
+    return wanted.join(formats.read_index(v.spark, path, wanted), "term", "left").groupBy("term").agg(F.count("docid").alias("n"))
+
+
 @query("write_embeddings", "SELECT docid, len(vec) AS dims, round(list_sum(vec::DOUBLE[]), 6) AS total FROM vectors")
 def _(v):
     path = scratch(v, "embeddings")

@@ -86,12 +86,14 @@ class Measure:
         Let u be a set not linked with the pivot P, v a partner, d the size of a
         deviation. As u is beyond and v within the threshold, d(u) exceeds
         |u - v| by more than -d(v) * (den - num) / (den + num), so that more
-        than d(v) * num / (den + num) shingles are common. That bounds every v.
-        If v is itself beyond, d(v) - apart(v) or more are common as well.
+        than d(v) * num / (den + num) shingles are common. That bounds v if it
+        is linked with P, as its partner is beyond. The partner of a set that is
+        itself beyond can be linked with P, and then only d(u) - apart(u) common
+        shingles are sure.
         """
         own = deviation - F.floor(deviation * self.num / (self.num + self.den))
         apart = F.floor(size * (self.den - self.num) / self.num)
-        return F.when(linked, own).otherwise(F.least(own, apart + 1, deviation)).cast("int")
+        return F.when(linked, own).otherwise(F.least(apart + 1, deviation)).cast("int")
 
 
 @lru_cache(8)

@@ -183,6 +183,35 @@ def test_components(spark, m):
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, m)
 
 
+def chain(rng, name, m):
+    """A hub P with near copies, w that is linked with P, and u that is linked with w alone."""
+    while True:
+        n, x, y = int(rng.integers(20, 200)), int(rng.integers(1, 8)), int(rng.integers(1, 16))
+        linked = lambda a, b: a * m.den >= m.num * b
+        if linked(n, n + x) and linked(n + x, n + x + y) and not linked(n, n + x + y):
+            break
+    hub = [f"{name}p{i}" for i in range(n + m.words - 1)]
+    tail = [f"{name}x{i}" for i in range(x + y)]
+    near = [noisy(rng, hub, 1) for _ in range(4)] if linked(n - m.words, n + m.words) else []
+    copies = [" ".join([*hub[i:], *(f"{name}e{i}n{j}" for j in range(i))]) for i in range(3) if linked(n - i, n + i)]
+    return [*near, *copies, " ".join(hub + tail[:x]), " ".join(hub + tail)]
+
+
+@pytest.mark.parametrize("m", [Measure(3, 9, 10), Measure(5, 4, 5)])
+def test_links_of_sets_just_beyond_a_pivot(spark, m):
+    rng = np.random.default_rng(m.words)
+    words = [f"p{i}" for i in range(20 + m.words - 1)]
+    tails = [f"x{i}" for i in range(40)]
+    a, b = (1, 3) if m.words == 3 else (3, 7)  # J(P, w) and J(w, u) reach the threshold, J(P, u) does not
+    rows = [(1, " ".join(words)), (2, " ".join(words + tails[:a])), (3, " ".join(words + tails[:b]))]
+    rows += [(4 + i, " ".join([*words[:-1], f"end{i}"])) for i in range(8)]
+    for i in range(60):
+        rows += [(1000 * (i + 1) + j, t) for j, t in enumerate(chain(rng, f"c{i}", m))]
+    got = jaccard_join.jaccard_components(docs_of(spark, [(i, t, "s") for i, t in rows]), measure=m).collect()
+    assert {r["component_id"] for r in got if r["doc_id"] < 4} == {1}
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, m)
+
+
 def test_signatures_meet_for_every_linked_pair():
     rng = np.random.default_rng(9)
     for m in (Measure(3, 9, 10), Measure(5, 4, 5), Measure(2, 1, 2)):

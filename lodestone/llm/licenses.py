@@ -1,13 +1,17 @@
 """Licence scans: sparse TF-IDF cosines to templates, inherited along paths.
 
-Each line of a text, and the text as a whole, is a sparse TF-IDF vector whose
-cosine to the notices in ``TEMPLATES`` is computed; the best line at ``LINE``
-or more is the text's own licence. Document frequencies of the templates' words
-are counted over the whole corpus first; a word outside them has the weight of
-one that occurs once. A file is a licence file if its name says so or if it is,
-as a whole, as close to a template as ``FILE``. It holds for its directory: a
-text without a licence of its own inherits that of the nearest ancestor
-directory which has one, by a join on the ancestors' paths.
+Each line of a text, each window of a text as long as a notice of ``TEMPLATES``,
+and the text as a whole is a sparse TF-IDF vector. The best line at ``LINE`` or
+more, or window at ``WINDOW`` or more, is the text's own licence; windows are
+the best of many and so have to be closer. An SPDX tag of a known licence, the
+first if there are several, names it with a cosine of 1. Document frequencies
+of the templates' words are counted over the whole corpus first; a word outside
+them has the weight of one that occurs once. A file is a licence file if its
+name says so or if it is, as a whole and without copyright lines, as close as
+``FILE`` to a notice or to a full text in ``license_texts``; there are none of
+the CC licences. It holds for its directory: a text without a licence of its own
+inherits that of the nearest ancestor directory which has one, by a join on the
+ancestors' paths.
 
 A null text counts as empty and has no licence of its own, but may inherit. A
 null path has no ancestors; empty path segments do not count. If licence files
@@ -23,14 +27,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, broadcast_if_small, materialize, table
 
-LINE, FILE = 0.6, 0.8
+LINE, WINDOW, FILE = 0.6, 0.8, 0.8
 
 # Short notices of public licences, several for some of them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -40,6 +46,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -50,6 +58,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 #: A line without any of these stems is no notice; templates all have one.
 _STEM = re.compile(r"licen[sc]e|permission|redistribut|copyright|copying|public license", re.IGNORECASE)
 _NAME = re.compile(r"(licen[sc]e|copying|unlicense)(\.\w+)?$", re.IGNORECASE)
+_SPDX = re.compile(r"SPDX-License-Identifier:([^\n]*)", re.IGNORECASE)
+_OWNER = re.compile(r"^.*copyright\W+(?:c\W+|©\W*)?\d{4}.*$", re.IGNORECASE | re.MULTILINE)
 _TOKEN = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -57,9 +67,15 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+@lru_cache(1)
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of whole licence files."""
+    return tuple((p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt")))
+
+
 @lru_cache(1)
 def words() -> tuple[str, ...]:
-    return tuple(sorted({t for _, notice in TEMPLATES for t in tokens(notice)}))
+    return tuple(sorted({t for _, notice in TEMPLATES + full_texts() for t in tokens(notice)}))
 
 
 class Matcher:
@@ -68,30 +84,77 @@ class Matcher:
     def __init__(self, frequency: dict[str, int], documents: int):
         self.rare = math.log(1 + documents)
         self.idf = {w: math.log(1 + documents / max(1, frequency.get(w, 0))) for w in words()}
-        self.vectors = []
-        for name, notice in TEMPLATES:
-            v = {t: n * self.idf[t] for t, n in Counter(tokens(notice)).items()}
-            self.vectors.append((name, v, math.sqrt(sum(x * x for x in v.values()))))
-
-    def closest(self, found: list[str]) -> tuple[float, str | None]:
+        self.vectors = [self._template(*x) for x in TEMPLATES]
+        self.full = [self._template(n, _OWNER.sub("", t)) for n, t in full_texts()]
+        self.lengths = [len(tokens(notice)) for _, notice in TEMPLATES]
+        self.number = {w: i for i, w in enumerate(words())}
+        self.squares = np.array([self.idf[w] ** 2 for w in words()] + [self.rare**2])
+        self.parts = [np.array([v.get(w, 0.0) * self.idf[w] for w in words()] + [0.0]) for _, v, _ in self.vectors]
+        self.known = {n.lower(): n for n, *_ in self.vectors + self.full}
+
+    def _template(self, name: str, notice: str) -> tuple[str, dict[str, float], float]:
+        v = {t: n * self.idf[t] for t, n in Counter(tokens(notice)).items()}
+        return name, v, math.sqrt(sum(x * x for x in v.values()))
+
+    def closest(self, found: list[str], among: list | None = None) -> tuple[float, str | None]:
         v = {t: n * self.idf.get(t, self.rare) for t, n in Counter(found).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         best: tuple[float, str | None] = (0.0, None)
-        for name, template, length in self.vectors:
+        for name, template, length in self.vectors if among is None else among:
             if norm and length:
                 cosine = sum(x * v[t] for t, x in template.items() if t in v) / (norm * length)
                 if cosine > best[0]:
                     best = (cosine, name)
         return best
 
+    def windows(self, found: list[str]) -> tuple[float, str | None]:
+        """The closest window at WINDOW or more.
+
+        A window's norm is least if no word repeats, which bounds its cosine;
+        cosines are computed from the highest bound down.
+        """
+        best: tuple[float, str | None] = (0.0, None)
+        ids = np.array([self.number.get(t, -1) for t in found], np.int64)
+        squares = np.concatenate([[0.0], np.cumsum(self.squares[ids])])
+        for template, part, n in zip(self.vectors, self.parts, self.lengths, strict=True):
+            if n > len(ids) or not template[2]:
+                continue
+            dots = np.concatenate([[0.0], np.cumsum(part[ids])])
+            norms = np.sqrt(np.maximum(squares[n:] - squares[:-n], 1e-12)) * template[2]
+            bound = (dots[n:] - dots[:-n]) / norms
+            at = np.flatnonzero(bound >= max(best[0], WINDOW) - 1e-9)
+            for i in at[np.argsort(-bound[at])].tolist():
+                if bound[i] < best[0] - 1e-9:
+                    break
+                cosine, name = self.closest(found[i : i + n], [template])
+                if cosine >= WINDOW and cosine > best[0]:
+                    best = (cosine, name)
+        return best
+
+    def tag(self, text: str) -> str | None:
+        """The first known licence that an SPDX tag names."""
+        for found in _SPDX.findall(text):
+            for word in re.findall(r"[\w.+-]+", found.lower()):
+                name = self.known.get(re.sub(r"(-only|-or-later|\+)$", "", word))
+                if name:
+                    return name
+        return None
+
     def text(self, text: str) -> tuple[float, str | None, float, str | None]:
-        """(cosine, licence) of the best line, and of the whole text."""
+        """(cosine, licence) of the text's own licence, and of the whole text."""
         if not _STEM.search(text):
             return 0.0, None, 0.0, None
         lines = [self.closest(tokens(line)) for line in text.split("\n") if _STEM.search(line)]
-        line = max(lines, key=lambda x: x[0], default=(0.0, None))
-        full = self.closest(tokens(text))
-        return *(line if line[0] >= LINE else (line[0], None)), *(full if full[0] >= FILE else (full[0], None))
+        own = max(lines, key=lambda x: x[0], default=(0.0, None))
+        found = tokens(text)
+        own = max(own, self.windows(found), key=lambda x: x[0])
+        whole = max(self.closest(found), self.closest(tokens(_OWNER.sub("", text)), self.full), key=lambda x: x[0])
+        if whole[0] >= FILE and whole[0] > own[0]:
+            own = whole
+        tag = self.tag(text)
+        if tag:
+            own = (1.0, tag)
+        return *(own if own[0] >= LINE else (own[0], None)), *(whole if whole[0] >= FILE else (whole[0], None))
 
 
 def frequencies(df: DataFrame, text_col: str) -> tuple[dict[str, int], int]:

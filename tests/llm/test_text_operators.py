@@ -255,3 +255,32 @@ def test_license_cosines_match_dense_vectors():
     vector = lambda found: np.array([found.count(t) * matcher.idf.get(t, matcher.rare) for t in axis])
     best = max(float(vector(line) @ (v := vector(licenses.tokens(n))) / np.linalg.norm(vector(line)) / np.linalg.norm(v)) for _, n in licenses.TEMPLATES)
     assert np.isclose(matcher.closest(line)[0], best)
+
+
+def test_full_texts_hold_for_their_directory(spark):
+    texts = dict(licenses.full_texts())
+    rows = [
+        (1, "a/terms.txt", texts["MIT"].replace("MIT License\n", "MIT License\n\nCopyright (c) 2021 Jane Roe\n")),
+        (2, "a/b/code.py", "print(1)"),
+        (3, "c/terms.txt", texts["GPL-2.0"]),
+        (4, "c/code.py", "print(2)"),
+        (5, "d/code.py", "print(3)"),
+        (6, "d/prose.txt", "A permission to copy this licence was discussed at length by the board."),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i]["license"] for i in range(1, 7)] == ["MIT", "MIT", "GPL-2.0", "GPL-2.0", None, None]
+    assert [got[i]["inherited"] for i in range(1, 7)] == [False, True, False, True, False, False]
+
+
+def test_headers_within_and_across_lines(spark):
+    gpl2 = next(n for name, n in licenses.TEMPLATES if name == "GPL-2.0")
+    rows = [
+        (1, "# SPDX-License-Identifier: MIT\nx = 1"),
+        (2, "// SPDX-License-Identifier: GPL-3.0-or-later"),
+        (3, "/* SPDX-License-Identifier: Unknown-1.0 */"),
+        (4, "some prose " * 200 + "Released under the MIT License. " + "more prose " * 200),
+        (5, "\n# ".join(" ".join(gpl2.split()[i : i + 8]) for i in range(0, 60, 8))),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("path", F.lit("p/x"))
+    got = {r["doc_id"]: r["own_license"] for r in licenses.scan_licenses(df).collect()}
+    assert got == {1: "MIT", 2: "GPL-3.0", 3: None, 4: "MIT", 5: "GPL-2.0"}

@@ -197,6 +197,12 @@ def _(v):
     return v.bow.groupBy("docid").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))
 
 
+@query("bow_docids_full", "SELECT docid, string_agg(term, ' ' ORDER BY term) AS terms FROM bow_64 GROUP BY docid", {"bow_64": f"SELECT docid, term FROM ({best('doc_weights', 64, 'docid', 'term', 'weight')})"})
+def _(v):
+    bow = sparse.term_set(v.doc_weights, 64)
+    return bow.groupBy("docid").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))
+
+
 FILLED = f"SELECT t.qid, d.docid, coalesce(s.score, 0.0::DOUBLE) AS score FROM (SELECT DISTINCT qid FROM topic_weights) t CROSS JOIN (SELECT DISTINCT docid FROM bow) d LEFT JOIN scores_b s USING (qid, docid)"
 
 
@@ -251,6 +257,11 @@ def _(v):
     return rounded(quantize.search(v.query_vectors, v.codebook, v.codes, 50))
 
 
+@query("rq_search_full", best("scores_q", 1000))
+def _(v):
+    return rounded(quantize.search(v.query_vectors, v.codebook, v.codes, 1000))
+
+
 POSITIONED = "SELECT v.docid AS qid, p.m, w.vec AS qvec FROM vectors v, range(4) p(m) JOIN vectors w ON true WHERE v.docid % 50 = 0 AND w.docid = v.docid + p.m"
 
 

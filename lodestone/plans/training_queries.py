@@ -244,3 +244,51 @@ def _(v):
     a, b = (rows.where(F.col("l_linenumber") == n).select("id", F.col("x").alias(f"x{n}")) for n in (1, 2))
     both = a.join(b, "id", "full")
     return both.select("id", F.round((F.coalesce("x1", "x2") + F.coalesce("x2", "x1")) / 2, 6).alias("value"))
+
+
+# The same operators with the reference's own limits, over runs deep enough to reach them.
+DEEP = {"deep_v": best("(SELECT * FROM scores_v WHERE qid <> docid)", 1000)}
+EXAMPLES_200 = EXAMPLES.replace("run_v", "deep_v").replace("n <= 20", "n <= 200")
+MERGED_DEEP = "SELECT * FROM deep_v UNION ALL SELECT qid, docid, score * 0.5 AS score FROM scores_q s WHERE NOT EXISTS (SELECT 1 FROM deep_v r WHERE r.qid = s.qid AND r.docid = s.docid)"
+
+
+def deep_run(v):
+    return rounded(ranking.top_k(ranking.drop_self_match(dense.all_pairs(v.query_vectors, v.vectors)), 1000))
+
+
+@query("add_qrel_to_rerank_full", EXAMPLES_200, DEEP | {"positives": POSITIVES})
+def _(v):
+    return training.add_positives(deep_run(v), positives(v), 200)
+
+
+@query("negatives_top200_full", "SELECT qid, rel_docid, count(*) AS n FROM examples WHERE pos > 0 GROUP BY qid, rel_docid", DEEP | {"positives": POSITIVES, "examples": EXAMPLES_200})
+def _(v):
+    rows = training.add_positives(deep_run(v), positives(v), 200)
+    return rows.where("pos > 0").groupBy("qid", "rel_docid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("add_qrel_to_merged_rerank_full", EXAMPLES_200.replace("deep_v r", "merged r"), DEEP | {"positives": POSITIVES, "merged": MERGED_DEEP})
+def _(v):
+    second = rounded(quantize.search_scores(v.logits, v.codes)).withColumn("score", F.col("score") * 0.5)
+    merged = ranking.merge_first_wins(deep_run(v), second.select("qid", "docid", "score"), ["qid", "docid"])
+    return training.add_positives(merged, positives(v), 200)
+
+
+@query("same_prefix_rerank_full", "SELECT g.qid, g.rel_docid, g.docid, s.score FROM (SELECT *, row_number() OVER (PARTITION BY qid, rel_docid ORDER BY md5(qid || ':' || rel_docid || ':' || docid), docid) AS n FROM grouped) g JOIN scores_v s ON s.qid = g.qid AND s.docid = g.docid WHERE n <= 50", {"grouped": GROUPED})
+def _(v):
+    order = F.row_number().over(W.partitionBy("qid", "rel_docid").orderBy(training.hash_order("qid", "rel_docid", "docid"), "docid"))
+    kept = same_prefix(v).withColumn("n", order).where("n <= 50").drop("n")
+    return kept.join(rounded(dense.all_pairs(v.query_vectors, v.vectors)), ["qid", "docid"])
+
+
+STRATA_200 = """SELECT qid, rel_docid, docid, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, rel_docid, part ORDER BY md5(qid || ':' || rel_docid || ':' || docid), docid) AS place FROM
+    (SELECT *, CASE WHEN size > 200 THEN least(floor((rank - 1) / floor(size / 20)), 19) ELSE 0 END AS part FROM
+    (SELECT g.*, row_number() OVER (PARTITION BY g.qid, g.rel_docid ORDER BY s.score DESC, g.docid) AS rank, count(*) OVER (PARTITION BY g.qid, g.rel_docid) AS size FROM grouped g JOIN scores_v s ON s.qid = g.qid AND s.docid = g.docid)))
+    WHERE size <= 200 OR place <= 10"""
+
+
+@query("hard_negative_rerank_full", STRATA_200, {"grouped": GROUPED})
+def _(v):
+    scored = same_prefix(v).join(rounded(dense.all_pairs(v.query_vectors, v.vectors)), ["qid", "docid"])
+    ranked = ranking.with_rank(scored, ["qid", "rel_docid"])
+    return training.stratified(ranked, 20, 200, "qid", "rel_docid").select("qid", "rel_docid", "docid", "rank")

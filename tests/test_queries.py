@@ -42,3 +42,27 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_full_limits_are_reached(spark):
+    from pyspark.sql import functions as F
+
+    q = registry.queries()
+    most = lambda df, *group: df.groupBy(*group).count().agg(F.max("count")).first()[0]
+    assert {r["n"] for r in q["negatives_top200_full"](spark, SF).collect()} == {200}
+    for name in ("add_qrel_to_rerank_full", "add_qrel_to_merged_rerank_full"):
+        assert most(q[name](spark, SF), "qid", "rel_docid") == 201
+    assert most(q["same_prefix_rerank_full"](spark, SF), "qid", "rel_docid") == 50
+    assert most(q["rq_search_full"](spark, SF), "qid") == 500  # all vectors
+    assert q["bow_docids_full"](spark, SF).agg(F.max(F.size(F.split("terms", " ")))).first()[0] == 64
+
+
+def test_strata_of_groups_beyond_200(spark):
+    # only sf0.1 has so many vectors of one first code
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.1/{t}.parquet'")
+    want = con.sql(SQL["hard_negative_rerank_full"])
+    got = registry.queries()["hard_negative_rerank_full"](spark, "/root/testdata/sf0.1").select(*want.columns).collect()
+    assert max(Counter((r["qid"], r["rel_docid"]) for r in got).values()) == 200
+    assert rows(map(tuple, got)) == rows(want.fetchall())

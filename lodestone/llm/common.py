@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,21 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def slices(batch: pa.RecordBatch, at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, without copies, whose texts in column ``at`` have about ``size`` bytes.
+
+    A text of more bytes is in a slice with what precedes it, so the memory for a slice follows
+    from ``size`` and the longest text. Spark itself bounds the bytes of a batch.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        done = int(ends[first - 1]) if first else 0
+        behind = max(first, int(np.searchsorted(ends, done + size))) + 1
+        yield batch.slice(first, behind - first)
+        first = behind
+
+
 def whole(text: str | Column) -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

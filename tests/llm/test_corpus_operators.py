@@ -101,9 +101,8 @@ def test_packing_holds_every_id_once(spark, sf_dir):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     df = docs_of(spark, EDGES).select("doc_id", "text", "source").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text", "source"))
-    df = df.unionByName(spark.createDataFrame([(50, "<|endoftext|> ½ 中文字 🙂🙂 don't ​ x\r\n\r\n   y 12345 ٣٤", "z")], "doc_id long, text string, source string"))
+    df = df.unionByName(spark.createDataFrame([(51, "<|endoftext|>", "z"), (52, "a  <|endoftext|><|endoftext|>  b<|endoftext|", "z"), (50, "<|endoftext|> ½ 中文字 🙂🙂 don't ​ x\r\n\r\n   y 12345 ٣٤", "z")], "doc_id long, text string, source string"))
     pieces = packing.pack(df, with_ids=True).collect()
     want = defaultdict(list)
     for r in df.collect():
@@ -127,6 +126,19 @@ def test_packing_holds_every_id_once(spark, sf_dir):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_ids_match_the_tokenizers_library_around_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode, rng = packing.encoder(packing.vocabulary()), np.random.default_rng(6)
+    parts = np.array(["<|endoftext|>", "<|endof", "text|>", "<|", "|>", " ", "  ", "\n", "a", "don't", "½", "中文", "🙂", "12", "\u200b", "\r\n", "<|endoftext|"])
+    texts = ["".join(parts[rng.integers(0, len(parts), rng.integers(0, 12))]) for _ in range(30_000)]
+    want = [x.ids for x in reference.encode_batch(texts, add_special_tokens=False)]
+    assert [encode(t) for t in texts] == want
+    assert sum(50256 in x for x in want) > 5_000
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 257, 1024)

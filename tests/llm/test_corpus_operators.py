@@ -1,5 +1,6 @@
 """Shuffle, dedup, packing, joins, mixing and the pipeline against plain versions."""
 
+import hashlib
 import itertools
 import re
 import zlib
@@ -40,14 +41,18 @@ def test_queries_match_their_sql(spark, sf_dir, name):
     assert rounded(map(tuple, got.collect())) == rounded(want.fetchall())
 
 
-@pytest.mark.parametrize("hash_of", [exact_dedup.text_hash, lambda t: F.length(t).cast("long")])
+BAD_HASHES = {
+    "hash": exact_dedup.text_hash,
+    "length": lambda t: F.length(t).cast("long"),  # other texts of the same key chain
+    "sign": lambda t: F.when(F.length(t) % 2 == 0, F.lit(-1)).otherwise(F.length(t)).cast("long"),
+    "one": lambda t: F.lit(7).cast("long"),
+}
+
+
+@pytest.mark.parametrize("hash_of", BAD_HASHES.values(), ids=BAD_HASHES)
 def test_exact_duplicates(spark, hash_of):
     df = docs_of(spark, EDGES)
-    index = exact_dedup.build_index(df, capacity=2, hash_of=hash_of)
-    entries = index.entries.collect()
-    assert sum(e["group_size"] for e in entries) == len(EDGES) == index.rows
-    assert len({e["sha256"] for e in entries}) == len(entries) == 5  # same hash, other bytes: another link
-    got = exact_dedup.exact_duplicates(df, capacity=2).collect()
+    got = exact_dedup.exact_duplicates(df, capacity=2, hash_of=hash_of).collect()
     assert len(got) == len(EDGES)
     by_text = defaultdict(list)
     for r in got:
@@ -55,21 +60,76 @@ def test_exact_duplicates(spark, hash_of):
     assert sorted(len(v) for v in by_text.values()) == [1, 1, 1, 2, 3]
     assert {r["keep_id"] for r in got if r["group_size"] == 3} == {4}
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
-    kept = exact_dedup.drop_copies(df, capacity=2)
+    kept = exact_dedup.drop_copies(df, capacity=2, hash_of=hash_of)
     assert kept.columns == df.columns
     assert Counter(r["text"] for r in kept.collect() if r["text"]) == Counter(t for t in {t for _, t, _ in EDGES} if t)
     assert kept.count() == 5
     assert exact_dedup.exact_duplicates(df.limit(0)).collect() == exact_dedup.drop_copies(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hash_of", BAD_HASHES.values(), ids=BAD_HASHES)
+def test_exact_duplicates_against_groups(spark, hash_of):
+    rng = np.random.default_rng(8)
+    texts = ["same"] * 400 + [f"t{i}" for i in rng.integers(0, 300, 1500)] + [f"{'x' * (i % 9)} {i}" for i in range(300)]
+    rows = [(int(i), texts[i], "s") for i in rng.permutation(len(texts))]
+    got = exact_dedup.exact_duplicates(docs_of(spark, rows).repartition(5), capacity=4, hash_of=hash_of).collect()
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[t].append(i)
+    of = {i: (max(g), len(g)) for g in groups.values() for i in g}
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == sorted((i, *v) for i, v in of.items())
+    kept = exact_dedup.drop_copies(docs_of(spark, rows), capacity=4, hash_of=hash_of).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(map(max, groups.values()))
+
+
+def test_the_index_holds_bytes_and_finds_later_rows(spark):
+    index = exact_dedup.build_index(docs_of(spark, EDGES), capacity=2, hash_of=BAD_HASHES["length"])
+    entries = index.entries.collect()
+    assert sorted(e["text"] for e in entries) == sorted({t or "" for _, t, _ in EDGES})
+    assert all(e["sha256"] == hashlib.sha256(e["text"].encode()).hexdigest() for e in entries)
+    assert sum(e["group_size"] for e in entries) == len(EDGES)
+    later = spark.createDataFrame([("one two",), ("six six",), ("no",), ("",)], "text string").withColumn("h", F.length("text").cast("long"))
+    found = {r["text"]: r["keep_id"] for r in exact_dedup.look_up(later, index).collect()}
+    assert found == {"one two": 4, "six six": None, "no": None, "": 2}
+
+
+def test_copies_meet_only_through_the_directory(spark, monkeypatch):
+    rows = [(i, f"t{i % 40}", "s") for i in range(160)]
+    want = exact_dedup.exact_duplicates(docs_of(spark, rows), capacity=4).where("kept").count()
+    assert want == 40
+    right = exact_dedup.Directory.find
+
+    def wrong(self, rows, key="h"):
+        found = right(self, rows, key)
+        return found.withColumn("bucket", F.col("bucket") + F.floor(F.col("id") / 40) % 2) if "id" in found.columns else found
+
+    monkeypatch.setattr(exact_dedup.Directory, "find", wrong)
+    monkeypatch.setattr(exact_dedup, "HOT_KEYS", 1)
+    assert exact_dedup.exact_duplicates(docs_of(spark, rows), capacity=4).where("kept").count() > want
+
+
 def test_directory_doubles_until_buckets_fit(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
     buckets = exact_dedup.grow_directory(keys, 100)
-    assert all(b.entries <= 100 for b in buckets)
+    assert all(0 < b.entries <= 100 for b in buckets)
     assert sum(2.0**-b.depth for b in buckets) == 1  # they cover all keys once
     assert sum(b.entries for b in buckets) == 3000
-    same = spark.range(50).select(F.lit(5).cast("long").alias("h"))
-    assert max(b.entries for b in exact_dedup.grow_directory(same, 10)) == 50  # equal keys chain
+    same = spark.range(50).select(F.lit(5).cast("long").alias("h")).distinct()
+    assert [(b.depth, b.entries) for b in exact_dedup.grow_directory(same, 10)] == [(0, 1)]  # equal keys chain
+
+
+@pytest.mark.parametrize("shift", [0, 13, 50, 63])
+def test_every_key_finds_its_own_bucket(spark, shift):
+    # the first keys need as many bits as the shift and more
+    close = spark.range(1 << min(11, 64 - shift)).select(F.shiftleft(F.lit(1).cast("long"), 63 - shift).bitwiseXOR(F.col("id")).alias("h"))
+    keys = close.unionByName(spark.range(2000).select(F.xxhash64("id").alias("h"))).distinct()
+    buckets = exact_dedup.grow_directory(keys, 1)
+    assert max(b.depth for b in buckets) >= 13 and len(buckets) == keys.count()
+    found = exact_dedup.Directory(spark, buckets, 3, 1, None).find(keys).collect()
+    for r in found:
+        b = buckets[r["bucket"]]
+        assert (r["h"] & (1 << 64) - 1) >> (64 - b.depth) == b.prefix
+    assert len({r["bucket"] for r in found}) == len(found)
 
 
 @pytest.mark.parametrize("rows", [0, 1, 15, 16, 1000])

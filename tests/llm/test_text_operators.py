@@ -18,7 +18,7 @@ EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "é" * 3), (5, "é" * 3
 def edge_rows(spark):
     # extra columns whose names the operators use themselves
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in EDGES], SCHEMA)
-    return df.withColumns({c: F.lit("other") for c in ("id", "data", "score", "kind", "spans", "h", "key", "_data")})
+    return df.withColumns({c: F.lit("other") for c in ("id", "data", "score", "kind", "spans", "h", "key", "key_0", "_data", "word", "row", "dir", "label", "license", "media")})
 
 
 def plain_spans(text):
@@ -67,7 +67,9 @@ def test_edge_rows(spark, name):
         "media": lambda d: media.media_column(d),
         "licenses": lambda d: licenses.scan_licenses(d.withColumn("path", F.lit("/a//b.txt"))),
     }[name]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     rows = made(df).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     assert len(rows) == len(EDGES)
     twice = [tuple(r) for r in rows if r["doc_id"] == 5]
     assert twice[0] == twice[1]
@@ -94,11 +96,40 @@ def test_forward_sums_all_segmentations():
 
     found = [b" the", b" a", "é".encode(), b" nation"]
     assert np.allclose(langid.Lattice(found, langid.places(langid.vocabulary())).score(prob), [np.log(plain(w)) for w in found])
+
+    def plain_log(word):
+        """The same sum from the left, in exact fractions of powers of two."""
+        mantissa, power = [np.ones(2)], [0]
+        for e in range(1, len(word) + 1):
+            top = max(power[max(0, e - 33) : e])
+            x = sum((prob[known[word[s:e]]] * mantissa[s] * 2.0 ** (power[s] - top) for s in range(max(0, e - 33), e) if word[s:e] in known), np.zeros(2))
+            shift = int(np.floor(np.log2(x.max())))
+            mantissa.append(x * 2.0**-shift)
+            power.append(top + shift)
+        return np.log(mantissa[-1]) + power[-1] * np.log(2)
+
+    # whole words without spaces, long pieces, blocks and scaling; groups of unlike lengths
+    long = [" 語言識別不需要空格".encode() * 7 + b"!" * 11, b" " + b"governmentinternationalresponsibility" * 90, b" " + bytes(rng.integers(1, 256, 2500).astype(np.uint8)), b"x" * 33, b" " * 40, b"\0" * 35]
+    assert len(long[0]) > 200 and any(len(p) > 8 and p in long[1] for p in known)
+    many = [*found, *long, *(long[1][i : i + n] for i, n in zip(range(60), rng.integers(1, 300, 60), strict=True))]
+    assert np.allclose(langid.Lattice(many, langid.places(langid.vocabulary())).score(prob), [plain_log(w) for w in many], rtol=1e-10)
     # expected uses weigh each segmentation by its probability: bytes are covered once
+    found += [" international".encode(), b" " * 20]
     uses = langid.Lattice(found, langid.places(langid.vocabulary())).expected(prob[:, 0], np.ones(len(found)))
     assert np.isclose((uses * [len(p) for p in known]).sum(), sum(map(len, found)))
 
 
+def test_any_number_of_languages_is_predicted(spark):
+    # a language each of its own letters, more than are scored together, and words beyond the sample's parts
+    tags = {f"l{i:03}": "".join(chr(0x4E00 + 50 * i + j) for j in range(50)) for i in range(langid.TOGETHER + 9)}
+    df = spark.createDataFrame([(i, v + " " + v[:20] * 200, k) for i, (k, v) in enumerate(tags.items())], "doc_id long, text string, lang string")
+    model = langid.train(df, held=None)
+    assert model.languages == sorted(tags)
+    got = langid.identify(df, model).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+    assert b"".join(langid.fit_parts(w := " 語言".encode() * 30)) == w and all(x.decode() for x in langid.fit_parts(w))
+
+
 def held_out(spark, rows, right):
     return rows.where("held_out").agg(F.avg(right.cast("double"))).first()[0]
 
@@ -117,15 +148,41 @@ def test_quality_accuracy(spark):
     found = registry.queries()["op3_quality"](spark, sf)
     true = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
     assert held_out(spark, found.join(true, "doc_id"), F.col("quality") == F.col("predicted")) > 0.9
+    rows = found.join(true, "doc_id").where("held_out").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) > 0.98  # area under the curve
+
+
+def plain_score(net, text):
+    """Window by window, chunk by chunk."""
+    window = lambda i: np.maximum(0, sum((net.filters[k, text[i + k] if i + k < len(text) else 0] for k in range(quality.WIDTH)), net.bias.astype(float)))
+    chunks = [range(i, min(i + quality.CHUNK, len(text))) for i in range(0, max(1, len(text) - quality.HALF), quality.HALF)]
+    best = np.array([np.max([window(i) for i in chunk], axis=0) for chunk in chunks]) if text else np.zeros((1, quality.FILTERS))
+    return 1 / (1 + np.exp(-(best.mean(axis=0) @ net.mean + best.max(axis=0) @ net.top + net.base)))
 
 
-def test_quality_scores_do_not_depend_on_neighbours():
+def test_quality_scores_match_a_plain_network(monkeypatch):
+    rng = random.Random(9)
     texts = [b"", b"a", b"ab", b"\0" * 40, b"the cat " * 300, b"&&& " * 7, "é".encode() * 555]
+    texts += [bytes(rng.choices(range(256), k=n)) for n in (255, 256, 257, 511, 512, 513, 768, 769, 1024, 1025, 3000)]
     net = quality.fit(texts, np.arange(len(texts)) % 2.0, np.ones(len(texts)), epochs=2)
-    alone = [net.score([t])[0] for t in texts]
-    assert np.allclose(net.score(texts), alone, atol=1e-12)
-    assert np.allclose(net.score(texts[::-1])[::-1], alone, atol=1e-12)
-    assert np.allclose(quality.score_batch(net, texts), alone, atol=1e-12)
+    want = [plain_score(net, t) for t in texts]
+    assert np.allclose(net.score(texts), want, atol=1e-5)
+    assert np.allclose(net.score(texts[::-1])[::-1], want, atol=1e-5)
+    assert np.allclose([net.score([t])[0] for t in texts], net.score(texts), atol=1e-12)
+    monkeypatch.setattr(quality, "SEGMENT", 2)
+    monkeypatch.setattr(quality, "TOGETHER", 600)
+    assert np.allclose(net.score(texts), want, atol=1e-5)
+
+
+def test_quality_learns_from_long_texts(spark):
+    rows = [(i, ("good words here " if i % 2 else "zz&&## ") * (1 + 3000 * (i % 3 == 0)), i % 2) for i in range(120)]
+    rows += [(1000, "x", 7), (1001, "only a label", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = df.select("doc_id", "quality").unionByName(spark.range(5000, 9000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    texts, y, _ = quality.sample(df, labels, "doc_id", "text", None)
+    assert len(texts) == 120 and y.sum() == 60 and max(map(len, texts)) <= quality.SAMPLE_BYTES
+    assert {len(t) for t in texts} == {7, 16, quality.SAMPLE_BYTES}
 
 
 def test_media_round_trip():

@@ -1,23 +1,25 @@
 """Document quality by a byte-level convolutional network in numpy.
 
-A text is its UTF-8 bytes, each with one bit more: whether the 16 bytes from
-there occur again later in the text. Chunks of these symbols overlap by a
-filter's width, so every window of the whole text lies in a chunk. Learned
-filters slide over a chunk, are rectified and max-pooled; the mean and the
-maximum of the chunks' features are combined into one probability.
+A text is its UTF-8 bytes. Learned filters see WIDTH bytes from every byte of
+it; the last ones see zeros behind its end. Chunks of CHUNK such windows overlap
+by half and cover the whole text. Each filter is rectified and max-pooled over
+each chunk, and the mean and the maximum over all chunks are combined into one
+probability. Long texts are read in segments, whose chunks add up, so memory
+does not grow with a text beyond its own bytes.
 
 The network is fitted on the driver to a sample of labelled rows that is
-bounded by ``SAMPLE`` rows of each label and ``SAMPLE_BYTES`` bytes of a text;
-all other counts, and every score, cover all rows and whole texts. Fitting is
-seeded and does not depend on the order of rows.
+bounded by ``SAMPLE`` rows of each label, whatever their length; of a text of
+more than ``SAMPLE_BYTES`` bytes it is fitted to ``EXCERPTS`` parts of together
+so many, at places that a hash draws. All counts, and every score, cover all
+rows and whole texts. Fitting is seeded and does not depend on the order of rows.
 
 A null text counts as empty; an empty text has the features 0 and gets a score
 like any other. Equal texts get equal scores. Labels, language, source and key
 are never inputs of a score. A key without a row or a row without a label does
 not matter; contradicting labels of a key are both used. Without labels of both
 kinds every score is the share of good labels, 0.5 if there are none. Empty
-tables give no rows. Other columns are returned as they came by
-:func:`keep_good`, else neither read nor returned.
+tables give no rows. Other columns, whatever their names, are returned as they
+came by :func:`keep_good`, else neither read nor returned.
 """
 
 from __future__ import annotations
@@ -27,101 +29,106 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fold, table, whole
+from .common import fold, materialize, slices, table, whole
 
-WIDTH, FILTERS, CHUNK, STRIDE = 6, 12, 512, 2
-SAMPLE, SAMPLE_BYTES = 1200, 16_384
+WIDTH, FILTERS, CHUNK = 6, 12, 512
+HALF = CHUNK // 2
+SAMPLE, SAMPLE_BYTES, EXCERPTS = 1200, 16_384, 4
 FOLDS, THRESHOLD = 5, 0.3
-AGAIN = 16
-_BATCH_BYTES = 1 << 20
+#: Halves of chunks in a segment, and window starts that are scored together.
+SEGMENT, TOGETHER = 512, 1 << 18
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols of all texts with zeros behind each, starts and end, lengths).
-
-    A symbol is the byte, plus 256 if the next AGAIN bytes occur again later.
-    Every text begins at an even place and has a hash table of its own, so its
-    symbols and windows do not depend on the texts beside it.
-    """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(t + bytes(WIDTH + len(t) % STRIDE) for t in texts), np.uint8)
-    spans = sizes + WIDTH + sizes % STRIDE
-    starts = np.concatenate([[0], np.cumsum(spans)])
-    h = data.astype(np.uint64) + np.uint64(1)
-    reach = 1
-    while reach < AGAIN:  # hashes of 2, 4, 8, 16 bytes
-        ahead = np.zeros_like(h)
-        ahead[:-reach] = h[reach:]
-        h = h * np.uint64(0x9E3779B97F4A7C15) + (ahead ^ (ahead >> np.uint64(29)))
-        reach *= 2
-    rooms = 4 * sizes + 1
-    first = np.concatenate([[0], np.cumsum(rooms)])
-    slot = np.repeat(first[:-1], spans) + ((h >> np.uint64(8)) % np.repeat(rooms.astype(np.uint64), spans)).astype(np.int64)
-    places = np.arange(len(data))
-    whole_window = places + AGAIN <= np.repeat(starts[:-1] + sizes, spans)
-    last = np.zeros(first[-1], np.int64)
-    last[slot[whole_window]] = places[whole_window]
-    seen = last[slot]
-    again = whole_window & (seen > places) & (h[seen] == h)
-    return data.astype(np.int32) + 256 * again, starts, sizes
+def segments(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """(bytes, window starts) of runs of whole chunks; each chunk is in one run."""
+    halves = max(1, -(-len(text) // HALF))
+    for first in range(0, max(1, halves - 1), SEGMENT):
+        at = first * HALF
+        starts = min(len(text) - at, (SEGMENT + 1) * HALF)
+        yield text[at : at + starts + WIDTH - 1], starts
 
 
 @dataclass
 class Network:
-    """Filters by place, symbol and number; the weights of pooled features."""
+    """Filters by place, byte and number; the weights of pooled features."""
 
-    filters: np.ndarray  # WIDTH x 512 x FILTERS
+    filters: np.ndarray  # WIDTH x 256 x FILTERS
     bias: np.ndarray  # FILTERS
     mean: np.ndarray  # of the chunks' mean
     top: np.ndarray  # of the chunks' maximum
     base: float
 
-    def pooled(self, s: np.ndarray, ends: np.ndarray, chunk_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(features of each chunk, the values of all windows).
+    def windows(self, parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, the filters' values from each byte, first byte and number of halves of each part).
 
-        Windows begin at every STRIDE-th symbol of a text; the last of a chunk
-        reach into the next, which is how chunks overlap. ``ends`` has the end
-        of the text for each symbol; windows from there on do not count.
+        Windows from beyond the starts of a part have no value.
         """
-        at = np.arange(0, len(s), STRIDE)
-        padded = np.concatenate([s, np.zeros(WIDTH, s.dtype)])
-        out = self.filters[0].take(padded[at], axis=0)
+        starts = np.array([n for _, n in parts], np.int64)
+        data = np.frombuffer(b"".join(t.ljust(n + WIDTH - 1, b"\0") for t, n in parts) + bytes(WIDTH), np.uint8)
+        begin = np.cumsum(starts + WIDTH - 1) - (starts + WIDTH - 1)
+        n = len(data) - WIDTH
+        out = self.filters[0].take(data[:n], axis=0)
         for k in range(1, WIDTH):
-            out += self.filters[k].take(padded[at + k], axis=0)
+            out += self.filters[k].take(data[k : n + k], axis=0)
         out += self.bias
-        out[at >= ends[at]] = -1e9
-        first = np.searchsorted(at, chunk_starts)
-        return np.maximum(np.maximum.reduceat(out, first, axis=0), 0), out
-
-    def features(self, texts: list[bytes]) -> tuple:
-        s, starts, sizes = symbols(texts)
-        chunks = np.maximum(1, -(-sizes // CHUNK))
-        owner = np.repeat(np.arange(len(texts)), chunks)
-        order = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        begin = starts[owner] + order * CHUNK
-        top, out = self.pooled(s, np.repeat(starts[:-1] + sizes, np.diff(starts)), begin)
-        head = np.concatenate([[0], np.cumsum(chunks)[:-1]])
-        empty = (sizes == 0)[:, None]
-        mean = np.where(empty, 0, np.add.reduceat(top, head, axis=0) / chunks[:, None])
-        best = np.where(empty, 0, np.maximum.reduceat(top, head, axis=0))
-        return mean, best, top, out, s, begin, owner, chunks, empty
+        behind = (begin + starts)[:, None] + np.arange(WIDTH - 1)
+        out[behind.ravel()] = -1e9
+        return data, out, begin, np.maximum(1, -(-starts // HALF))
+
+    def chunks(self, parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, ...]:
+        """(values of chunks, part of each, first byte of each half, first half of each chunk, whether it has a second, windows, bytes)."""
+        data, out, begin, halves = self.windows(parts)
+        part = np.repeat(np.arange(len(parts)), halves)
+        number = np.arange(len(part)) - np.repeat(np.cumsum(halves) - halves, halves)
+        at = begin[part] + number * HALF
+        half = np.maximum.reduceat(out, at, axis=0)
+        two = number + 1 < halves[part]
+        first = np.flatnonzero(two | (halves[part] == 1))
+        two = two[first]
+        value = np.where(two[:, None], np.maximum(half[first], half[np.minimum(first + 1, len(half) - 1)]), half[first])
+        return np.maximum(value, 0), part[first], at, first, two, out, data
+
+    def combine(self, mean: np.ndarray, top: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(mean @ self.mean + top @ self.top + self.base, -30, 30)))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        mean, best, *_ = self.features(texts)
-        return 1 / (1 + np.exp(-np.clip(mean @ self.mean + best @ self.top + self.base, -30, 30)))
+        """The probability of each text; parts of about TOGETHER windows are in memory at a time."""
+        total, top, count = np.zeros((len(texts), FILTERS)), np.zeros((len(texts), FILTERS)), np.zeros(len(texts))
+        waiting: list[tuple[bytes, int]] = []
+        owners: list[int] = []
+
+        def settle() -> None:
+            value, part, *_ = self.chunks(waiting)
+            owner = np.array(owners)[part]
+            np.add.at(total, owner, value)
+            np.maximum.at(top, owner, value)
+            np.add.at(count, owner, 1)
+            waiting.clear()
+            owners.clear()
+
+        held = 0
+        for i, text in enumerate(texts):
+            for part in segments(text) if text else ():
+                waiting.append(part)
+                owners.append(i)
+                held += part[1]
+                if held >= TOGETHER:
+                    settle()
+                    held = 0
+        if waiting:
+            settle()
+        return self.combine(total / np.maximum(count, 1)[:, None], top)
 
 
 def constant(share: float) -> Network:
     share = min(max(share, 1e-6), 1 - 1e-6)
-    return Network(np.zeros((WIDTH, 512, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS), np.zeros(FILTERS), float(np.log(share / (1 - share))))
+    return Network(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS), np.zeros(FILTERS), float(np.log(share / (1 - share))))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.02, seed: int = 7) -> Network:
+def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, batch: int = 48, rate: float = 0.02, seed: int = 7) -> Network:
     """Adam on the weighted log loss; only the windows at a chunk's maxima have gradients."""
     rng = np.random.default_rng(seed)
     net = constant(float((labels * weights).sum() / weights.sum()))
@@ -134,22 +141,22 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
             pick = order[i : i + batch]
-            mean, best, top, out, s, begin, owner, chunks, empty = net.features([texts[j] for j in pick])
-            p = 1 / (1 + np.exp(-np.clip(mean @ net.mean + best @ net.top + net.base, -30, 30)))
-            d = (p - labels[pick]) * weights[pick] / len(pick)
+            value, owner, at, first, two, out, data = net.chunks([(texts[j], len(texts[j])) for j in pick])
+            count = np.bincount(owner, minlength=len(pick))
+            head = np.cumsum(count) - count
+            mean, top = np.add.reduceat(value, head, axis=0) / count[:, None], np.maximum.reduceat(value, head, axis=0)
+            d = (net.combine(mean, top) - labels[pick]) * weights[pick] / len(pick)
             # through the mean of all chunks, and the maximum of one chunk
-            g = (d / chunks)[owner, None] * net.mean
-            is_best = (top == best[owner]) & (top > 0)
-            g = np.where(empty[owner], 0, g + is_best * (d[owner, None] * net.top)) * (top > 0)
-            first = begin // STRIDE
-            at = np.empty(top.shape, np.int64)
-            for c, (lo, hi) in enumerate(zip(first, [*first[1:], len(out)], strict=True)):
-                at[c] = lo + out[lo:hi].argmax(axis=0)
-            grads = [np.zeros_like(net.filters), g.sum(axis=0), mean.T @ d + 1e-4 * net.mean, best.T @ d + 1e-4 * net.top]
-            padded = np.concatenate([s, np.zeros(WIDTH + STRIDE, s.dtype)])
-            f = np.broadcast_to(np.arange(FILTERS), at.shape)
+            g = (d / count)[owner, None] * net.mean + (value == top[owner]) * (d[owner, None] * net.top)
+            g *= value > 0
+            last = np.append(at, len(out))
+            best = np.empty(value.shape, np.int64)
+            for c, (h, pair) in enumerate(zip(first.tolist(), two.tolist(), strict=True)):
+                best[c] = last[h] + out[last[h] : last[h + 1 + pair]].argmax(axis=0)
+            grads = [np.zeros_like(net.filters), g.sum(axis=0), mean.T @ d + 1e-4 * net.mean, top.T @ d + 1e-4 * net.top]
+            f = np.broadcast_to(np.arange(FILTERS), best.shape)
             for k in range(WIDTH):
-                np.add.at(grads[0][k], (padded[at * STRIDE + k], f), g)
+                np.add.at(grads[0][k], (data[best + k], f), g)
             t += 1
             step = rate * min(1, 2 * (1 - epoch / epochs))
             for p_, g_, (m, v) in zip((net.filters, net.bias, net.mean, net.top), grads, state, strict=True):
@@ -161,23 +168,31 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
     return net
 
 
+def excerpt(data: Column, key: Column) -> Column:
+    """The bytes, or EXCERPTS parts of together SAMPLE_BYTES at hashed places if there are more."""
+    size = SAMPLE_BYTES // EXCERPTS
+    parts = [F.substring(data, F.pmod(F.xxhash64(key, F.lit(i)), F.octet_length(data) - size).cast("int") + 1, F.lit(size)) for i in range(EXCERPTS)]
+    return F.when(F.octet_length(data) <= SAMPLE_BYTES, data).otherwise(F.concat(*parts))
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held: int | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(texts, labels, weights): at most SAMPLE rows of each label, by a hash of the key.
+    """(texts, labels, weights): at most SAMPLE rows of each label that have a document, by a hash of the key.
 
     The weights give each label its share among all labelled rows. ``held`` is
     the remainder of the fold that is left out, if any.
     """
-    rows = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
+    rows = labels.select(F.col("doc_id").alias("key"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("key").isNotNull())
     if held is not None:
-        rows = rows.where(fold("_id", FOLDS) != held)
-    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}  # two rows
-    parts = [rows.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(2 * SAMPLE) for k in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).distinct()
-    text = whole(text_col)
-    near = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).where(F.octet_length(text) <= SAMPLE_BYTES)
-    found = near.join(F.broadcast(chosen), "_id")  # 4 * SAMPLE keys at most
-    parts = [found.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id", "_text").limit(SAMPLE) for k in (0, 1)]
-    got = [(r["_text"].encode(), r["_label"]) for p in parts for r in p.collect()]
+        rows = rows.where(fold("key", FOLDS) != held)
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+    known = docs.select(F.col(id_col).alias("key"), whole(text_col).cast("binary").alias("data"))
+    order = [F.xxhash64("key"), "key"]
+    with_text = rows.join(known.select("key"), "key", "left_semi")
+    parts = [with_text.where(F.col("label") == k).orderBy(*order).limit(SAMPLE) for k in (0, 1)]
+    chosen = materialize(parts[0].unionByName(parts[1]).distinct(), "sample")
+    found = known.join(F.broadcast(chosen), "key").select("key", "label", excerpt(F.col("data"), F.col("key")).alias("data"))  # 2 * SAMPLE keys at most
+    parts = [found.where(F.col("label") == k).orderBy(*order, "data").limit(SAMPLE) for k in (0, 1)]
+    got = [(bytes(r["data"]), r["label"]) for p in parts for r in p.collect()]
     y = np.array([label for _, label in got], float)
     total = max(1, sum(counts.values()))
     share = np.array([counts.get(int(label), 0) / total / max(1, (y == label).sum()) for label in y])
@@ -191,45 +206,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(texts, y, weights)
 
 
-def score_batch(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Scores in parts of about a megabyte, so that memory is bounded by the longest text."""
-    out, part, size = [], [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= _BATCH_BYTES:
-            out.append(net.score(part))
-            part, size = [], 0
-    return np.concatenate([*out, net.score(part)])
-
-
 def with_score(df: DataFrame, net: Network, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``id_cols`` and ``score`` of every row."""
-    spark = df.sparkSession
-    arrow_rows(spark)
-    shared = spark.sparkContext.broadcast(net)  # a few hundred kilobytes
-    rows = df.select(*id_cols, whole(text_col).cast("binary").alias("_data"))
+    shared = df.sparkSession.sparkContext.broadcast(net)  # a few hundred kilobytes
+    rows = df.select(*(F.col(c).alias(f"key_{i}") for i, c in enumerate(id_cols)), whole(text_col).cast("binary").alias("data"))
     n = len(id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = score_batch(shared.value, batch.column(n).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(score, pa.float64())], [*batch.schema.names[:n], "score"])
+            for part in slices(batch, n):
+                score = shared.value.score(part.column(n).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(score, pa.float64())], [*part.schema.names[:n], "score"])
 
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in id_cols)
-    return rows.mapInArrow(run, (fields and fields + ", ") + "score double")
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:n])
+    scored = rows.mapInArrow(run, fields + "score double")
+    return scored.select(*(F.col(f"key_{i}").alias(c) for i, c in enumerate(id_cols)), "score")
 
 
 def keep_good(df: DataFrame, net: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` whose text scores at least ``threshold``, as they came."""
-    arrow_rows(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(net)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(score_batch(shared.value, texts) >= threshold))
+            for part in slices(batch, at):
+                texts = [(t or "").encode() for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(shared.value.score(texts) >= threshold))
 
     return df.mapInArrow(run, df.schema)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, broadcast_if_small, materialize, table
+from .common import broadcast_if_small, materialize, table
 
 LINE, WINDOW, FILE = 0.6, 0.8, 0.8
 
@@ -177,8 +177,6 @@ def frequencies(df: DataFrame, text_col: str) -> tuple[dict[str, int], int]:
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
     """``id_col``, path, own_license, own_score, license, license_path, inherited of each row."""
-    spark = df.sparkSession
-    arrow_rows(spark)
     matcher = Matcher(*frequencies(df, text_col))
     rows = df.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
 

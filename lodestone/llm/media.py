@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table, whole
+from .common import slices, table, whole
 
 UNIT = 64
 MOST_BLOCKS = 8191  # 65,528 pixels to a side
@@ -419,18 +419,17 @@ _OUT = [("id", None), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("
 
 def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
     """The stored form of each text with its digests and feature; nothing is shuffled."""
-    arrow_rows(df.sparkSession, 500)
     rows = df.select(F.col(id_col).alias("id"), whole(text_col).cast("binary").alias("data"))
     names = [n for n, _ in _OUT if with_media or n != "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, 1)):
             found = [
                 (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), what, *[file] * with_media)
-                for n, file, payload, what in store(batch.column(1).to_pylist())
+                for n, file, payload, what in store(part.column(1).to_pylist())
             ]
             columns = list(zip(*found, strict=True)) or [()] * (len(names) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, (_, k) in zip(columns, _OUT[1:], strict=False))], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, (_, k) in zip(columns, _OUT[1:], strict=False))], names)
 
     kinds = {"n_bytes": "long", "payload_bytes": "long", "tail_crc32": "long", "media_bytes": "long", "media": "binary"}
     fields = ", ".join(f"{n} {kinds.get(n, 'string') if n != 'id' else rows.schema['id'].dataType.simpleString()}" for n in names)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import automaton
-from .common import arrow_rows, table, whole
+from .common import slices, table, whole
 
 
 @dataclass(frozen=True)
@@ -139,16 +139,15 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     One task reads each part of the scan; nothing is shuffled. A row without a
     secret has an empty array.
     """
-    arrow_rows(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), whole(text_col).cast("binary").alias("data"))
     kind = {f.name: f.dataType for f in rows.schema}["id"].simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = scanner(rules)
-        for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in compiled.spans(x)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, span)], ["id", "spans"])
+        for part in (p for batch in batches for p in slices(batch, 1)):
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in compiled.spans(x)] for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, span)], ["id", "spans"])
 
     out = rows.mapInArrow(scan, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
     return out.select(F.col("id").alias(id_col), "spans")

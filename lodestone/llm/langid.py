@@ -46,6 +46,8 @@ SAMPLE, SAMPLE_WORDS, FIT_BYTES = 300, 20_000, 32
 UNKNOWN = "und"
 #: Languages scored at a time, bytes of remembered scores, of one group of words, and the positions of a block.
 TOGETHER, MEMORY, GROUP, BLOCK = 64, 128 << 20, 16 << 20, 1024
+#: Parts in which a language's words are ranked.
+PARTS = 8
 #: Pieces up to this length are found by their bytes as a number, longer ones by their first bytes.
 SHORT = 8
 #: Positions between two scalings; a probability is far above 1e-300 to the power of their share of it.
@@ -312,7 +314,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held: int
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
     counts = texts.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    # the most frequent of each of a few parts of a language's words; fit() takes the most frequent of these
+    best = F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(PARTS))).orderBy(F.desc("n"), "word"))
     found: dict[str, Counter] = {}
     for row in counts.withColumn("r", best).where(F.col("r") <= SAMPLE_WORDS).toLocalIterator():
         found.setdefault(row["lang"], Counter())[bytes(row["word"])] = row["n"]

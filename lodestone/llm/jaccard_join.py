@@ -3,7 +3,7 @@
 The distance 1 - J is a metric, so a pivot's distances bound those between the
 documents around it. Among unrelated texts it is 1 nearly everywhere, and there
 windows around pivots hold everything; pivots can part only documents that
-already overlap. The join therefore has two levels.
+already overlap. The join therefore starts from coarse regions.
 
 *Coarse regions.* Shingles fall into hashed classes, of which there are more
 than two linked sets of that size can differ in elements, so two linked sets
@@ -15,29 +15,39 @@ can be there. Classes in which a document is empty count only for documents
 with too few others to be sure of an agreement. The surplus of classes says how
 many regions a document shares with any linked one; with fewer it has no link.
 
-*Pivots.* Each region's pivot is its document with the most company. Distances
-to pivots are exact, and a pivot gives way to one that it is linked with and
-that has more company; all documents of a pivot's regions then are its cell. As
-linked documents share several regions, each can leave the cells in which it has
-the fewest and still meet every linked one.
-All within the threshold are of one component and need no comparison among
-themselves. For the others the cell is centred on its pivot: a document becomes
-its deviation, the shingles in which it differs from the pivot, and two
-documents differ exactly where their deviations differ. By the triangle
-inequality two linked documents, one of them beyond the threshold, have
-deviations whose sizes differ little and that overlap in a known number of
-shingles, so they meet in one of the first of these in the order of their
-frequency in the cell. Each document is replicated to the sub-regions of those
-few shingles, its window, and what meets there is compared, so no link is lost
-and a cell's documents are not all compared with each other.
+*Voronoi regions.* Each coarse region's pivot is its document with the most
+company, and a pivot gives way to one that it is linked with and that has more.
+Documents measure their exact distance to the pivots of their coarse regions;
+the nearest is a document's home. Those within the threshold of a pivot are of
+one component and need no comparison among themselves. Then each document
+measures the homes of all others of its coarse regions too, and is replicated to
+those at most the threshold farther than its own home. Of two linked documents
+let x be nearer to its home p than y is to its own: by the triangle inequality y
+is at most the threshold farther from p than x, so it is replicated there and
+they meet. Where a coarse region has more than ``HOMES`` homes its documents do
+not measure them all, but are all replicated to its own pivot.
+
+*Recursion.* In a Voronoi region of more than ``LEAF`` documents some of these
+become pivots, all others measure all of them, and the same windows split it
+again, until regions are small or do not get smaller.
+
+*Leaves.* What is left is centred on the first pivot: a document becomes its
+deviation, the shingles in which it differs from the pivot, and two documents
+differ exactly where their deviations differ. By the triangle inequality two
+linked documents, one of them beyond the threshold, have deviations whose sizes
+differ little and that overlap in a known number of shingles, so they meet in
+one of the first of these in the order of their frequency in the region. What
+meets there is compared, so no link is lost and a region's documents are not all
+compared with each other.
 
 Sets are compared as 64-bit shingle hashes, whole. Texts of equal sets, such as
 copies, are one node. A null or empty text or one without words has no shingles,
 is linked with nothing and its own component; a text with fewer words than a
 shingle has one shingle of all its words. A component's id is the smallest
 non-null key of its rows; rows that repeat key and text are like other copies.
-An empty table gives no rows. Other columns are neither read nor returned,
-except that :func:`one_of_each` returns the rows it keeps as they came.
+An empty table gives no rows. Other columns, whatever their names, are neither
+read nor returned, except that :func:`one_of_each` returns the rows it keeps as
+they came.
 """
 
 from __future__ import annotations
@@ -54,9 +64,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, broadcast_if_small, materialize, table, whole
+from .common import broadcast_if_small, fresh, materialize, release, slices, table, whole
 
-_PART = 1 << 20
+#: Homes that the documents of a coarse region measure, documents of a region that is not split, and pivots of one that is.
+HOMES, LEAF, PIVOTS = 4, 512, 8
+#: Edges whose nodes' least neighbours, at most two for each, are broadcast.
+EDGES = 200_000
 _LEVEL_RATIO = 1.5
 U = np.uint64
 
@@ -226,18 +239,6 @@ def signatures(h: np.ndarray, counts: np.ndarray, measure: Measure) -> tuple[np.
     return sig[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(counts)), least
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about a megabyte."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= _PART:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def _key(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     both = np.stack([a, b], axis=1).astype(">u8")
     return [x.tobytes() if n else None for x, n in zip(both, counts.tolist(), strict=True)]
@@ -258,26 +259,24 @@ def describe(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for lo, hi in _parts(texts):
-                h, counts = shingle_sets(texts[lo:hi], measure.words)
-                a, b, node = identities(h, counts)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                fresh = np.zeros(len(counts), bool)
-                for i, x in enumerate(node.tolist()):
-                    if counts[i] and x not in seen:
-                        seen.add(x)
-                        fresh[i] = True
-                sig, many, few = signatures(h[np.repeat(fresh, counts)], counts[fresh], measure)
-                own = np.zeros(len(counts), np.int64)
-                own[fresh] = many
-                least = np.zeros(len(counts), np.int32)
-                least[fresh] = few
-                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(_key(a, b, counts), pa.binary()), pa.array(node.view(np.int64)), pa.array(row + np.arange(len(counts))), pa.array(least), _listed(sig, own)]
-                row += len(counts)
-                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n_shingles", "key", "node", "row", "least", "sigs"])
+        for part in (p for batch in batches for p in slices(batch, 2)):
+            h, counts = shingle_sets(part.column(2).to_pylist(), measure.words)
+            a, b, node = identities(h, counts)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            new = np.zeros(len(counts), bool)
+            for i, x in enumerate(node.tolist()):
+                if counts[i] and x not in seen:
+                    seen.add(x)
+                    new[i] = True
+            sig, many, few = signatures(h[np.repeat(new, counts)], counts[new], measure)
+            own = np.zeros(len(counts), np.int64)
+            own[new] = many
+            least = np.zeros(len(counts), np.int32)
+            least[new] = few
+            columns = [part.column(0), part.column(1), pa.array(counts.astype(np.int64)), pa.array(_key(a, b, counts), pa.binary()), pa.array(node.view(np.int64)), pa.array(row + np.arange(len(counts))), pa.array(least), _listed(sig, own)]
+            row += len(counts)
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n_shingles", "key", "node", "row", "least", "sigs"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return materialize(rows.mapInArrow(run, f"id {kind}, h long, n_shingles long, key binary, node long, row long, least int, sigs array<long>"), "shingles")
@@ -285,21 +284,19 @@ def describe(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> Dat
 
 def gather_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
     """key, node, n, items of each wanted (id, key), from the texts again."""
-    wanted = broadcast_if_small(wanted.withColumnsRenamed({"id": "_id", "key": "_key"}), 500_000)
+    wanted = broadcast_if_small(wanted.withColumnsRenamed({"id": "asked_id", "key": "asked"}), 500_000)
     rows = df.select(F.col(id_col).alias("id"), whole(text_col).cast("binary").alias("data"))
-    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("_key", "data")
+    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("asked_id"))).select("asked", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in _parts(texts):
-                h, counts = shingle_sets(texts[lo:hi], measure.words)
-                a, b, node = identities(h, counts)
-                keys = _key(a, b, counts)
-                same = np.array([k == q for k, q in zip(keys, asked[lo:hi], strict=True)], bool)
-                if same.any():
-                    columns = [pa.array([k for k, s in zip(keys, same, strict=True) if s], pa.binary()), pa.array(node[same].view(np.int64)), pa.array(counts[same].astype(np.int64)), _listed(h[np.repeat(same, counts)], counts[same])]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "items"])
+        for part in (p for batch in batches for p in slices(batch, 1)):
+            h, counts = shingle_sets(part.column(1).to_pylist(), measure.words)
+            a, b, node = identities(h, counts)
+            keys = _key(a, b, counts)
+            same = np.array([k == q for k, q in zip(keys, part.column(0).to_pylist(), strict=True)], bool)
+            if same.any():
+                columns = [pa.array([k for k, s in zip(keys, same, strict=True) if s], pa.binary()), pa.array(node[same].view(np.int64)), pa.array(counts[same].astype(np.int64)), _listed(h[np.repeat(same, counts)], counts[same])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "items"])
 
     sets = materialize(rows.mapInArrow(run, "key binary, node long, n long, items array<long>"), "sets")
     # rows that repeat key and text would be compared again and again
@@ -315,15 +312,22 @@ def paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, label) of all nodes of the (a, b) ``edges``, by alternating stars."""
+    """(key, label) of all nodes of the (a, b) ``edges``, by alternating stars.
+
+    Least neighbours are broadcast while there are few edges, else written, so
+    that the join can split the edges of a hub among tasks.
+    """
+
+    def known(least: DataFrame) -> DataFrame:
+        return F.broadcast(least) if now[0] <= EDGES else materialize(least, "least")
 
     def large(e: DataFrame) -> DataFrame:
         sym = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return sym.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return sym.where(F.col("b") > F.col("a")).join(known(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        least = known(e.groupBy("a").agg(F.min("b").alias("m")))
         moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -333,9 +337,12 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = state(edges)
+    now, written = state(edges), False
     while now[0]:
-        edges = materialize(tidy(small(tidy(large(edges)))), "stars", 2 * now[0])
+        more = materialize(tidy(small(tidy(large(edges)))), "stars", 2 * now[0])
+        if written:
+            release(edges)
+        edges, written = more, True
         before, now = now, state(edges)
         if now == before:
             break
@@ -348,16 +355,111 @@ def shared_regions(listed: DataFrame) -> DataFrame:
     return listed.join(shared, "region")
 
 
+def distance(far: Column, nu: Column, nv: Column) -> Column:
+    """1 - J of sets of nu and nv elements that differ in ``far``."""
+    return 2.0 * far / (nu + nv + far)
+
+
+def deviations(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """u, v, ku, kv, nu, linked, items, far, d of (u, v): how u differs from the pivot v."""
+    items = F.concat(F.array_except("iu", "iv"), F.array_except("iv", "iu"))
+    linked = measure.linked(F.col("inter"), F.col("nu") + F.col("nv") - F.col("inter"))
+    found = paired(pairs, sets).select("u", "v", "ku", "kv", "nu", "nv", linked.alias("linked"), items.alias("items")).withColumn("far", F.size("items"))
+    return found.withColumn("d", distance(F.col("far"), F.col("nu"), F.col("nv"))).drop("nv")
+
+
+def voronoi(regions: DataFrame, pivots: DataFrame, labels: DataFrame, sets: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
+    """(members, measured): the Voronoi regions, and all distances from documents to pivots.
+
+    ``regions`` are the coarse ones, ``pivots`` theirs (region, v), and
+    ``labels`` the components so far. ``members`` has u and v.
+    """
+    radius = (measure.den - measure.num) / measure.den + 1e-9
+    seen = materialize(regions.join(pivots, "region").join(labels.withColumnRenamed("node", "u"), F.col("node") == F.col("u")).select("region", "u", "v", "label"), "seen")
+    # a pivot whose documents are all of one component has nothing to compare
+    open_ = seen.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+    seen = materialize(seen.join(open_, "v").select("region", "u", "v"), "seen")
+    first = materialize(deviations(seen.where("u != v").select("u", "v").distinct(), sets, measure), "measured")
+    own = seen.where("u = v").select("u", "v").distinct().withColumn("d", F.lit(0.0))
+    nearest = first.select("u", "v", "d").unionByName(own).groupBy("u").agg(F.min(F.struct("d", "v")).alias("home"))
+    homes = materialize(nearest.select("u", F.col("home.v").alias("home"), F.col("home.d").alias("near")), "homes")
+
+    # the homes of a document's coarse regions; a coarse region of one home has nothing to replicate
+    listed = seen.join(homes.select("u", "home"), "u")
+    several = listed.groupBy("region").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("region")
+    listed = materialize(listed.join(several, "region"), "listed")
+    held = listed.select("region", "home").distinct()
+    count = held.groupBy("region").agg(F.count(F.lit(1)).alias("homes"))
+    few = held.join(count.where(F.col("homes") <= HOMES), "region").select("region", "home")
+    asked = listed.select("region", "u").join(few, "region").where("u != home").select("u", F.col("home").alias("v")).distinct()
+    asked = materialize(asked.join(homes.select("u", "near"), "u"), "asked")
+    more = asked.select("u", "v").join(first.select("u", "v"), ["u", "v"], "left_anti")
+    measured = first.unionByName(materialize(deviations(more, sets, measure), "measured"))
+
+    inside = asked.join(measured.select("u", "v", "d"), ["u", "v"]).where(F.col("d") <= F.col("near") + F.lit(radius)).select("u", "v")
+    wide = listed.join(count.where(F.col("homes") > HOMES).select("region"), "region").where("u != v").select("u", "v")
+    members = homes.where("u != home").select("u", F.col("home").alias("v")).unionByName(inside).unionByName(wide).distinct()
+    return members, measured
+
+
+def split(cells: DataFrame, measure: Measure, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(cells, links): the members of large Voronoi regions by pivots among themselves.
+
+    Each is of its nearest pivot and of those at most the threshold farther. A
+    region stays as it is if its parts would not be much smaller.
+    """
+    radius = (measure.den - measure.num) / measure.den + 1e-9
+    size = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF), "large")
+    big = cells.join(broadcast_if_small(size), "cell")
+    order = F.row_number().over(W.partitionBy("cell").orderBy("linked", F.xxhash64("u", F.lit(depth))))
+    drawn = big.select("cell", "u", "linked").withColumn("n", order).where(F.col("n") <= PIVOTS).select("cell", "u")
+    pivots = materialize(big.join(drawn, ["cell", "u"]).select("cell", F.col("u").alias("p"), F.col("ku").alias("kp"), F.col("nu").alias("np"), F.col("label").alias("lp"), F.col("items").alias("ip")), "pivots")
+    known = broadcast_if_small(pivots, 100 * PIVOTS)  # else the join splits skewed keys
+    apart = F.size(F.array_except("items", "ip")) + F.size(F.array_except("ip", "items"))
+    far = big.join(known, "cell").withColumn("apart", apart)
+    far = far.withColumn("dp", distance(F.col("apart"), F.col("nu"), F.col("np"))).select("cell", "size", "u", "p", "ku", "kp", "nu", "np", "label", "lp", "apart", "dp")
+    far = materialize(far, "apart")
+    inter = (F.col("nu") + F.col("np") - F.col("apart")) / 2
+    links = far.where((F.col("label") != F.col("lp")) & measure.linked(inter, inter + F.col("apart"))).select(F.col("ku").alias("a"), F.col("kp").alias("b"))
+    near = far.groupBy("cell", "u").agg(F.min("dp").alias("near"))
+    parts = far.where("u != p").join(near, ["cell", "u"]).where(F.col("dp") <= F.col("near") + F.lit(radius)).select("cell", "size", "u", "p")
+    sizes = parts.groupBy("cell", "p").agg(F.count(F.lit(1)).alias("part"), F.max("size").alias("size"))
+    better = sizes.groupBy("cell").agg(F.max("part").alias("most"), F.sum("part").alias("sum"), F.max("size").alias("size")).where("most <= 0.7 * size AND sum <= 2 * size").select("cell")
+    better = broadcast_if_small(materialize(better, "better"))
+    parts = parts.join(better, "cell").select("cell", "u", F.xxhash64("cell", "p").alias("part"))
+    inner = big.drop("size").join(parts, ["cell", "u"]).drop("cell").withColumnRenamed("part", "cell").withColumn("final", F.lit(False))
+    stay = cells.join(better, "cell", "left_anti").join(broadcast_if_small(size.select("cell")), "cell", "left_semi").withColumn("final", F.lit(True))
+    small = cells.join(broadcast_if_small(size.select("cell")), "cell", "left_anti").withColumn("final", F.lit(True))
+    return small.unionByName(stay).unionByName(inner), links
+
+
+def leaves(cells: DataFrame, measure: Measure) -> DataFrame:
+    """(u, v) of nodes of a cell that may be linked and are of different components so far."""
+    listed = cells.select("cell", "u", F.explode("items").alias("item"))
+    often = listed.groupBy("cell", "item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = listed.join(often, ["cell", "item"]).groupBy("u", "cell").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
+    ranked = cells.select("u", "cell", "nu", "linked", "label", "far").join(ranked, ["u", "cell"])
+    # shingles of one document alone come first in the order and meet nobody
+    alone = F.col("far") - F.size("items")
+    first = F.greatest(measure.first(F.col("nu"), F.col("far"), F.col("linked")) - alone, F.lit(0))
+    windows = materialize(ranked.select("u", "cell", "nu", "linked", "label", "far", F.explode(F.slice("items", F.lit(1), first)).alias("i")).withColumn("item", F.col("i.item")).drop("i"), "windows")
+    a, b = (windows.select("cell", "item", *(F.col(c).alias(f"{c}{side}") for c in ("u", "nu", "linked", "label", "far"))) for side in (1, 2))
+    close = (F.col("u1") < F.col("u2")) & (F.col("label1") != F.col("label2")) & ~(F.col("linked1") & F.col("linked2")) & (F.abs(F.col("far1") - F.col("far2")) <= measure.window(F.col("nu1") + F.col("nu2")))
+    return a.join(b, ["cell", "item"]).where(close).select(F.col("u1").alias("u"), F.col("u2").alias("v")).distinct()
+
+
 def links(base: DataFrame, df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
     """(key, label) of every set that is linked with a different one."""
-    # regions of several rows first, which may be copies, then those of several nodes
-    listed = base.select("row", F.explode("sigs").alias("region"))
-    several = listed.groupBy("region").count().where("count > 1").select("region")
+    # regions of several rows first, which may be copies, then those of several nodes; one exchange serves both sides
+    listed = base.select("row", F.explode("sigs").alias("region")).repartition("region")
+    several = listed.groupBy("region").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("region")
     regions = listed.join(several, "region").join(base.select("row", "node", "least"), "row").select("region", "node", "least").distinct()
     regions = materialize(regions, "regions")
     # a set that shares too few regions has no link
     enough = regions.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.max("least").alias("least")).where("many >= least")
-    regions = materialize(shared_regions(regions.join(enough.select("node"), "node", "left_semi")), "regions")
+    fewer = materialize(shared_regions(regions.join(enough.select("node"), "node", "left_semi")), "regions")
+    release(regions)
+    regions = fewer
     # a node's company: all that it shares regions with, each as often as it does
     size = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
     company = regions.join(size, "region").groupBy("node").agg(F.sum("size").alias("many"))
@@ -372,45 +474,35 @@ def links(base: DataFrame, df: DataFrame, id_col: str, text_col: str, measure: M
     star = regions.join(pivots, "region").where("node != pivot").groupBy(F.col("node").alias("u"), F.col("pivot").alias("v")).agg(F.max("many").alias("many"))
     linked = measure.linked(F.col("inter"), F.col("nu") + F.col("nv") - F.col("inter"))
     near = materialize(paired(star, sets).where(linked).select("u", "v", "many", F.col("ku").alias("a"), F.col("kv").alias("b")), "near")
-    edges = near.select("a", "b")
 
     # each node follows the linked pivot with the most company, and that one its own
     heads = near.groupBy("u").agg(F.max(F.struct("many", F.col("v").alias("node"))).alias("head"))
     own = F.struct("many", "node")
     heads = company.join(heads.withColumnRenamed("u", "node"), "node", "left").select("node", F.greatest(own, F.coalesce("head", own))["node"].alias("head"))
     heads = materialize(heads, "heads", count)
-    named = heads.join(heads.select(F.col("node").alias("head"), F.col("head").alias("label")), "head").select("node", "label")
+    labels = heads.join(heads.select(F.col("node").alias("head"), F.col("head").alias("label")), "head").select("node", "label")
     # pivots give way to those that they follow
-    pivots = pivots.join(named.select(F.col("node").alias("pivot"), F.col("label").alias("v")), "pivot").select("region", "v")
-    cells = regions.join(pivots, "region").groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
-    # linked nodes share so many regions that each may leave its smallest cells, up to less than half of these
-    so_far = F.sum("n").over(W.partitionBy("u").orderBy((F.col("u") == F.col("v")).cast("int"), "n", "v").rowsBetween(W.unboundedPreceding, 0))
-    cells = cells.withColumn("so_far", so_far).where("u != v AND 2 * so_far > least - 1").select("u", "v")
-    cells = materialize(cells.join(named.select(F.col("node").alias("u"), "label"), "u"), "cells", 4 * count)
-    open_ = cells.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-    deviation = F.concat(F.array_except("iu", "iv"), F.array_except("iv", "iu"))
-    cells = paired(cells.join(open_, "v", "left_semi"), sets).select("u", "v", "ku", "kv", "label", "nu", linked.alias("linked"), deviation.alias("items"))
-    cells = materialize(cells.withColumn("far", F.size("items")), "deviations")
-    edges = edges.unionByName(cells.where("linked").select(F.col("ku").alias("a"), F.col("kv").alias("b")))
-
-    listed = cells.select("u", "v", F.explode("items").alias("item"))
-    often = listed.groupBy("v", "item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ranked = listed.join(often, ["v", "item"]).groupBy("u", "v").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
-    ranked = cells.drop("items", "ku", "kv").join(ranked, ["u", "v"])
-    # shingles of one document alone come first in the order and meet nobody
-    alone = F.col("far") - F.size("items")
-    first = F.greatest(measure.first(F.col("nu"), F.col("far"), F.col("linked")) - alone, F.lit(0))
-    windows = materialize(ranked.select("u", "v", "nu", "linked", "label", "far", F.explode(F.slice("items", F.lit(1), first)).alias("i")).withColumn("item", F.col("i.item")).drop("i"), "windows")
-    a, b = (windows.select("v", "item", *(F.col(c).alias(f"{c}{side}") for c in ("u", "nu", "linked", "label", "far"))) for side in (1, 2))
-    close = (F.col("u1") < F.col("u2")) & (F.col("label1") != F.col("label2")) & ~(F.col("linked1") & F.col("linked2")) & (F.abs(F.col("far1") - F.col("far2")) <= measure.window(F.col("nu1") + F.col("nu2")))
-    pairs = materialize(a.join(b, ["v", "item"]).where(close).select(F.col("u1").alias("u"), F.col("u2").alias("v")).distinct(), "pairs")
+    pivots = pivots.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("v")), "pivot").select("region", "v")
+    members, measured = voronoi(regions.select("region", "node"), pivots, labels, sets, measure)
+    edges = near.select("a", "b").unionByName(measured.where("linked").select(F.col("ku").alias("a"), F.col("kv").alias("b")))
+
+    cells = measured.join(members, ["u", "v"]).join(labels.withColumnRenamed("node", "u"), "u")
+    cells = cells.select(F.xxhash64("v").alias("cell"), "u", "ku", "nu", "linked", "label", "items", "far")
+    cells = materialize(cells.withColumn("final", F.lit(False)), "cells")
+    for depth in range(64):
+        todo = cells.where("NOT final").drop("final")
+        if todo.groupBy("cell").count().where(F.col("count") > LEAF).isEmpty():
+            break
+        parts, more = split(todo, measure, depth)
+        cells = materialize(parts.unionByName(cells.where("final")), "cells")
+        edges = edges.unionByName(more)
+    pairs = materialize(leaves(cells, measure), "pairs")
     more = materialize(paired(pairs, sets).where(linked).select(F.col("ku").alias("a"), F.col("kv").alias("b")), "links")
     return components(edges.unionByName(more))
 
 
 def _assigned(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
     """id, h, n_shingles, component_id of each row."""
-    arrow_rows(df.sparkSession, 500)
     base = describe(df, id_col, text_col, measure)
     label = links(base, df, id_col, text_col, measure)
     least = base.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"))
@@ -430,8 +522,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: Measure = Measure()) -> DataFrame:
     """The rows of ``df`` with the smallest key of their component, as they came."""
     lost = _assigned(df, id_col, text_col, measure).where(~F.col("id").eqNullSafe(F.col("component_id")))
-    lost = broadcast_if_small(materialize(lost.select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct(), "lost"))
-    return df.join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(whole(text_col)) == F.col("_h")), "left_anti")
+    key, text = fresh(df, "lost_id"), fresh(df, "lost_text")
+    lost = broadcast_if_small(materialize(lost.select(F.col("id").alias(key), F.col("h").alias(text)).distinct(), "lost"))
+    return df.join(lost, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(whole(text_col)) == F.col(text)), "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,8 +240,12 @@ def noisy(rng, words, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("m", [Measure(3, 9, 10), Measure(5, 4, 5), Measure(2, 1, 2)])
-def test_components(spark, m):
+@pytest.mark.parametrize(  # bounds are HOMES, LEAF, PIVOTS
+    ("m", "bounds"), [(Measure(3, 9, 10), None), (Measure(5, 4, 5), (0, 2, 2)), (Measure(2, 1, 2), (1, 6, 3))]
+)
+def test_components(spark, m, bounds, monkeypatch):
+    for name, value in zip(("HOMES", "LEAF", "PIVOTS"), bounds or (), strict=False):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(m.words)
     rows = [(i, t) for i, t, _ in EDGES]
     passage = " ".join(f"p{i}" for i in range(60))

@@ -3,21 +3,29 @@
 Each line of a text, each window of a text as long as a notice of ``TEMPLATES``,
 and the text as a whole is a sparse TF-IDF vector. The best line at ``LINE`` or
 more, or window at ``WINDOW`` or more, is the text's own licence; windows are
-the best of many and so have to be closer. An SPDX tag of a known licence, the
-first if there are several, names it with a cosine of 1. Document frequencies
-of the templates' words are counted over the whole corpus first; a word outside
-them has the weight of one that occurs once. A file is a licence file if its
-name says so or if it is, as a whole and without copyright lines, as close as
-``FILE`` to a notice or to a full text in ``license_texts``; there are none of
-the CC licences. It holds for its directory: a text without a licence of its own
-inherits that of the nearest ancestor directory which has one, by a join on the
-ancestors' paths.
+the best of many and so have to be closer, and find notices within a line or
+across the lines of a comment. An SPDX tag of a known licence, the first if
+there are several, names it with a cosine of 1. Document frequencies of the
+templates' words are counted over the whole corpus first; a word outside them
+has the weight of one that occurs once. Two bounds of a cosine from above say where
+it need not be computed, so none that reaches its threshold is missed: what the
+heavier words of a template leave to the lighter ones, and the norm of a vector
+as if no word repeated.
+
+A file is a licence file if its name says so or if it is, as a whole and without
+copyright lines, as close as ``FILE`` to a notice or to a full text in
+``license_texts``; there are none of the CC, AGPL and EPL licences. It holds for
+its directory: a text without a licence of its own inherits that of the nearest
+ancestor directory which has one, by a join on the ancestors' paths.
 
 A null text counts as empty and has no licence of its own, but may inherit. A
-null path has no ancestors; empty path segments do not count. If licence files
-of a directory differ, the closest one decides, then the smaller path. Repeated
-rows are rows of their own with equal results; an empty table gives no rows.
-Other columns are neither read nor returned.
+text without a licence has the score 0. Of equal cosines a whole licence file,
+then a line, the place that comes first and the template that is listed first
+decide. A null path has no
+ancestors; empty path segments do not count. If licence files of a directory
+differ, the closest one decides, then the smaller path. Repeated rows are rows
+of their own with equal results; an empty table gives no rows. Other columns,
+whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -34,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, table
+from .common import broadcast_if_small, materialize, slices, table
 
 LINE, WINDOW, FILE = 0.6, 0.8, 0.8
 
@@ -50,13 +58,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "This software is released under the BSD 2-Clause License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
-#: A line without any of these stems is no notice; templates all have one.
-_STEM = re.compile(r"licen[sc]e|permission|redistribut|copyright|copying|public license", re.IGNORECASE)
 _NAME = re.compile(r"(licen[sc]e|copying|unlicense)(\.\w+)?$", re.IGNORECASE)
 _SPDX = re.compile(r"SPDX-License-Identifier:([^\n]*)", re.IGNORECASE)
 _OWNER = re.compile(r"^.*copyright\W+(?:c\W+|©\W*)?\d{4}.*$", re.IGNORECASE | re.MULTILINE)
@@ -84,52 +95,86 @@ class Matcher:
     def __init__(self, frequency: dict[str, int], documents: int):
         self.rare = math.log(1 + documents)
         self.idf = {w: math.log(1 + documents / max(1, frequency.get(w, 0))) for w in words()}
-        self.vectors = [self._template(*x) for x in TEMPLATES]
+        self.notices = [self._template(*x) for x in TEMPLATES]
         self.full = [self._template(n, _OWNER.sub("", t)) for n, t in full_texts()]
         self.lengths = [len(tokens(notice)) for _, notice in TEMPLATES]
         self.number = {w: i for i, w in enumerate(words())}
         self.squares = np.array([self.idf[w] ** 2 for w in words()] + [self.rare**2])
-        self.parts = [np.array([v.get(w, 0.0) * self.idf[w] for w in words()] + [0.0]) for _, v, _ in self.vectors]
-        self.known = {n.lower(): n for n, *_ in self.vectors + self.full}
+        # by word, with a last one for all others: the weight in each template over its norm, times the word's own
+        self.parts = [np.array([v.get(w, 0.0) * self.idf[w] for w in words()] + [0.0]) / (norm or 1.0) for _, v, norm in self.notices + self.full]
+        self.matrix = np.array(self.parts)
+        self.known = {n.lower(): n for n, *_ in self.notices + self.full}
+        self.heavy: dict[str, set[int]] = {}
+        for k, (_, v, norm) in enumerate(self.notices + self.full):
+            rest = 0.0
+            for word, x in sorted(v.items(), key=lambda x: (x[1], x[0])):
+                rest += x * x
+                if rest >= (LINE * norm) ** 2 * (1 - 1e-9):
+                    self.heavy.setdefault(word, set()).add(k)
 
     def _template(self, name: str, notice: str) -> tuple[str, dict[str, float], float]:
         v = {t: n * self.idf[t] for t, n in Counter(tokens(notice)).items()}
         return name, v, math.sqrt(sum(x * x for x in v.values()))
 
-    def closest(self, found: list[str], among: list | None = None) -> tuple[float, str | None]:
+    def closest(self, found: list[str], among: list) -> tuple[float, str | None]:
+        """The largest cosine of the words to templates, and its licence."""
         v = {t: n * self.idf.get(t, self.rare) for t, n in Counter(found).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         best: tuple[float, str | None] = (0.0, None)
-        for name, template, length in self.vectors if among is None else among:
+        for name, template, length in among:
             if norm and length:
                 cosine = sum(x * v[t] for t, x in template.items() if t in v) / (norm * length)
                 if cosine > best[0]:
                     best = (cosine, name)
         return best
 
-    def windows(self, found: list[str]) -> tuple[float, str | None]:
-        """The closest window at WINDOW or more.
+    def likely(self, found: list[str]) -> list[int]:
+        """Templates to which words can be as close as LINE.
 
-        A window's norm is least if no word repeats, which bounds its cosine;
-        cosines are computed from the highest bound down.
+        By Cauchy and Schwarz a cosine is at most the norm of a template's shared
+        words over its own. Its lightest words, which together stay below LINE,
+        are not enough: one of the others, the heavy ones, has to be there.
         """
-        best: tuple[float, str | None] = (0.0, None)
-        ids = np.array([self.number.get(t, -1) for t in found], np.int64)
+        return sorted(set().union(*(self.heavy[w] for w in self.heavy.keys() & found)))
+
+    def header(self, found: list[str], ends: np.ndarray, likely: list[int]) -> tuple[float, str | None]:
+        """The closest line at LINE or window at WINDOW or more, a line if they are equal.
+
+        ``ends`` has the number of words up to the end of each line. Cosines are
+        computed from the highest bound down, and only if the bound is no less
+        than what has been found.
+        """
+        ids = np.array([self.number.get(t, len(self.number)) for t in found], np.int64)
         squares = np.concatenate([[0.0], np.cumsum(self.squares[ids])])
-        for template, part, n in zip(self.vectors, self.parts, self.lengths, strict=True):
-            if n > len(ids) or not template[2]:
-                continue
+        starts = np.concatenate([[0], ends[:-1]])
+        best: tuple = (0.0,)  # cosine, whether it is a line, minus its place, minus the template
+        spans = []
+        for k in (k for k in likely if k < len(self.notices)):
+            part, n = self.parts[k], self.lengths[k]
             dots = np.concatenate([[0.0], np.cumsum(part[ids])])
-            norms = np.sqrt(np.maximum(squares[n:] - squares[:-n], 1e-12)) * template[2]
-            bound = (dots[n:] - dots[:-n]) / norms
-            at = np.flatnonzero(bound >= max(best[0], WINDOW) - 1e-9)
-            for i in at[np.argsort(-bound[at])].tolist():
-                if bound[i] < best[0] - 1e-9:
-                    break
-                cosine, name = self.closest(found[i : i + n], [template])
-                if cosine >= WINDOW and cosine > best[0]:
-                    best = (cosine, name)
-        return best
+            for least, lo, hi in ((LINE, starts, ends), (WINDOW, np.arange(len(ids) + 1 - n), np.arange(n, len(ids) + 1))):
+                bound = (dots[hi] - dots[lo]) / np.sqrt(np.maximum(squares[hi] - squares[lo], 1e-12))
+                for i in np.flatnonzero(bound >= least - 1e-9).tolist():
+                    spans.append((float(bound[i]), least == LINE, -i, -k, int(lo[i]), int(hi[i])))
+        for bound, whole, i, k, lo, hi in sorted(spans, reverse=True):
+            if bound < best[0] - 1e-9:
+                break
+            cosine, name = self.closest(found[lo:hi], [self.notices[-k]])
+            if cosine >= (LINE if whole else WINDOW):
+                best = max(best, (cosine, whole, i, k))
+        return (best[0], self.notices[-best[3]][0]) if len(best) == 4 else (0.0, None)
+
+    def file(self, found: list[str], owned: list[str]) -> tuple[float, str | None]:
+        """The closest notice or, without copyright lines, full text at FILE or more."""
+        best: tuple[float, str | None] = (0.0, None)
+        for words_, among, first in ((found, self.notices, 0), (owned, self.full, len(self.notices))):
+            ids = np.array([self.number.get(t, len(self.number)) for t in words_], np.int64)
+            counts = np.bincount(ids, minlength=len(self.squares)).astype(float)
+            norm = math.sqrt((counts[:-1] ** 2 @ self.squares[:-1]) + counts[-1] * self.squares[-1])
+            bound = self.matrix[first : first + len(among)] @ counts / (norm or 1.0)
+            likely = [among[i] for i in np.flatnonzero(bound >= FILE - 1e-9)]
+            best = max(best, self.closest(words_, likely), key=lambda x: x[0]) if likely else best
+        return best if best[0] >= FILE else (0.0, None)
 
     def tag(self, text: str) -> str | None:
         """The first known licence that an SPDX tag names."""
@@ -141,20 +186,15 @@ class Matcher:
         return None
 
     def text(self, text: str) -> tuple[float, str | None, float, str | None]:
-        """(cosine, licence) of the text's own licence, and of the whole text."""
-        if not _STEM.search(text):
-            return 0.0, None, 0.0, None
-        lines = [self.closest(tokens(line)) for line in text.split("\n") if _STEM.search(line)]
-        own = max(lines, key=lambda x: x[0], default=(0.0, None))
-        found = tokens(text)
-        own = max(own, self.windows(found), key=lambda x: x[0])
-        whole = max(self.closest(found), self.closest(tokens(_OWNER.sub("", text)), self.full), key=lambda x: x[0])
-        if whole[0] >= FILE and whole[0] > own[0]:
-            own = whole
-        tag = self.tag(text)
-        if tag:
-            own = (1.0, tag)
-        return *(own if own[0] >= LINE else (own[0], None)), *(whole if whole[0] >= FILE else (whole[0], None))
+        """(cosine, licence) of the text's own licence, and of the whole text as a licence file."""
+        found, tag = tokens(text), self.tag(text)
+        likely = self.likely(found)
+        if not likely:
+            return (1.0 if tag else 0.0), tag, 0.0, None
+        own = self.header(found, np.cumsum([len(tokens(line)) for line in text.split("\n")]), likely)
+        whole = self.file(found, tokens(_OWNER.sub("", text)) if "copyright" in text.lower() else found)
+        own = whole if whole[0] >= own[0] - 1e-9 else own
+        return *((1.0, tag) if tag else own), *whole
 
 
 def frequencies(df: DataFrame, text_col: str) -> tuple[dict[str, int], int]:
@@ -163,8 +203,8 @@ def frequencies(df: DataFrame, text_col: str) -> tuple[dict[str, int], int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
+        for part in (p for batch in batches for p in slices(batch, 0)):
+            for t in part.column(0).to_pylist():
                 sums[""] += 1
                 if t:
                     sums.update(vocabulary.intersection(tokens(t)))
@@ -181,12 +221,12 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [matcher.text(t or "") for t in batch.column(2).to_pylist()]
-            named = [bool(p and _NAME.search(p.rsplit("/", 1)[-1])) for p in batch.column(1).to_pylist()]
+        for part in (p for batch in batches for p in slices(batch, 2)):
+            found = [matcher.text(t or "") for t in part.column(2).to_pylist()]
+            named = [bool(p and _NAME.search(p.rsplit("/", 1)[-1])) for p in part.column(1).to_pylist()]
             files = [full or (own if n else None) for (_, own, _, full), n in zip(found, named, strict=True)]
-            columns = [pa.array([round(x[0], 9) for x in found], pa.float64()), pa.array([x[1] for x in found], pa.string()), pa.array([max(x[2], x[0]) if f else None for x, f in zip(found, files, strict=True)], pa.float64()), pa.array(files, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "path", "own_score", "own_license", "file_score", "file_license"])
+            columns = [pa.array([round(x[0], 9) for x in found], pa.float64()), pa.array([x[1] for x in found], pa.string()), pa.array([round(max(x[2], x[0]), 9) if f else None for x, f in zip(found, files, strict=True)], pa.float64()), pa.array(files, pa.string())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], ["id", "path", "own_score", "own_license", "file_score", "file_license"])
 
     kind = rows.schema["id"].dataType.simpleString()
     scanned = rows.mapInArrow(run, f"id {kind}, path string, own_score double, own_license string, file_score double, file_license string")
@@ -196,6 +236,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     files = scanned.where(F.col("file_license").isNotNull() & F.col("path").isNotNull())
     best = F.min(F.struct((-F.col("file_score")).alias("s"), F.col("path"), F.col("file_license").alias("license")))
     held = files.select(parent(F.size(segments) - 1).alias("dir"), "path", "file_score", "file_license").groupBy("dir").agg(best.alias("b"))
+    # beyond the bound adaptive execution splits directories of many rows, such as the root, in this join of two written tables
     held = broadcast_if_small(materialize(held.select("dir", F.col("b.license").alias("from_license"), F.col("b.path").alias("from_path")), "directories"))
     bare = scanned.where(F.col("own_license").isNull() & F.col("path").isNotNull())
     ancestors = F.transform(F.sequence(F.lit(0), F.greatest(F.size(segments) - 1, F.lit(0))), lambda n: F.struct(n.alias("depth"), parent(n).alias("dir")))

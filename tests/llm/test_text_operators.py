@@ -305,13 +305,60 @@ def test_licenses_inherit_from_the_nearest_directory(spark):
     assert got[4]["license_path"] == "a/b/c/COPYING"
 
 
-def test_license_cosines_match_dense_vectors():
-    matcher = licenses.Matcher({w: i for i, w in enumerate(licenses.words())}, 1000)
-    line = licenses.tokens("Licensed under the Apache License and other words")
-    axis = sorted({*line, *licenses.words()})
-    vector = lambda found: np.array([found.count(t) * matcher.idf.get(t, matcher.rare) for t in axis])
-    best = max(float(vector(line) @ (v := vector(licenses.tokens(n))) / np.linalg.norm(vector(line)) / np.linalg.norm(v)) for _, n in licenses.TEMPLATES)
-    assert np.isclose(matcher.closest(line)[0], best)
+def plain_licenses(rows):
+    """Every line, window and text against every template; then the directories above, one by one."""
+    count = licenses.Counter(w for *_, t in rows for w in set(licenses.tokens(t or "")))
+    weigh = lambda w: np.log(1 + len(rows) / max(1, count[w])) if w in known else np.log(1 + len(rows))
+    known = set(licenses.words())
+
+    def cosine(a, b):
+        a, b = licenses.Counter(a), licenses.Counter(b)
+        norm = np.prod([np.sqrt(sum((n * weigh(w)) ** 2 for w, n in x.items())) for x in (a, b)])
+        return sum(n * b[w] * weigh(w) ** 2 for w, n in a.items()) / norm if norm else 0.0
+
+    notices = [(n, licenses.tokens(t)) for n, t in licenses.TEMPLATES]
+    full = [(n, licenses.tokens(licenses._OWNER.sub("", t))) for n, t in licenses.full_texts()]
+    own, file = {}, {}
+    for key, path, text in rows:
+        found = licenses.tokens(text or "")
+        spans = [(cosine(licenses.tokens(line), t), licenses.LINE, n) for line in (text or "").split("\n") for n, t in notices]
+        spans += [(cosine(w, t), licenses.WINDOW, n) for n, t in notices for i in range(len(found) - len(t) + 1) if len({*(w := found[i : i + len(t)])} & {*t}) > 1]
+        texts = [(cosine(found, t), n) for n, t in notices] + [(cosine(licenses.tokens(licenses._OWNER.sub("", text or "")), t), n) for n, t in full]
+        # the first of equal ones
+        whole = max(((round(c, 9), n) for c, n in texts if c >= licenses.FILE - 1e-12), default=(0, None), key=lambda x: x[0])
+        own[key] = max([whole] + [(round(c, 9), n) for c, least, n in spans if c >= least - 1e-12], key=lambda x: x[0])
+        tag = licenses.Matcher(count, len(rows)).tag(text or "")
+        own[key] = (1.0, tag) if tag else own[key]
+        if path and (whole[1] or (own[key][1] and licenses._NAME.search(path.rsplit("/", 1)[-1]))):
+            steps = [x for x in path.split("/") if x]
+            file.setdefault("/".join(steps[:-1]), []).append((-max(whole[0], own[key][0]), path, whole[1] or own[key][1]))
+    out = {}
+    for key, path, _ in rows:
+        out[key] = own[key][1]
+        steps = [x for x in (path or "").split("/") if x]
+        for n in range(len(steps) - 1, -1, -1):
+            if path and out[key] is None and "/".join(steps[:n]) in file:
+                out[key] = min(file["/".join(steps[:n])])[2]
+    return own, out
+
+
+def test_licenses_match_brute_force(spark, sf_dir):
+    texts = dict(licenses.full_texts())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 1500").collect()
+    rows = [(r["doc_id"], f"{r['source']}/{r['lang']}/{r['doc_id']}", r["text"]) for r in docs]
+    rows += [(10_000 + i, f"x/{i % 3}//y{i}", t) for i, t in enumerate([*texts.values(), *(f"a b\n{n} words behind it" for _, n in licenses.TEMPLATES), "Released under the MIT", "GNU General Public, version 3", "under CC BY-NC 4.0", "provided that the following conditions are met in source and binary forms with or without modification", None, "", "MIT MIT MIT license license", texts["ISC"][:300]]) if t is None or len(t) < 3000]
+    rows += [(20_000, "z/LICENSE", "Released under the MIT License."), (20_001, "z/q/r/s.py", "none"), (20_002, None, "none"), (20_003, "z/q/COPYING.txt", "code under CC BY 4.0."), (20_004, "z/q/r/t.py", None)]
+    own, want = plain_licenses(rows)
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert sum(n is not None for _, n in own.values()) > 25 and len(got) == len(rows)
+    assert {r["doc_id"]: r["license"] for r in got} == want
+    assert all(r["own_license"] == own[r["doc_id"]][1] and np.isclose(r["own_score"], own[r["doc_id"]][0], atol=1e-8) for r in got)
+
+
+def test_lines_without_a_usual_stem_are_found():
+    matcher = licenses.Matcher({}, 1000)
+    lines = ["Released under the MIT", "provided that the following conditions are met in source and binary forms with or without modification", "under CC BY-NC 4.0", "GNU General Public, version 3"]
+    assert [matcher.text(f"first line\n{line}\nlast line")[1] for line in lines] == ["MIT", "BSD-3-Clause", "CC-BY-NC-4.0", "GPL-3.0"]
 
 
 def test_full_texts_hold_for_their_directory(spark):

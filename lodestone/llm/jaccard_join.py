@@ -378,7 +378,7 @@ def voronoi(regions: DataFrame, pivots: DataFrame, labels: DataFrame, sets: Data
     seen = materialize(regions.join(pivots, "region").join(labels.withColumnRenamed("node", "u"), F.col("node") == F.col("u")).select("region", "u", "v", "label"), "seen")
     # a pivot whose documents are all of one component has nothing to compare
     open_ = seen.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-    seen = materialize(seen.join(open_, "v").select("region", "u", "v"), "seen")
+    seen = materialize(seen.join(broadcast_if_small(materialize(open_, "open")), "v").select("region", "u", "v"), "seen")
     first = materialize(deviations(seen.where("u != v").select("u", "v").distinct(), sets, measure), "measured")
     own = seen.where("u = v").select("u", "v").distinct().withColumn("d", F.lit(0.0))
     nearest = first.select("u", "v", "d").unionByName(own).groupBy("u").agg(F.min(F.struct("d", "v")).alias("home"))

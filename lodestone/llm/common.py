@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import broadcast_if_small, release, written
+
+__all__ = ["broadcast_if_small", "fold", "fresh", "materialize", "release", "slices", "table", "whole", "WORD"]
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,39 +22,13 @@ FILE_ROWS = 100_000
 
 
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again.
+    """``df`` written to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
     and what was drawn or numbered stays as it is. If about how many narrow
     rows there will be is known, there are no more files than they need.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if rows is not None:
-        df = df.coalesce(2 + rows // FILE_ROWS)
-    df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
-    written.scratch_path = path
-    return written
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables that :func:`materialize` wrote, once nothing will read them again."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows, else as it is.
-
-    ``df`` should be materialized and narrow; its rows are counted.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts do not add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return written(df if rows is None else df.coalesce(2 + rows // FILE_ROWS), name)
 
 
 def slices(batch: pa.RecordBatch, at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:

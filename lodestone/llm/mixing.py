@@ -14,16 +14,16 @@ leaves is shared again by weight among the others until none is above.
 A null text has 0 words, so does an empty one. A null source is a source of its
 own. Rows that repeat key and text draw alike. A source without words has the
 target 0 and its documents are not emitted. An empty table gives no rows. Other
-columns are returned as they came by :func:`mix_sources`.
+columns, whatever their names, are returned as they came by :func:`mix_sources`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, materialize, table, whole
+from ..sources.shared import numbered
+from .common import WORD, broadcast_if_small, fresh, materialize, table, whole
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -42,24 +42,27 @@ def draw(id_col: str, text_col: str, seed: str) -> Column:
 def targets(sized: DataFrame, most: int = MOST) -> DataFrame:
     """source, source_size, target of ``sized``, which has source and size.
 
-    With the caps ``most * source_size`` in the order of cap over weight, a
-    source is capped when the level, the words left over the weight left after
-    all earlier caps, would take it above. The windows see one row for each
-    source, never documents.
+    The level, the words left over the weight left, starts without capped
+    sources; those that it takes above ``most * source_size`` are capped and
+    the level computed again, until it takes none above. Each round is a sum
+    over one row of each source, and no task holds all sources.
     """
     sums = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    turn = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (turn % len(WEIGHTS) + 1).cast("int"))
-    sums = sums.withColumns({"w": weight, "cap": F.col("source_size") * most})
-    every = W.partitionBy()
-    before = W.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight_left = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    capped = sums.withColumn("capped", left.cast("double") / weight_left.cast("double") * F.col("w") > F.col("cap"))
-    over = lambda c: F.sum(F.when(F.col("capped"), F.col(c)).otherwise(0)).over(every)
-    level = (F.sum("source_size").over(every) - over("cap")).cast("double") / F.nullif(F.sum("w").over(every) - over("w"), F.lit(0)).cast("double")
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.least(level * F.col("w"), F.col("cap").cast("double")))
-    return capped.select("source", "source_size", target.alias("target"))
+    sums = numbered(sums, [F.col("source").asc_nulls_last()], "turn")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("turn") % len(WEIGHTS) + 1).cast("int"))
+    sums = materialize(sums.withColumns({"w": weight.cast("long"), "cap": F.col("source_size") * most}).drop("turn"), "sources")
+    total, weights = sums.agg(F.sum("source_size"), F.sum("w")).first()
+    level = float(total) / float(weights) if weights else 0.0
+    share = lambda: F.lit(level) * F.col("w")
+    while True:
+        cap, w = sums.where(share() > F.col("cap")).agg(F.sum("cap"), F.sum("w")).first()
+        if w is None or w == weights:
+            break
+        # what is capped stays capped, as the level only rises
+        before, level = level, float(total - cap) / float(weights - w)
+        if level == before:
+            break
+    return sums.select("source", "source_size", F.least(share(), F.col("cap").cast("double")).alias("target"))
 
 
 def copies(u: Column) -> Column:
@@ -69,21 +72,21 @@ def copies(u: Column) -> Column:
 
 
 def with_targets(rows: DataFrame, rates: DataFrame, source_col: str) -> DataFrame:
-    """Sources are broadcast if they are few; else the join is by their key."""
-    rates = broadcast_if_small(rates.withColumnRenamed("source", "_source"))
-    return rows.join(rates, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
+    """Sources are broadcast if they are few; else the join of two tables is by their key, which adaptive execution splits."""
+    name = fresh(rows, "of_source")
+    rates = broadcast_if_small(rates.withColumnRenamed("source", name))
+    return rows.join(rates, F.col(source_col).eqNullSafe(F.col(name))).drop(name)
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", most: int = MOST) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them, with their columns."""
     sized = df.select(F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     rates = materialize(targets(sized, most), "rates")
-    names = {c: f"_mix_{c}" for c in ("source_size", "target")}
-    rows = df.withColumn("_mix_draw", draw(id_col, text_col, seed))
-    rows = with_targets(rows, rates.withColumnsRenamed(names), source_col)
-    rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
-    times = (F.floor(rate) + F.when(F.col("_mix_draw") < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*(F.col(f"`{c}`") for c in df.columns))
+    # one column holds the row, so that no name can clash
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    rows = df.select(row, F.col(source_col).alias("source"), draw(id_col, text_col, seed).alias("u"))
+    rows = with_targets(rows, rates, "source")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), copies(F.col("u")).cast("int"))).alias("copy")).select("row.*")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

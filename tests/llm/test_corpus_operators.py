@@ -18,9 +18,21 @@ from lodestone.llm.jaccard_join import Measure
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+# extra columns whose names the operators use themselves, or have used
+CLASHING = ["id", "h", "key", "node", "size", "target", "u", "v", "shard", "slot", "bucket", "owner", "count", "row", "part", "place", "cell", "rank", "copy", "number", "data", "row id", "a.b"]
+CLASHING += ["_id", "_h", "_source", "_key", "_mix_target", "_mix_draw", "_mix_copy", "lost_id", "lost_text", "of_source", "source_size", "prefix_0", "number_0", "key_0", "score", "label"]
+
+
 def docs_of(spark, rows):
     df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA)
-    return df.withColumns({c: F.lit("other") for c in ("id", "h", "key", "node", "size", "target", "u", "shard", "bucket", "count")})
+    return df.withColumns({c: F.lit(f"other {c}") for c in CLASHING})
+
+
+def came_back(df, out):
+    """Whether the rows of ``out`` are rows of ``df``, whole."""
+    assert out.columns[: len(df.columns)] == df.columns
+    known = {tuple(r) for r in df.collect()}
+    return all(tuple(r)[: len(df.columns)] in known for r in out.collect())
 
 
 EDGES = [(1, None, "a"), (2, "", "a"), (3, " \n", None), (4, "one two", "b"), (4, "one two", "b"), (5, "x" * 100_000, "b"), (None, "one two", "c"), (7, "a b c d e f g " * 3000, "c")]
@@ -61,7 +73,7 @@ def test_exact_duplicates(spark, hash_of):
     assert {r["keep_id"] for r in got if r["group_size"] == 3} == {4}
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
     kept = exact_dedup.drop_copies(df, capacity=2, hash_of=hash_of)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and came_back(df, kept)
     assert Counter(r["text"] for r in kept.collect() if r["text"]) == Counter(t for t in {t for _, t, _ in EDGES} if t)
     assert kept.count() == 5
     assert exact_dedup.exact_duplicates(df.limit(0)).collect() == exact_dedup.drop_copies(df.limit(0)).collect() == []
@@ -145,15 +157,41 @@ def test_shards(spark, rows):
     assert max(sizes) - min(sizes) <= 1
 
 
-def test_communication_matrix():
-    for draw in (sharding.communication_matrix,):
-        m = draw({0: 10, 3: 0, 5: 33}, 16, 1)
-        assert {p: sum(v) for p, v in m.items()} == {0: 10, 3: 0, 5: 33}
-        assert np.ptp(np.sum(list(m.values()), axis=0)) <= 1
-    big = sharding._large(np.random.default_rng(1), np.array([3, 5, 2]), 10)
-    assert big.tolist() == [3, 5, 2]
-    spread = np.mean([sharding._large(np.random.default_rng(i), np.array([400, 100]), 50)[0] for i in range(200)])
-    assert abs(spread - 40) < 1
+@pytest.mark.parametrize("small", [sharding.SMALL, 0])
+def test_communication_matrix(monkeypatch, small):
+    monkeypatch.setattr(sharding, "SMALL", small)
+    m = sharding.communication_matrix({0: 10, 3: 0, 5: 33}, 16, 1)
+    assert {p: sum(v) for p, v in m.items()} == {0: 10, 3: 0, 5: 33}
+    assert np.ptp(np.sum(list(m.values()), axis=0)) <= 1
+    for good, bad, draws in [(400, 100, 50), (3, 5, 8), (0, 5, 2), (5, 0, 2), (7, 9, 0), (20, 30, 45), (1, 400, 200)]:
+        drawn = np.array([sharding.hypergeometric(np.random.default_rng(i), good, bad, draws) for i in range(2000)])
+        mean = draws * good / (good + bad)
+        sd = (mean * bad / (good + bad) * (good + bad - draws) / max(1, good + bad - 1)) ** 0.5
+        assert abs(drawn.mean() - mean) <= sd * 0.1 and abs(drawn.std() - sd) <= 0.1 * sd
+        assert drawn.min() >= max(0, draws - bad) and drawn.max() <= min(draws, good)
+
+
+def test_communication_matrix_of_many_rows():
+    m = sharding.communication_matrix({p: 10**9 for p in range(30)}, 16, 3)
+    assert all(sum(v) == 10**9 for v in m.values()) and np.ptp(np.sum(list(m.values()), axis=0)) <= 1
+    sd = (10**9 / 16 * 15 / 16) ** 0.5
+    assert 0.7 * sd < np.std([x for v in m.values() for x in v]) < 1.3 * sd
+
+
+def test_shards_of_edge_rows(spark):
+    df = docs_of(spark, EDGES)
+    got = sharding.uniform_shards(df)
+    assert got.columns == [*df.columns, "shard_", "slot_"] and came_back(df, got) and got.count() == len(EDGES)
+
+
+def test_op2_shards(spark, sf_dir):
+    texts = {r[0]: (r[1] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = registry.queries()["op2_shards"](spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+    assert len(got) == len(texts) and {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((s, i) for s, n in Counter(r["shard"] for r in got).items() for i in range(n))
+    null = spark.createDataFrame([(1, None)], "doc_id long, text string").select(*sharding.described(F.coalesce("text", F.lit("")))).first()
+    assert tuple(null) == (1, 0)
 
 
 def test_packing_holds_every_id_once(spark, sf_dir):
@@ -309,7 +347,7 @@ def test_signatures_meet_for_every_linked_pair():
 def test_one_of_each_and_empty_tables(spark):
     df = docs_of(spark, [(i, t, s) for i, t, s in EDGES])
     kept = jaccard_join.one_of_each(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and came_back(df, kept)
     assert jaccard_join.one_of_each(df.limit(0)).collect() == []
     assert jaccard_join.jaccard_components(df.limit(0)).collect() == []
 
@@ -323,7 +361,7 @@ def test_mixing(spark):
     assert np.isclose(sum(r["target"] for r in rates), total)
     assert all(r["target"] <= 3 * r["source_size"] + 1e-9 for r in rates)
     out = mixing.mix_sources(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and came_back(df, out)
     taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()}
     for r in rates:
         if r["source"] and r["source"].startswith("s"):

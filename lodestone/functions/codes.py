@@ -72,5 +72,6 @@ def valid_codes(codes: Column, lengths: tuple[int, ...] = (4, 8, 16, 32), least:
 
 
 def split_equal(position: Column, total: Column, parts: int) -> Column:
-    """Contiguous parts of floor(total / parts); the last takes the remainder."""
+    """Contiguous parts of floor(total / parts); the last takes the remainder. Fewer rows than parts are an error."""
+    total = F.when(total >= parts, total).otherwise(F.raise_error(F.lit("fewer rows than parts")).cast("bigint"))
     return F.least(F.floor(position / F.floor(total / parts)), F.lit(parts - 1)).cast("int")

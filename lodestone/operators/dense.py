@@ -1,46 +1,101 @@
-"""Exact inner-product search over vectors."""
+"""Exact inner-product search over vectors, and its index."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import dot
+from ..sources.shared import broadcast_if_small, numbered, written
 from .ranking import top_k
 
+#: Queries whose vectors a task holds at a time.
+BLOCK = 1024
+
 
 def all_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Every query with every vector; ``queries`` is the bounded side."""
-    return vectors.crossJoin(F.broadcast(queries)).select("qid", "docid", dot(F.col("qvec"), F.col("vec")).alias("score"))
+    """Every query with every vector: the output that its name says, for a set of queries that is counted."""
+    return vectors.crossJoin(broadcast_if_small(queries, 64 * BLOCK)).select("qid", "docid", dot(F.col("qvec"), F.col("vec")).alias("score"))
+
+
+def pair_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(qid, docid, score) of given pairs, without others."""
+    asked = pairs.select("qid", "docid").join(queries.select("qid", "qvec"), "qid")
+    return asked.join(vectors.select("docid", "vec"), "docid").select("qid", "docid", dot(F.col("qvec"), F.col("vec")).alias("score"))
+
+
+def blocks_of(queries: DataFrame, size: int = BLOCK) -> Iterator[list]:
+    """The queries in blocks of about ``size`` rows, each collected by itself."""
+    count = queries.count()
+    parts = max(1, -(-count // size))
+    if parts > 1:
+        queries = written(queries, "queries")
+    for part in range(parts):
+        rows = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
+        yield rows.orderBy("qid").collect()
+
+
+def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each column; of equal scores the smaller ids, which are in order."""
+    kept = np.argsort(-scores, axis=0, kind="stable")[:k]
+    return kept.T.ravel(), np.repeat(np.arange(scores.shape[1]), len(kept))
+
+
+def retrieve_blocked(queries: DataFrame, vectors: DataFrame, k: int, but_self: bool = False) -> DataFrame:
+    """(qid, docid, score) of each query's best k, by one matrix product for each batch of vectors.
+
+    A batch keeps its k best of each query, so the shuffle has k rows of a query
+    and batch. Queries go to the tasks in blocks; each block reads the vectors
+    once. ``but_self`` leaves out the vector that is the query itself.
+    """
+    kind, key = vectors.schema["docid"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    found = []
+    for rows in blocks_of(queries):
+        qids = np.array([r["qid"] for r in rows])
+        matrix = np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), -1)
+
+        def best(batches: Iterator[pd.DataFrame], qids: np.ndarray = qids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch) or not len(qids):
+                    continue
+                batch = batch.sort_values("docid", kind="stable")
+                ids = batch["docid"].to_numpy()
+                scores = np.round(np.stack(batch["vec"].to_numpy()).astype(np.float64) @ matrix.T, 6)
+                if but_self:
+                    scores[ids[:, None] == qids] = -np.inf
+                row, column = best_rows(scores, ids, k)
+                out = pd.DataFrame({"qid": qids[column], "docid": ids[row], "score": scores[row, column]})
+                yield out[out["score"] > -np.inf]
+
+        found.append(vectors.select("docid", "vec").mapInPandas(best, f"qid {key}, docid {kind}, score double"))
+    return top_k(reduce(DataFrame.unionByName, found), k)
 
 
 def retrieve(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The same run in the JVM, for few queries."""
     return top_k(all_pairs(queries, vectors), k)
 
 
-def retrieve_blocked(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The same run by one matrix product for each batch of vectors.
+def write_index(vectors: DataFrame, path: str) -> None:
+    """A flat index: (idx, docid, vec) with positions from 0 by docid; a second write replaces the first."""
+    places = numbered(vectors.select(F.col("docid").alias("known")), [F.col("known")], "idx")
+    rows = places.join(vectors.select("docid", "vec"), F.col("known") == F.col("docid")).select("idx", "docid", "vec")
+    rows.write.mode("overwrite").parquet(path)
 
-    The queries, of which there must be few, are collected; a batch keeps its k
-    best documents of each query, so the shuffle has k rows of a query and batch.
-    """
-    rows = queries.orderBy("qid").collect()
-    qids = np.array([r["qid"] for r in rows])
-    matrix = np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), -1)
-    kind = vectors.schema["docid"].dataType.simpleString()
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch) or not len(qids):
-                continue
-            scores = np.round(np.stack(batch["vec"].to_numpy()).astype(np.float64) @ matrix.T, 6)
-            ids = batch["docid"].to_numpy()
-            for j, qid in enumerate(qids):
-                kept = np.lexsort((ids, -scores[:, j]))[:k]
-                yield pd.DataFrame({"qid": qid, "docid": ids[kept], "score": scores[kept, j]})
-
-    return top_k(vectors.select("docid", "vec").mapInPandas(best, f"qid {queries.schema['qid'].dataType.simpleString()}, docid {kind}, score double"), k)
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def merge_indexes(spark: SparkSession, paths: list[str], path: str) -> None:
+    """One index of the chunks in ``paths``; positions are given anew, and a document of two chunks is an error."""
+    rows = reduce(DataFrame.unionByName, (read_index(spark, p).select("docid", "vec") for p in paths))
+    twice = rows.groupBy("docid").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"document {twice[0]['docid']} is in two chunks")
+    write_index(rows, path)

@@ -28,6 +28,11 @@ def merge_max(runs: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, runs).groupBy(*keys).agg(F.max("score").alias("score"))
 
 
+def concat(runs: list[DataFrame]) -> DataFrame:
+    """All rows of all lists of pairs or triples, equal ones as often as they are there."""
+    return reduce(DataFrame.unionByName, runs)
+
+
 def merge_first_wins(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """All of ``first``, and what only ``second`` has."""
     return first.unionByName(second.join(first.select(*keys), keys, "left_anti"))

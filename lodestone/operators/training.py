@@ -41,6 +41,20 @@ def hash_order(*columns: str):
     return F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in columns)))
 
 
+def random_negatives(sets: DataFrame, vocabulary: DataFrame, times: int) -> DataFrame:
+    """(docid, i, tid): ``times`` draws of a vocabulary id for each term of a document, without its own.
+
+    ``sets`` has docid and term, ``vocabulary`` term and tid from 0; ids are drawn
+    with replacement by md5 of docid and i, which any engine can repeat.
+    """
+    size = vocabulary.agg(F.count(F.lit(1)).alias("size"))
+    own = sets.join(vocabulary, "term").groupBy("docid").agg(F.collect_set("tid").alias("own"), F.count(F.lit(1)).alias("n"))
+    draws = own.select("docid", "own", F.explode(F.sequence(F.lit(1), (F.col("n") * times).cast("int"))).alias("i"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("docid").cast("string"), F.col("i").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+    draws = draws.crossJoin(F.broadcast(size)).withColumn("tid", number % F.col("size"))  # one row
+    return draws.where(~F.array_contains("own", F.col("tid"))).select("docid", F.col("i").cast("long").alias("i"), "tid")
+
+
 def stratified(ranked: DataFrame, parts: int, total: int, *group: str) -> DataFrame:
     """Groups of at most ``total`` rows whole, larger ones total / parts rows of each part of their ranks.
 

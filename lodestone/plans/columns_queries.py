@@ -8,15 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions import scores as S
 from ..operators import prefixes, ranking, sparse
+from ..sources.shared import numbered
 from .registry import query
 from .views import rounded, text_tokens
 
 
-@query("filter_nonzero", "SELECT count(*) AS n FROM doc_weights WHERE weight <> 0")
-def _(v):
-    return v.index.agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("score_threshold", "SELECT qid, docid, score FROM scores_a WHERE score > 30")
 def _(v):
     return rounded(sparse.score(v.topic_weights, v.index, 30.0))
@@ -39,9 +35,11 @@ def _(v):
     return rounded(ranking.drop_self_match(dense.all_pairs(v.query_vectors, v.vectors)))
 
 
-@query("drop_empty_smtid", "SELECT count(*) FILTER (n > 0) AS kept, count(*) FILTER (n = 0) AS dropped FROM (SELECT g.smtid, count(s.docid) AS n FROM (SELECT a || '_' || b || '_0_0' AS smtid FROM range(8) x(a), range(8) y(b)) g LEFT JOIN smtids s USING (smtid) GROUP BY g.smtid)")
+@query("drop_empty_smtid", "SELECT count(*) FILTER (n > 0) AS kept, count(*) FILTER (n = 0) AS dropped FROM (SELECT g.smtid, count(s.docid) AS n FROM (SELECT i // 512 || '_' || i // 64 % 8 || '_' || i // 8 % 8 || '_' || i % 8 AS smtid FROM range(4096) x(i)) g LEFT JOIN smtids s USING (smtid) GROUP BY g.smtid)")
 def _(v):
-    grid = v.spark.range(64).select(F.format_string("%d_%d_0_0", F.floor(F.col("id") / 8).cast("int"), (F.col("id") % 8).cast("int")).alias("smtid"))
+    # every sequence of four codes
+    digits = [(F.floor(F.col("id") / 8**k) % 8).cast("int") for k in (3, 2, 1, 0)]
+    grid = v.spark.range(8**4).select(C.to_string(F.array(*digits)).alias("smtid"))
     n = grid.join(v.smtids, "smtid", "left").groupBy("smtid").agg(F.count("docid").alias("n"))
     return n.agg(F.count_if(F.col("n") > 0).alias("kept"), F.count_if(F.col("n") == 0).alias("dropped"))
 
@@ -64,13 +62,12 @@ def _(v):
 
 @query("shard_filter", "SELECT docid FROM (SELECT docid, row_number() OVER (ORDER BY docid) - 1 AS n FROM vectors) WHERE n % 8 = 3")
 def _(v):
-    n = F.row_number().over(W.orderBy("docid")) - 1
-    return v.vectors.select("docid", n.alias("n")).where("n % 8 = 3").select("docid")
+    return numbered(v.vectors.select("docid"), [F.col("docid")], "n").where("n % 8 = 3").select("docid")
 
 
 @query("rekey_ids", "SELECT n AS idx, docid AS key FROM (SELECT docid, row_number() OVER (ORDER BY docid) - 1 AS n FROM vectors) WHERE n IN (SELECT docid FROM run_v)")
 def _(v):
-    keys = v.vectors.select((F.row_number().over(W.orderBy("docid")) - 1).cast("long").alias("idx"), F.col("docid").alias("key"))
+    keys = numbered(v.vectors.select(F.col("docid").alias("key")), [F.col("key")], "idx")
     return v.run_v.select(F.col("docid").alias("idx")).distinct().join(keys, "idx")
 
 
@@ -88,6 +85,15 @@ def _(v):
     return token_logits(v).where("mask = 1").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
+POOLED = "SELECT id, term, max(CASE WHEN mask = 1 THEN ln(1 + greatest(logit, 0)) ELSE 0 END) AS weight FROM token_logits GROUP BY id, term"
+
+
+# pooled weights of short and of masked terms are 0
+@query("filter_nonzero", "SELECT term, count(*) AS n FROM pooled_weights WHERE weight <> 0 GROUP BY term", {"token_logits": LOGITS, "pooled_weights": POOLED})
+def _(v):
+    return sparse.postings(sparse.pool(token_logits(v)), "id").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("splade_pool", "SELECT id, term, round(max(CASE WHEN mask = 1 THEN ln(1 + greatest(logit, 0)) ELSE 0 END), 6) AS weight FROM token_logits GROUP BY id, term", {"token_logits": LOGITS})
 def _(v):
     return rounded(sparse.pool(token_logits(v)), "weight")
@@ -118,8 +124,9 @@ def _(v):
 
 @query("partition_equal", "SELECT part, count(*) AS n FROM (SELECT CAST(least(floor((row_number() OVER (ORDER BY docid) - 1) / floor(count(*) OVER () / 7)), 6) AS INTEGER) AS part FROM corpus) GROUP BY part")
 def _(v):
-    position = F.row_number().over(W.orderBy("docid")) - 1
-    rows = v.corpus.select(C.split_equal(position, F.count(F.lit(1)).over(W.partitionBy()), 7).alias("part"))
+    places = numbered(v.corpus.select("docid"), [F.col("docid")], "position")
+    total = places.agg(F.count(F.lit(1)).alias("total"))
+    rows = places.crossJoin(F.broadcast(total)).select(C.split_equal(F.col("position"), F.col("total"), 7).alias("part"))  # one row
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -183,9 +190,13 @@ def _(v):
     return v.codes.select("docid", C.to_string(F.concat(lex, "codes")).alias("both"), F.size(lex).alias("split"))
 
 
-@query("trie_lookup", "SELECT w.prefix, coalesce(t.next, 1) AS next FROM (SELECT a || '_' || b AS prefix FROM range(8) x(a), range(8) y(b)) w LEFT JOIN (SELECT * FROM trie WHERE m = 2) t USING (prefix)")
+# every prefix of up to three codes
+@query("trie_lookup", "SELECT w.prefix, coalesce(t.next, 1) AS next FROM (SELECT '' AS prefix UNION ALL SELECT '' || a FROM range(8) x(a) UNION ALL SELECT a || '_' || b FROM range(8) x(a), range(8) y(b) UNION ALL SELECT a || '_' || b || '_' || c FROM range(8) x(a), range(8) y(b), range(8) z(c)) w LEFT JOIN trie t USING (prefix)")
 def _(v):
-    wanted = v.spark.range(64).select(F.array(F.floor(F.col("id") / 8).cast("int"), (F.col("id") % 8).cast("int")).alias("prefix"))
+    digits = lambda n: [(F.floor(F.col("id") / 8**k) % 8).cast("int") for k in reversed(range(n))]
+    wanted = v.spark.range(1).select(F.array().cast("array<int>").alias("prefix"))
+    for n in (1, 2, 3):
+        wanted = wanted.unionByName(v.spark.range(8**n).select(F.array(*digits(n)).alias("prefix")))
     found = prefixes.look_up(prefixes.edges(v.codes), wanted)
     return found.select(C.to_string(F.col("prefix")).alias("prefix"), "next")
 
@@ -201,7 +212,10 @@ def _(v):
     return edges.select("depth", (F.dense_rank().over(W.partitionBy("depth").orderBy("p")) - 1).cast("long").alias("state"), "next")
 
 
-@query("mask_invalid", "SELECT l.qid, l.code, CASE WHEN t.next IS NULL THEN -1e9 ELSE round(l.part, 6) END AS logit FROM logits l LEFT JOIN (SELECT next FROM trie WHERE m = 1 AND prefix = '0') t ON t.next = l.code WHERE l.m = 1")
+# the logits behind every prefix of a query's own candidates
+@query("mask_invalid", "SELECT p.qid, p.prefix, l.code, CASE WHEN t.next IS NULL THEN -1e9 ELSE round(l.part, 6) END AS logit FROM (SELECT DISTINCT qid, m, prefix FROM run_v JOIN code_edges USING (docid)) p JOIN logits l ON l.qid = p.qid AND l.m = p.m LEFT JOIN trie t ON t.m = p.m AND t.prefix = p.prefix AND t.next = l.code")
 def _(v):
-    allowed = prefixes.edges(v.codes).where(F.col("prefix") == F.array(F.lit(0))).select(F.col("next").alias("code"), F.lit(True).alias("ok"))
-    return v.logits.where("m = 1").join(allowed, "code", "left").select("qid", "code", F.when(F.col("ok"), F.round("part", 6)).otherwise(-1e9).alias("logit"))
+    held = prefixes.query_edges(v.run_v, v.codes).select("qid", "prefix").distinct().withColumn("m", F.size("prefix"))
+    allowed = prefixes.edges(v.codes).select("prefix", F.col("next").alias("code"), F.lit(True).alias("ok"))
+    rows = held.join(v.logits, ["qid", "m"]).join(allowed, ["prefix", "code"], "left")
+    return rows.select("qid", C.to_string(F.col("prefix")).alias("prefix"), "code", F.when(F.col("ok"), F.round("part", 6)).otherwise(-1e9).alias("logit"))

@@ -40,10 +40,9 @@ def _(v):
     return rounded(dense.all_pairs(v.query_vectors, v.vectors))
 
 
-@query("smtid_to_docs", "SELECT p.prefix AS smtid, s.docid FROM (SELECT '0_' || a || '_' || b || '_0' AS prefix FROM range(8) x(a), range(8) y(b)) p JOIN smtids s ON s.smtid = p.prefix")
+@query("smtid_to_docs", "SELECT w.smtid, s.docid FROM (SELECT DISTINCT smtid FROM run_v JOIN smtids USING (docid)) w JOIN smtids s USING (smtid)")
 def _(v):
-    wanted = v.spark.range(64).select(F.format_string("0_%d_%d_0", F.floor(F.col("id") / 8).cast("int"), (F.col("id") % 8).cast("int")).alias("smtid"))
-    return wanted.join(v.smtids, "smtid")
+    return v.run_v.join(v.smtids, "docid").select("smtid").distinct().join(v.smtids, "smtid")
 
 
 @query("run_fusion_inner", "SELECT qid, docid, round(0.4 * a.score + b.score, 6) AS score FROM run_a a JOIN run_b b USING (qid, docid)")
@@ -135,9 +134,12 @@ def _(v):
     return ranking.merge_max([triples, triples.withColumn("score", F.col("score") * 2)], ["qid", "smtid", "docid"])
 
 
-@query("concat_triples", "SELECT qid, docid, score FROM run_a UNION ALL SELECT qid, docid, score FROM run_b")
+# a bag: what both lists have is there twice
+@query("concat_triples", "SELECT qid, smtid, docid, score FROM triples UNION ALL SELECT qid, smtid, docid, CAST(rel AS DOUBLE) AS score FROM qrels_v JOIN smtids USING (docid) UNION ALL SELECT qid, smtid, docid, score FROM triples", {"triples": TRIPLES})
 def _(v):
-    return v.run_a.unionByName(v.run_b)
+    run = v.run_v.join(v.smtids, "docid").select("qid", "smtid", "docid", "score")
+    judged = v.qrels_v.join(v.smtids, "docid").select("qid", "smtid", "docid", F.col("rel").cast("double").alias("score"))
+    return ranking.concat([run, judged, run])
 
 
 @query("merge_inverted_indexes", "SELECT term, count(*) AS n, round(sum(weight), 6) AS total FROM doc_weights GROUP BY term")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis, metrics, quantize, ranking
 from ..operators.prefixes import by_smtid, smtid_qrels, smtid_scores
+from ..sources.shared import numbered
 from .registry import query
 from .views import rounded
 
@@ -125,7 +126,7 @@ def _(v):
 
 @query("sorted_metric_diffs", "SELECT row_number() OVER (ORDER BY diff, qid) AS place, qid, diff FROM diffs", {"diffs": difference("rr")})
 def _(v):
-    return differences(v, "rr").select(F.row_number().over(W.orderBy("diff", "qid")).cast("long").alias("place"), "qid", "diff")
+    return numbered(differences(v, "rr"), [F.col("diff"), F.col("qid")], "n").select((F.col("n") + 1).alias("place"), "qid", "diff")
 
 
 @query("mrr_diff_histogram", "SELECT CAST(b AS INTEGER) AS bin, round(count(diff) / (SELECT count(*) FROM diffs), 6) AS share FROM (SELECT unnest(range(10)) AS b, unnest([-1, -0.5, -0.1, -0.05, -0.01, 0, 0.01, 0.05, 0.1, 0.5]::DOUBLE[]) AS lo, unnest([-0.5, -0.1, -0.05, -0.01, 0, 0.01, 0.05, 0.1, 0.5, 1]::DOUBLE[]) AS hi) e LEFT JOIN diffs r ON r.diff >= lo AND (r.diff < hi OR (b = 9 AND r.diff = hi)) GROUP BY b", {"diffs": difference("rr")})

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions.scores import dot
 from ..operators import analysis, dense, prefixes, quantize, ranking, sparse
+from ..sources import formats
+from ..sources.shared import scratch
 from .registry import query
 from .views import best, rounded
 
@@ -26,9 +28,9 @@ def _(v):
     return rounded(sparse.score_sets(v.topic_weights, v.bow))
 
 
-@query("dense_dot", "SELECT docid, round(list_inner_product(vec::DOUBLE[], vec::DOUBLE[]), 6) AS norm FROM vectors")
+@query("dense_dot", "SELECT q.qid, q.docid, round(list_inner_product(qvec::DOUBLE[], vec::DOUBLE[]), 6) AS score FROM qrels_v q JOIN query_vectors a ON a.qid = q.qid JOIN vectors v ON v.docid = q.docid")
 def _(v):
-    return v.vectors.select("docid", F.round(dot(F.col("vec"), F.col("vec")), 6).alias("norm"))
+    return rounded(dense.pair_scores(v.qrels_v, v.query_vectors, v.vectors))
 
 
 for _how, _column in (("max", "mx"), ("min", "mn"), ("mean", "av")):
@@ -75,7 +77,16 @@ def _(v):
     return rounded(analysis.quantiles(v.doc_weights.groupBy("docid").agg(F.count(F.lit(1)).alias("n")), "n"), "value")
 
 
-@query("docid_codes_export", QUANTILES + "(SELECT count(*) AS n FROM smtids GROUP BY smtid)")
+@query("docid_codes_export", "SELECT CAST(docid AS VARCHAR) AS docid, array_to_string(codes, '_') AS smtid, count(*) OVER (PARTITION BY codes) AS sharing FROM doc_codes")
+def _(v):
+    path = scratch(v.spark, "codes")
+    formats.write_codes(v.codes, path)
+    found = prefixes.by_smtid(formats.read_codes(v.spark, path), 4)
+    sharing = found.groupBy("smtid").agg(F.count(F.lit(1)).alias("sharing"))
+    return found.join(sharing, "smtid").select("docid", "smtid", "sharing")
+
+
+@query("docid_codes_profile", QUANTILES + "(SELECT count(*) AS n FROM smtids GROUP BY smtid)")
 def _(v):
     return rounded(analysis.quantiles(v.smtids.groupBy("smtid").agg(F.count(F.lit(1)).alias("n")), "n"), "value")
 
@@ -217,9 +228,16 @@ def _(v):
     return rounded(ranking.top_k(ranking.merge_max(shards, ["qid", "docid"]), 20))
 
 
-@query("dense_index", "SELECT count(*) AS n, CAST(max(len(vec)) AS INTEGER) AS dims FROM vectors")
+@query("dense_index", "SELECT row_number() OVER (ORDER BY docid) - 1 AS idx, docid, CAST(len(vec) AS INTEGER) AS dims, round(list_sum(vec::DOUBLE[]), 6) AS total FROM vectors")
 def _(v):
-    return v.vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims"))
+    # chunks are written by themselves and merged
+    paths = [scratch(v.spark, f"chunk-{r}") for r in range(3)]
+    for r, path in enumerate(paths):
+        dense.write_index(v.vectors.where(F.pmod("docid", F.lit(3)) == r), path)
+    merged = scratch(v.spark, "dense-index")
+    dense.merge_indexes(v.spark, paths, merged)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return dense.read_index(v.spark, merged).select("idx", "docid", F.size("vec").alias("dims"), F.round(total, 6).alias("total"))
 
 
 @query("dense_retrieve", best("scores_v", 20))

@@ -1,39 +1,52 @@
-"""Scans and sinks. Nested inputs are made from the tables and read back."""
+"""Scans and sinks. Files are made from the tables in the shared folder and read back."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import dataset_name, title_text
 from ..operators import metrics, ranking, training
 from ..sources import formats
-from ..sources.shared import shared_dir
+from ..sources.shared import scratch as shared_path
 from .registry import query
 
 
+def scratch(v, name: str) -> str:
+    """A new folder for a query that writes and reads back."""
+    return shared_path(v.spark, name)
+
+
+def lines(v, df, name: str, separator: str | None = None) -> str:
+    """The path of text files with the lines of ``df``."""
+    path = scratch(v, name)
+    df.write.text(path, lineSep=separator)
+    return path
+
+
 @query("scan_collection", "SELECT CAST(docid AS VARCHAR) AS id, trim(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), ' ') AS text FROM corpus")
 def _(v):
     flat = F.regexp_replace("text", r"[\r\n]", " ")
-    return formats.parse_collection(v.corpus.select(F.concat_ws("\t", F.col("docid").cast("string"), flat).alias("value")))
+    return formats.read_collection(v.spark, lines(v, v.corpus.select(F.concat_ws("\t", F.col("docid").cast("string"), flat).alias("value")), "collection"))
 
 
 @query("scan_tsv_pairs", "SELECT CAST(item_id AS VARCHAR) AS \"left\", regexp_replace(text, '[\\t]', ' ', 'g') AS \"right\" FROM benchmark")
 def _(v):
-    return formats.parse_pairs(v.topics.select(F.concat_ws("\t", F.col("qid").cast("string"), F.regexp_replace("text", "\t", " ")).alias("value")))
+    return formats.read_pairs(v.spark, lines(v, v.topics.select(F.concat_ws("\t", F.col("qid").cast("string"), F.regexp_replace("text", "\t", " ")).alias("value")), "pairs", "\x1e"), "\x1e")
 
 
 @query("scan_run_json", "SELECT CAST(qid AS VARCHAR) AS qid, CAST(docid AS VARCHAR) AS docid, score FROM run_v")
 def _(v):
-    return formats.parse_run(formats.format_run(v.run_v))
+    path = scratch(v, "run")
+    formats.write_run(v.run_v, path)
+    return formats.read_run(v.spark, path)
 
 
 @query("write_run", "SELECT count(*) AS lines, sum(n) AS entries FROM (SELECT qid, CAST(count(*) AS BIGINT) AS n FROM run_v GROUP BY qid)".replace("sum(n)", "CAST(sum(n) AS BIGINT)"))
 def _(v):
-    lines = formats.format_run(v.run_v)
-    return lines.agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size(F.map_values(F.from_json("value", "map<string,map<string,double>>"))[0]).cast("long")).alias("entries"))
+    path = scratch(v, "run")
+    formats.write_run(v.run_v, path)
+    found = v.spark.read.text(path)
+    return found.agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size(F.map_values(F.from_json("value", "map<string,map<string,double>>"))[0]).cast("long")).alias("entries"))
 
 
 EXAMPLES = "SELECT CAST(qid AS VARCHAR) AS qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) - 1 AS INTEGER) AS pos, CAST(docid AS VARCHAR) AS docid, score FROM run_v"
@@ -46,23 +59,30 @@ def examples(v):
 
 @query("scan_jsonl_examples", EXAMPLES)
 def _(v):
-    return formats.parse_examples(formats.format_examples(examples(v)))
+    path = scratch(v, "examples")
+    formats.write_examples(examples(v), path)
+    return formats.read_examples(v.spark, path)
 
 
 @query("write_jsonl_examples", "SELECT count(DISTINCT qid) AS lines FROM run_v")
 def _(v):
-    return formats.format_examples(examples(v)).agg(F.count(F.lit(1)).alias("lines"))
+    path = scratch(v, "examples")
+    formats.write_examples(examples(v), path)
+    return v.spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("scan_docid_codes", "SELECT CAST(docid AS VARCHAR) AS docid, array_to_string(codes, '_') AS codes FROM doc_codes")
 def _(v):
-    return formats.parse_codes(formats.format_codes(v.codes)).select("docid", F.array_join(F.col("codes").cast("array<string>"), "_").alias("codes"))
+    path = scratch(v, "codes")
+    formats.write_codes(v.codes, path)
+    return formats.read_codes(v.spark, path).select("docid", F.array_join(F.col("codes").cast("array<string>"), "_").alias("codes"))
 
 
 @query("scan_beir_corpus", "SELECT CAST(row_number() OVER (ORDER BY page_id) - 1 AS BIGINT) AS idx, page_id AS key, url || ' ' || html AS text FROM pages")
 def _(v):
-    idx = F.row_number().over(W.orderBy("page_id")) - 1
-    return v.table("pages").select(idx.cast("long").alias("idx"), F.col("page_id").alias("key"), title_text(F.col("url"), F.col("html")).alias("text"))
+    path = scratch(v, "titled")
+    v.table("pages").select(F.col("page_id").cast("string").alias("_id"), F.col("url").alias("title"), F.col("html").alias("text")).write.json(path)
+    return formats.read_titled(v.spark, path, number_keys=True).select("idx", F.col("key").cast("long").alias("key"), "text")
 
 
 @query("title_text_concat", "SELECT page_id, url || ' ' || html AS text FROM pages")
@@ -72,13 +92,9 @@ def _(v):
 
 @query("scan_pickle_scores", "SELECT CAST(qid AS VARCHAR) AS qid, CAST(docid AS VARCHAR) AS docid, score FROM run_v")
 def _(v):
-    # such scores come as Parquet with integer keys
-    return v.run_v.select(F.col("qid").cast("string").alias("qid"), F.col("docid").cast("string").alias("docid"), F.col("score").cast("double").alias("score"))
-
-
-def scratch(v, name: str) -> str:
-    """A new folder for a query that writes and reads back."""
-    return f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(v, "scores")
+    formats.write_table(v.run_v.select(F.col("qid").cast("int").alias("qid"), "docid", F.col("score").cast("double").alias("score")), path)
+    return formats.read_scores(v.spark, path)
 
 
 @query("write_index", "SELECT term, docid, round(weight, 6) AS value FROM doc_weights WHERE term IN (SELECT term FROM topic_weights)")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import dense, prefixes, quantize, ranking, sparse, training
+from ..functions.scores import dot
+from ..operators import dense, prefixes, quantize, ranking, rerank, sparse, training
+from ..sources.shared import numbered, written
 from .registry import query
 from .views import best, rounded
 
 
 @query("rerank_cross_encoder", "SELECT qid, docid, score FROM teacher")
 def _(v):
-    return v.teacher
+    # the default scorer of pairs, in Arrow batches
+    return rounded(rerank.score_pairs(v.candidates, v.topics, v.corpus))
 
 
 @query("rerank_lex_plus_smt", "SELECT qid, docid, round(v.score + q.score, 6) AS score FROM run_v v JOIN scores_q q USING (qid, docid)")
@@ -29,7 +32,8 @@ def _(v):
 
 @query("make_trainset", "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS pos, docid, score FROM teacher")
 def _(v):
-    shards = [v.teacher.where(F.pmod("docid", F.lit(3)) == r) for r in range(3)]
+    teacher = written(v.teacher, "teacher")
+    shards = [teacher.where(F.pmod("docid", F.lit(3)) == r) for r in range(3)]
     ranked = ranking.with_rank(ranking.merge_max(shards, ["qid", "docid"]))
     return ranked.where("rank <= 200").select("qid", F.col("rank").alias("pos"), "docid", "score")
 
@@ -102,6 +106,12 @@ def _(v):
 GROUPED = "SELECT q.qid, q.docid AS rel_docid, b.docid FROM (SELECT qid, docid FROM qrels_v WHERE rel = 3) q JOIN (SELECT docid, codes[1] AS c FROM doc_codes) a USING (docid) JOIN (SELECT docid, codes[1] AS c FROM doc_codes) b ON a.c = b.c AND a.docid <> b.docid"
 
 
+def with_dense(v, rows):
+    """``rows`` with the rounded inner product of their qid and docid; no other pairs are formed."""
+    both = rows.join(v.query_vectors.select("qid", "qvec"), "qid").join(v.vectors.select("docid", "vec"), "docid")
+    return both.withColumn("score", F.round(dot(F.col("qvec"), F.col("vec")), 6)).drop("qvec", "vec")
+
+
 def same_prefix(v):
     """Relevant documents with all others of the same first code."""
     groups = v.codes.select("docid", F.get("codes", F.lit(0)).alias("c"))
@@ -113,7 +123,7 @@ def same_prefix(v):
 def _(v):
     order = F.row_number().over(W.partitionBy("qid", "rel_docid").orderBy(training.hash_order("qid", "rel_docid", "docid"), "docid"))
     kept = same_prefix(v).withColumn("n", order).where("n <= 10").drop("n")
-    return kept.join(rounded(dense.all_pairs(v.query_vectors, v.vectors)), ["qid", "docid"])
+    return with_dense(v, kept)
 
 
 STRATA = """SELECT qid, rel_docid, docid, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, rel_docid, part ORDER BY md5(qid || ':' || rel_docid || ':' || docid), docid) AS place FROM
@@ -124,8 +134,7 @@ STRATA = """SELECT qid, rel_docid, docid, rank FROM (SELECT *, row_number() OVER
 
 @query("hard_negative_rerank", STRATA, {"grouped": GROUPED})
 def _(v):
-    scored = same_prefix(v).join(rounded(dense.all_pairs(v.query_vectors, v.vectors)), ["qid", "docid"])
-    ranked = ranking.with_rank(scored, ["qid", "rel_docid"])
+    ranked = ranking.with_rank(with_dense(v, same_prefix(v)), ["qid", "rel_docid"])
     return training.stratified(ranked, 5, 20, "qid", "rel_docid").select("qid", "rel_docid", "docid", "rank")
 
 
@@ -134,7 +143,7 @@ def _(v):
     scores = rounded(quantize.search_scores(v.logits, v.codes)).join(v.smtids, "docid").groupBy("qid", "smtid").agg(F.max("score").alias("score"))
     top = ranking.top_k(scores, 5, tie="smtid").select("qid", "smtid")
     pairs = top.join(v.smtids, "smtid").select("qid", "docid")
-    return pairs.join(rounded(dense.all_pairs(v.query_vectors, v.vectors)), ["qid", "docid"])
+    return with_dense(v, pairs)
 
 
 @query("pseudo_query_scores", "SELECT docid, string_agg(CAST(qid AS VARCHAR), ',' ORDER BY qid) AS qids, round(max(score), 6) AS best FROM teacher GROUP BY docid")
@@ -150,14 +159,15 @@ def _(v):
     return packed.select("qid", F.element_at("docids", (2 + draw % (F.size("docids") - 1)).cast("int")).alias("negative"))
 
 
-@query("random_negative_terms")
+VOCABULARY = "SELECT term, row_number() OVER (ORDER BY term) - 1 AS tid FROM (SELECT DISTINCT term FROM doc_weights)"
+DRAWS = "SELECT docid, own, i, CAST('0x' || substr(md5(docid || ':' || i), 1, 13) AS BIGINT) % (SELECT count(*) FROM vocabulary) AS tid FROM (SELECT docid, own, unnest(range(1, CAST(4 * n + 1 AS BIGINT))) AS i FROM (SELECT docid, list(tid) AS own, count(*) AS n FROM bow JOIN vocabulary USING (term) GROUP BY docid))"
+
+
+@query("random_negative_terms", "SELECT docid, i, tid FROM draws WHERE NOT list_contains(own, tid)", {"vocabulary": VOCABULARY, "draws": DRAWS})
 def _(v):
-    # four times as many vocabulary ids as a document has terms, without its own
-    vocabulary = v.doc_weights.select("term").distinct().withColumn("tid", F.pmod(F.xxhash64("term"), F.lit(50_000)))
-    own = v.bow.join(vocabulary, "term").groupBy("docid").agg(F.collect_set("tid").alias("own"), F.count(F.lit(1)).alias("n"))
-    draws = own.select("docid", "own", F.explode(F.sequence(F.lit(1), (F.col("n") * 4).cast("int"))).alias("i"))
-    draws = draws.withColumn("tid", F.pmod(F.xxhash64("docid", "i", F.lit(1)), F.lit(50_000)))
-    return draws.where(~F.array_contains("own", F.col("tid"))).select("docid", "i", "tid")
+    # four times as many vocabulary ids as a document has terms, without its own; ids number all terms
+    vocabulary = numbered(v.doc_weights.select("term").distinct(), [F.col("term")], "tid")
+    return training.random_negatives(v.bow, vocabulary, 4)
 
 
 @query("nway_slice", "SELECT qid, string_agg(CAST(docid AS VARCHAR), ',' ORDER BY n) AS docids FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS n, count(*) OVER (PARTITION BY qid) AS c FROM teacher) WHERE n <= 4 AND c >= 4 GROUP BY qid")
@@ -171,11 +181,11 @@ MARGINS = "SELECT p.qid, sp.score AS s_pos, sn.score AS s_neg, tp.score AS t_pos
 
 
 def margin_pairs(v, levels: int = 4, factor: float = 1.0):
-    s = rounded(dense.all_pairs(v.query_vectors, v.vectors))
-    t = rounded(quantize.search_scores(v.logits.where(F.col("m") < levels), v.codes)).withColumn("score", F.col("score") * factor)
-    both = s.withColumnRenamed("score", "s").join(t.withColumnRenamed("score", "t"), ["qid", "docid"])
-    pos = v.qrels_v.where("rel = 3").join(both, ["qid", "docid"]).select("qid", F.col("docid").alias("p"), F.col("s").alias("s_pos"), F.col("t").alias("t_pos"))
-    neg = v.run_v.select("qid", "docid").join(both, ["qid", "docid"]).select("qid", "docid", F.col("s").alias("s_neg"), F.col("t").alias("t_neg"))
+    t = rounded(quantize.search_scores(v.logits.where(F.col("m") < levels), v.codes)).select("qid", "docid", (F.col("score") * factor).alias("t"))
+    pos = with_dense(v, v.qrels_v.where("rel = 3").select("qid", "docid")).join(t, ["qid", "docid"])
+    pos = pos.select("qid", F.col("docid").alias("p"), F.col("score").alias("s_pos"), F.col("t").alias("t_pos"))
+    # a run has its own scores
+    neg = v.run_v.join(t, ["qid", "docid"]).select("qid", "docid", F.col("score").alias("s_neg"), F.col("t").alias("t_neg"))
     return pos.join(neg, "qid").where("p != docid")
 
 
@@ -253,7 +263,7 @@ MERGED_DEEP = "SELECT * FROM deep_v UNION ALL SELECT qid, docid, score * 0.5 AS
 
 
 def deep_run(v):
-    return rounded(ranking.top_k(ranking.drop_self_match(dense.all_pairs(v.query_vectors, v.vectors)), 1000))
+    return dense.retrieve_blocked(v.query_vectors, v.vectors, 1000, but_self=True)
 
 
 @query("add_qrel_to_rerank_full", EXAMPLES_200, DEEP | {"positives": POSITIVES})
@@ -278,7 +288,7 @@ def _(v):
 def _(v):
     order = F.row_number().over(W.partitionBy("qid", "rel_docid").orderBy(training.hash_order("qid", "rel_docid", "docid"), "docid"))
     kept = same_prefix(v).withColumn("n", order).where("n <= 50").drop("n")
-    return kept.join(rounded(dense.all_pairs(v.query_vectors, v.vectors)), ["qid", "docid"])
+    return with_dense(v, kept)
 
 
 STRATA_200 = """SELECT qid, rel_docid, docid, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, rel_docid, part ORDER BY md5(qid || ':' || rel_docid || ':' || docid), docid) AS place FROM
@@ -289,6 +299,5 @@ STRATA_200 = """SELECT qid, rel_docid, docid, rank FROM (SELECT *, row_number()
 
 @query("hard_negative_rerank_full", STRATA_200, {"grouped": GROUPED})
 def _(v):
-    scored = same_prefix(v).join(rounded(dense.all_pairs(v.query_vectors, v.vectors)), ["qid", "docid"])
-    ranked = ranking.with_rank(scored, ["qid", "rel_docid"])
+    ranked = ranking.with_rank(with_dense(v, same_prefix(v)), ["qid", "rel_docid"])
     return training.stratified(ranked, 20, 200, "qid", "rel_docid").select("qid", "rel_docid", "docid", "rank")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions.scores import tokens
 from ..operators import beam, dense, prefixes, quantize, ranking, sparse
+from ..sources.shared import broadcast_if_small
 
 K, TERMS, LEVELS, SIZE, BEAMS = 50, 16, 4, 8, 4
 
@@ -51,7 +52,9 @@ class Views:
 
     @cached_property
     def run_a(self) -> DataFrame:
-        return rounded(sparse.retrieve(self.topic_weights, self.index, K))
+        # postings of the topics' terms only
+        weights = sparse.term_weights(self.corpus, "docid", among=self.topic_weights)
+        return rounded(sparse.retrieve(self.topic_weights, sparse.postings(weights), K))
 
     @cached_property
     def bow(self) -> DataFrame:
@@ -63,8 +66,8 @@ class Views:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        pairs = self.corpus.crossJoin(F.broadcast(self.topics.withColumnRenamed("text", "passage")))
-        return pairs.where(F.col("text").contains(F.col("passage"))).select("qid", "docid", (1 + F.col("docid") % 3).cast("int").alias("rel"))
+        pairs = sparse.containing(self.corpus, self.topics)
+        return pairs.select("qid", "docid", (1 + F.col("docid") % 3).cast("int").alias("rel"))
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -76,12 +79,12 @@ class Views:
 
     @cached_property
     def run_v(self) -> DataFrame:
-        pairs = dense.all_pairs(self.query_vectors, self.vectors)
-        return rounded(ranking.top_k(ranking.drop_self_match(pairs), K))
+        return dense.retrieve_blocked(self.query_vectors, self.vectors, K, but_self=True)
 
     @cached_property
     def qrels_v(self) -> DataFrame:
-        pairs = self.vectors.join(F.broadcast(self.query_vectors), F.col("label") == F.col("qlabel")).where("qid != docid")
+        asked = broadcast_if_small(self.query_vectors.select("qid", "qlabel"))
+        pairs = self.vectors.select("docid", "label").join(asked, F.col("label") == F.col("qlabel")).where("qid != docid")
         return pairs.select("qid", "docid", (1 + F.col("docid") % 3).cast("int").alias("rel"))
 
     @cached_property
@@ -110,17 +113,20 @@ class Views:
     @cached_property
     def teacher(self) -> DataFrame:
         """Jaccard of the distinct tokens of topic and document, for each topic's best 20."""
-        pairs = ranking.top_k(self.run_a, 20).select("qid", "docid")
-        return jaccard(pairs, self.topic_weights, self.doc_weights)
+        return jaccard(self.candidates, self.topics, self.corpus)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """The best 20 documents of each topic."""
+        return ranking.top_k(self.run_a, 20).select("qid", "docid")
 
 
-def jaccard(pairs: DataFrame, topic_weights: DataFrame, doc_weights: DataFrame) -> DataFrame:
-    nq = topic_weights.groupBy("qid").agg(F.count(F.lit(1)).alias("nq"))
-    nd = doc_weights.join(pairs.select("docid").distinct(), "docid", "left_semi").groupBy("docid").agg(F.count(F.lit(1)).alias("nd"))
-    shared = pairs.join(topic_weights.select("qid", "term"), "qid").join(doc_weights.select("docid", "term"), ["docid", "term"]).groupBy("qid", "docid").agg(F.count(F.lit(1)).alias("both"))
-    rows = pairs.join(shared, ["qid", "docid"], "left").join(nq, "qid").join(nd, "docid")
-    both = F.coalesce("both", F.lit(0))
-    return rows.select("qid", "docid", F.round(both / (F.col("nq") + F.col("nd") - both), 6).alias("score"))
+def jaccard(pairs: DataFrame, topics: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(qid, docid, score) of the pairs' distinct tokens; only their texts are read into tokens."""
+    queries = topics.select("qid", F.array_distinct(tokens(F.col("text"))).alias("a"))
+    rows = pairs.join(queries, "qid").join(corpus, "docid").select("qid", "docid", "a", F.array_distinct(tokens(F.col("text"))).alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return rows.select("qid", "docid", F.round(both / (F.size("a") + F.size("b") - both), 6).alias("score"))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -193,7 +199,8 @@ def with_views(statement: str, extra: dict[str, str] | None = None) -> str:
                 needed.setdefault(name)
 
     add(statement)
-    ctes = ",\n".join(f"{n} AS ({known[n]})" for n in needed)
+    # each view is computed once, however often others name it
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({known[n]})" for n in needed)
     return f"WITH {ctes}\n{statement}" if ctes else statement
 
 
@@ -220,7 +227,7 @@ def beam_sql(kind: str, beams: int = BEAMS, length: int = LEVELS, tag: str = "")
     return views
 
 
-def beams_of(v: Views, kind: str, beams: int = BEAMS, length: int = LEVELS) -> DataFrame:
+def beams_of(v: Views, kind: str, beams: int | None = BEAMS, length: int = LEVELS) -> DataFrame:
     """(qid, codes, score) of the same searches."""
     codes = v.codes.select("docid", C.prefix(F.col("codes"), length).alias("codes"))
     if kind == "constrained":

@@ -184,3 +184,93 @@ def test_results_do_not_depend_on_partitions(spark):
 def test_scores_by_hand(spark):
     row = spark.range(1).select(S.saturate(F.lit(-1.0)).alias("a"), S.reciprocal_rank(F.lit(11)).alias("b"), S.reg_weight(F.lit(5), 2.0, 10).alias("c")).first()
     assert (row["a"], row["b"], row["c"]) == (0.0, 0.0, 0.5)
+
+
+def test_trained_codebook_matches_plain_lloyd(spark):
+    import numpy as np
+
+    from lodestone.operators import quantize
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "docid long, vec array<double>").repartition(3)
+    order = [[r[0] for r in df.orderBy(F.xxhash64("docid", F.lit(0), F.lit(m)), "docid").limit(5).collect()] for m in range(2)]
+    want, left = [], x
+    for m in range(2):
+        centers = left[order[m]].copy()
+        for _ in range(4):
+            near = ((left[:, None] - centers) ** 2).sum(-1).argmin(1)
+            centers = np.array([left[near == c].mean(0) if (near == c).any() else centers[c] for c in range(5)])
+        near = ((left[:, None] - centers) ** 2).sum(-1).argmin(1)
+        left = left - centers[near]
+        want += [(m, c, v) for c, v in enumerate(centers)]
+    got = {(r["m"], r["code"]): r["vec"] for r in quantize.train(df, 2, 5, rounds=4).collect()}
+    assert len(got) == 10 and all(np.allclose(got[m, c], v, atol=1e-9) for m, c, v in want)
+
+
+def test_code_scores_in_blocks_and_with_gaps(spark, monkeypatch):
+    from lodestone.operators import quantize
+
+    codes = [(1, [0, 1]), (2, [1, 1]), (3, [2]), (4, [9, 9]), (5, [])]
+    parts = [(q, m, c, float(10 * q + 3 * m + c)) for q in range(7) for m in range(2) for c in range(3) if (q, m, c) != (3, 1, 1)]
+    want = {(q, d): sum(p for q_, m, c, p in parts if q_ == q and m < len(x) and x[m] == c) for q in range(7) for d, x in codes if any(m < len(x) and x[m] == c and q_ == q for q_, m, c, _ in parts)}
+    for table in (quantize.TABLE, 5):
+        monkeypatch.setattr(quantize, "TABLE", table)
+        got = quantize.search_scores(spark.createDataFrame(parts, "qid long, m int, code int, part double"), spark.createDataFrame(codes, "docid long, codes array<int>"), levels=2)
+        assert {(r["qid"], r["docid"]): r["score"] for r in got.collect()} == want
+
+
+def test_dense_blocks_and_indexes(spark, tmp_path, monkeypatch):
+    import numpy as np
+    import pytest
+
+    from lodestone.operators import dense
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, size=(60, 4)).astype(float)  # many equal scores
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "docid long, vec array<double>").repartition(4)
+    queries = df.where("docid % 4 = 0").select(F.col("docid").alias("qid"), F.col("vec").alias("qvec"))
+    want = {(q, d) for q in range(0, 60, 4) for d in sorted((d for d in range(60) if d != q), key=lambda d: (-x[q] @ x[d], d))[:5]}
+    for size in (1024, 2):
+        monkeypatch.setattr(dense.blocks_of, "__defaults__", (size,))
+        got = dense.retrieve_blocked(queries, df, 5, but_self=True).collect()
+        assert {(r["qid"], r["docid"]) for r in got} == want
+    paths = [f"file://{tmp_path}/{r}" for r in range(3)]
+    for r, path in enumerate(paths):
+        dense.write_index(df.where(F.col("docid") % 3 == r), path)
+    dense.merge_indexes(spark, paths, f"file://{tmp_path}/all")
+    assert {r["idx"]: r["docid"] for r in dense.read_index(spark, f"file://{tmp_path}/all").collect()} == {i: i for i in range(60)}
+    with pytest.raises(ValueError):
+        dense.merge_indexes(spark, [paths[0], paths[0]], f"file://{tmp_path}/twice")
+
+
+def test_passages_are_found_by_their_runs_of_words(spark, monkeypatch):
+    from lodestone.operators import sparse
+
+    texts = [(1, "xx one two three four five six yy"), (2, "one two  three four five six"), (3, "one two three"), (4, None), (5, ""), (6, "a one two three four fiv")]
+    passages = [(10, "ne two three four five si"), (11, "one two"), (12, "two three four five six y"), (13, "nowhere to be seen at all"), (14, "one two three four fi")]
+    want = {(q, d) for q, p in passages for d, t in texts if t and p in t}
+    args = spark.createDataFrame(texts, "docid long, text string"), spark.createDataFrame(passages, "qid long, text string")
+    for few in (sparse.FEW_PASSAGES, 0):
+        monkeypatch.setattr(sparse, "FEW_PASSAGES", few)
+        assert {tuple(r) for r in sparse.containing(*args).collect()} == want
+
+
+def test_scorers_of_pairs_run_in_batches(spark):
+    from lodestone.operators import rerank
+
+    pairs = spark.createDataFrame([(1, 7), (1, 8), (2, 7)], "qid long, docid long")
+    topics = spark.createDataFrame([(1, "A b"), (2, "c")], "qid long, text string")
+    corpus = spark.createDataFrame([(7, "a b c d"), (8, "b, B!")], "docid long, text string")
+    got = {(r["qid"], r["docid"]): r["score"] for r in rerank.score_pairs(pairs, topics, corpus, batch=1).collect()}
+    assert got == {(1, 7): 0.5, (1, 8): 0.5, (2, 7): 0.25}
+    longer = rerank.score_pairs(pairs, topics, corpus, scorer=lambda q, t: [len(x) - len(y) for x, y in zip(q, t)])
+    assert {r["score"] for r in longer.collect()} == {-4.0, -2.0, -6.0}
+
+
+def test_numbered_counts_ranges(spark):
+    from lodestone.sources.shared import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"), F.lit("a").alias("row")).repartition(5)
+    assert all(r["n"] == r["x"] for r in numbered(df, [F.col("x")], "n").collect())
+    assert numbered(df.limit(0), [F.col("x")], "n").collect() == []

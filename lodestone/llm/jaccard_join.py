@@ -36,9 +36,10 @@ deviation, the shingles in which it differs from the pivot, and two documents
 differ exactly where their deviations differ. By the triangle inequality two
 linked documents, one of them beyond the threshold, have deviations whose sizes
 differ little and that overlap in a known number of shingles, so they meet in
-one of the first of these in the order of their frequency in the region. What
-meets there is compared, so no link is lost and a region's documents are not all
-compared with each other.
+one of the first of these in the order of their frequency in the region. Where
+they meet first, what is left of both in that order has to hold all that they
+share. What meets like that is compared, so no link is lost and a region's
+documents are not all compared with each other.
 
 Sets are compared as 64-bit shingle hashes, whole. Texts of equal sets, such as
 copies, are one node. A null or empty text or one without words has no shingles,
@@ -442,9 +443,15 @@ def leaves(cells: DataFrame, measure: Measure) -> DataFrame:
     # shingles of one document alone come first in the order and meet nobody
     alone = F.col("far") - F.size("items")
     first = F.greatest(measure.first(F.col("nu"), F.col("far"), F.col("linked")) - alone, F.lit(0))
-    windows = materialize(ranked.select("u", "cell", "nu", "linked", "label", "far", F.explode(F.slice("items", F.lit(1), first)).alias("i")).withColumn("item", F.col("i.item")).drop("i"), "windows")
-    a, b = (windows.select("cell", "item", *(F.col(c).alias(f"{c}{side}") for c in ("u", "nu", "linked", "label", "far"))) for side in (1, 2))
-    close = (F.col("u1") < F.col("u2")) & (F.col("label1") != F.col("label2")) & ~(F.col("linked1") & F.col("linked2")) & (F.abs(F.col("far1") - F.col("far2")) <= measure.window(F.col("nu1") + F.col("nu2")))
+    at = F.posexplode(F.slice("items", F.lit(1), first)).alias("pos", "i")
+    windows = ranked.select("u", "cell", "nu", "linked", "label", "far", alone.alias("alone"), at)
+    windows = windows.select("u", "cell", "nu", "linked", "label", "far", F.col("i.item").alias("item"), (F.col("far") - F.col("alone") - F.col("pos")).alias("left"))
+    windows = materialize(windows, "windows")
+    a, b = (windows.select("cell", "item", *(F.col(c).alias(f"{c}{side}") for c in ("u", "nu", "linked", "label", "far", "left"))) for side in (1, 2))
+    most = measure.window(F.col("nu1") + F.col("nu2"))
+    close = (F.col("u1") < F.col("u2")) & (F.col("label1") != F.col("label2")) & ~(F.col("linked1") & F.col("linked2")) & (F.abs(F.col("far1") - F.col("far2")) <= most)
+    # where they meet first, all that they share is in what is left of both
+    close &= 2 * F.least("left1", "left2") >= F.col("far1") + F.col("far2") - most
     return a.join(b, ["cell", "item"]).where(close).select(F.col("u1").alias("u"), F.col("u2").alias("v")).distinct()
 
 

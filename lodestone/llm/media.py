@@ -24,7 +24,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ from .common import slices, table, whole
 UNIT = 64
 MOST_BLOCKS = 8191  # 65,528 pixels to a side
 _BATCH = 1 << 19
+#: Blocks and restart intervals of a long image that are coded and decoded at a time.
+SLAB = 1 << 13
 
 # Huffman codes of the writer: (bits, symbols) in order. Sizes 0 to 8 of a DC
 # coefficient have four bits; so have the AC sizes 1 to 8 without a run and the
@@ -162,15 +164,10 @@ def padded(data: bytes) -> bytes:
     return data + bytes(-len(data) % UNIT or (UNIT if not data else 0))
 
 
-def write_jpegs(payloads: list[bytes]) -> list[bytes]:
-    """The payloads, of a multiple of 64 bytes, as JPEG files."""
-    grids = [grid(len(p) // UNIT) for p in payloads]
-    full = b"".join(p + bytes(UNIT * c * r - len(p)) for p, (c, r) in zip(payloads, grids, strict=True))
-    coded, lengths = entropy_code(np.frombuffer(full, np.uint8).reshape(-1, UNIT))
-    per_image = np.array([c * r for c, r in grids])
-    first = np.cumsum(per_image) - per_image
-    in_image = np.arange(len(lengths)) - np.repeat(first, per_image)
-    # stuff a zero behind every FF and put a restart marker before all blocks but an image's first
+def _scan(blocks: np.ndarray, in_image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, end of each block) of a scan, with a restart marker before every block that is not an image's first."""
+    coded, lengths = entropy_code(blocks)
+    # stuff a zero behind every FF and put the markers before blocks
     room = 1 + (coded == 0xFF).astype(np.int64)
     heads = np.cumsum(lengths) - lengths
     marked = in_image > 0
@@ -182,14 +179,37 @@ def write_jpegs(payloads: list[bytes]) -> list[bytes]:
     marks = place[heads[marked]]
     out[marks - 2] = 0xFF
     out[marks - 1] = 0xD0 + (in_image[marked] - 1) % 8
-    block_ends = ends[heads + lengths - 1]
-    image_ends = block_ends[first + per_image - 1]
-    files, at = [], 0
-    for p, (c, r), end in zip(payloads, grids, image_ends.tolist(), strict=True):
+    return out, ends[heads + lengths - 1]
+
+
+def _blocks_of(payload: bytes, first: int, last: int) -> np.ndarray:
+    """Some blocks of a payload, with zeros behind its end."""
+    part = payload[UNIT * first : UNIT * last]
+    return np.frombuffer(part + bytes(UNIT * (last - first) - len(part)), np.uint8).reshape(-1, UNIT)
+
+
+def write_jpegs(payloads: list[bytes]) -> list[bytes]:
+    """The payloads, of a multiple of 64 bytes, as JPEG files; those of a slab or less go together."""
+    grids = [grid(len(p) // UNIT) for p in payloads]
+    sizes = [c * r for c, r in grids]
+    scans: dict[int, bytes] = {}
+    small = [i for i, n in enumerate(sizes) if n <= SLAB]
+    if small:
+        per_image = np.array([sizes[i] for i in small])
+        first = np.cumsum(per_image) - per_image
+        in_image = np.arange(per_image.sum()) - np.repeat(first, per_image)
+        out, ends = _scan(np.concatenate([_blocks_of(payloads[i], 0, sizes[i]) for i in small]), in_image)
+        at = 0
+        for i, end in zip(small, ends[first + per_image - 1].tolist(), strict=True):
+            scans[i], at = out[at:end].tobytes(), end
+    for i in (i for i, n in enumerate(sizes) if n > SLAB):
+        slabs = [(lo, min(lo + SLAB, sizes[i])) for lo in range(0, sizes[i], SLAB)]
+        scans[i] = b"".join(_scan(_blocks_of(payloads[i], lo, hi), np.arange(lo, hi))[0].tobytes() for lo, hi in slabs)
+    files = []
+    for i, (p, (c, r)) in enumerate(zip(payloads, grids, strict=True)):
         comment = _segment(0xFE, struct.pack(">I", len(p)))
         frame = _segment(0xC0, struct.pack(">BHHB", 8, 8 * r, 8 * c, 1) + bytes([1, 0x11, 0]))
-        files.append(b"".join((_HEAD, comment, frame, _TABLES, out[at:end].tobytes(), b"\xff\xd9")))
-        at = end
+        files.append(b"".join((_HEAD, comment, frame, _TABLES, scans[i], b"\xff\xd9")))
     return files
 
 
@@ -206,6 +226,24 @@ class Frame:
     scan: list[tuple[int, int, int]] = field(default_factory=list)  # component, DC and AC table
     comment: bytes = b""
     data: bytes = b""
+    part: int = 0  # MCUs, if the scan is a part of an image's
+
+    def mcus(self) -> int:
+        across, down, _ = self.blocks()
+        return self.part or across * down
+
+    def slabs(self) -> list[Frame]:
+        """The frame, or parts of it that begin at restart markers, if there are many."""
+        if not self.restart or -(-self.mcus() // self.restart) <= SLAB:
+            return [self]
+        raw = np.frombuffer(self.data, np.uint8)
+        marks = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] >= 0xD0) & (raw[1:] <= 0xD7))
+        if len(marks) != -(-self.mcus() // self.restart) - 1:
+            raise ValueError("restart markers are missing")
+        starts = [0, *(marks[SLAB - 1 :: SLAB] + 2).tolist()]
+        ends = [*marks[SLAB - 1 :: SLAB].tolist(), len(self.data)]
+        sizes = [SLAB * self.restart] * (len(starts) - 1)
+        return [replace(self, data=self.data[a:b], part=n) for a, b, n in zip(starts, ends, [*sizes, self.mcus() - sum(sizes)], strict=True)]
 
     def blocks(self) -> tuple[int, int, list[tuple[int, int, int]]]:
         """(MCUs across, MCUs down, the (component, DC, AC) of each block of an MCU)."""
@@ -286,7 +324,7 @@ def decode(frames: list[Frame]) -> list[np.ndarray]:
     """
     head = frames[0]
     pattern = head.blocks()[2]
-    mcus = np.array([f.blocks()[0] * f.blocks()[1] for f in frames])
+    mcus = np.array([f.mcus() for f in frames])
     per = head.restart or int(mcus.max())
     lanes_of = -(-mcus // per)
     raw = np.frombuffer(b"".join(f.data for f in frames) + b"\0" * 8, np.uint8)
@@ -364,6 +402,13 @@ def decode(frames: list[Frame]) -> list[np.ndarray]:
     return np.split(out, ends[:-1])
 
 
+def decode_all(frames: list[Frame]) -> list[np.ndarray]:
+    """The same of any number of restart intervals; long frames are decoded slab by slab."""
+    small = [f for f in frames if len(f.slabs()) == 1]
+    found = iter(decode(small) if small else [])
+    return [next(found) if len(parts) == 1 else np.concatenate([decode([p])[0] for p in parts]) for parts in (f.slabs() for f in frames)]
+
+
 def luminance(f: Frame, coefficients: np.ndarray) -> np.ndarray:
     """One pixel for each block of the first component, from its DC alone."""
     across, down, pattern = f.blocks()
@@ -390,7 +435,7 @@ def thumbnail_hash(pixels: np.ndarray) -> str:
 def read_jpeg(data: bytes) -> tuple[int, int, np.ndarray]:
     """(width, height, thumbnail) of any baseline JPEG."""
     f = parse(data)
-    return f.width, f.height, luminance(f, decode([f])[0])
+    return f.width, f.height, luminance(f, decode_all([f])[0])
 
 
 def feature(f: Frame, thumbnail: np.ndarray) -> str:
@@ -408,9 +453,9 @@ def store(texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes, str]]:
             continue
         files = write_jpegs([padded(x) for x in part])
         frames = [parse(x) for x in files]
-        for x, file, f, c in zip(part, files, frames, decode(frames), strict=True):
+        for x, file, f, c in zip(part, files, frames, decode_all(frames), strict=True):
             (n,) = struct.unpack(">I", f.comment)
-            yield len(x), file, (c + 128).astype(np.uint8).tobytes()[:n], feature(f, luminance(f, c))
+            yield len(x), file, (c.astype(np.uint8) + np.uint8(128)).tobytes()[:n], feature(f, luminance(f, c))
         part, size = [], 0
 
 

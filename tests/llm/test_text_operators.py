@@ -185,7 +185,9 @@ def test_quality_learns_from_long_texts(spark):
     assert {len(t) for t in texts} == {7, 16, quality.SAMPLE_BYTES}
 
 
-def test_media_round_trip():
+@pytest.mark.parametrize("slab", [media.SLAB, 3])
+def test_media_round_trip(slab, monkeypatch):
+    monkeypatch.setattr(media, "SLAB", slab)
     rng = random.Random(2)
     texts = [b"", b"a", bytes([128]) * 200, bytes(range(256)) * 3, b"\0" * 64, "’“–é".encode() * 100, b"\xff" * 640]
     texts += [rng.randbytes(rng.randint(0, 700)) for _ in range(60)]

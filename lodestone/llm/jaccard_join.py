@@ -505,6 +505,7 @@ def links(base: DataFrame, df: DataFrame, id_col: str, text_col: str, measure: M
         edges = edges.unionByName(more)
     pairs = materialize(leaves(cells, measure), "pairs")
     more = materialize(paired(pairs, sets).where(linked).select(F.col("ku").alias("a"), F.col("kv").alias("b")), "links")
+    release(regions, sets, pairs)
     return components(edges.unionByName(more))
 
 

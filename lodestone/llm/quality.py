@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, materialize, slices, table, whole
 
@@ -226,15 +227,18 @@ def with_score(df: DataFrame, net: Network, id_cols: list[str], text_col: str =
 def keep_good(df: DataFrame, net: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` whose text scores at least ``threshold``, as they came."""
     shared = df.sparkSession.sparkContext.broadcast(net)
+    # one column holds the row, so that any name will do
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at):
-                texts = [(t or "").encode() for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array(shared.value.score(texts) >= threshold))
+            row = batch.column(0)
+            for part in slices(pa.RecordBatch.from_arrays([row, row.field(at)], ["row", "text"]), 1):
+                kept = shared.value.score([(t or "").encode() for t in part.column(1).to_pylist()]) >= threshold
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(kept))], ["row"])
 
-    return df.mapInArrow(run, df.schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

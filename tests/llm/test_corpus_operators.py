@@ -400,3 +400,15 @@ def test_pipeline_stages(spark):
     assert sorted(r["doc_id"] for r in dissimilar) == sorted(int(i) for i, _, c in want if int(i) == c)
     assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in dissimilar}
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed}
+
+
+def test_pipeline_stages_take_edge_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    df = docs_of(spark, EDGES)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), sf).collect() == [], name
+        out = stage(spark, df, sf)
+        if name != "pack":
+            assert out.columns == df.columns and came_back(df, out), name
+        else:
+            assert {r["doc_id"] for r in out.collect()} == {i for i, _, _ in EDGES}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, langid, licenses, media, mixing, packing, quality, secrets, sharding
+from . import exact_dedup, fim, importance, jaccard_join, langid, licenses, media, mixing, packing, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_media": media.op9_media,
         "op10_mix": mixing.op10_mix,
+        "op11_fim": fim.op11_fim,
+        "op12_importance": importance.op12_importance,
     }
 
 
@@ -31,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_secrets": secrets.OP1_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op10_mix": mixing.OP10_SQL,
+        "op11_fim": fim.OP11_SQL,
+        "op12_importance": importance.OP12_SQL,
     }

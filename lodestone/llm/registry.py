@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fim, importance, jaccard_join, langid, licenses, media, mixing, packing, quality, secrets, sharding
+from . import exact_dedup, fim, importance, jaccard_join, langid, licenses, media, mixing, packing, quality, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_mix": mixing.op10_mix,
         "op11_fim": fim.op11_fim,
         "op12_importance": importance.op12_importance,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 

@@ -156,21 +156,29 @@ def fit(rows: DataFrame, counts: dict[int, int]) -> Weights:
     listed = materialize(seen.groupBy("code").agg(F.sum("weight").alias("weight")).where(F.col("weight") * EPOCHS > L1).select("code"), "codes")
     known = np.sort(listed.toPandas()["code"].to_numpy(np.int64))  # of the bounded sample
     release(listed)
-    ordered = materialize(rows.coalesce(1).sortWithinPartitions("place", "key", "label", F.hash("codes")).select("label", "codes"), "ordered")
+    shared = spark.sparkContext.broadcast(known)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        padded = np.append(shared.value, -1)
+        for batch in batches:
+            codes = batch.column(1)
+            for i in range(batch.num_rows):
+                mine = codes[i].values.to_numpy()
+                at = np.searchsorted(shared.value, mine)
+                at = np.append(at[padded[at] == mine], len(shared.value)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([at.tobytes()], pa.binary())], ["label", "at"])
+
+    ordered = rows.coalesce(1).sortWithinPartitions("place", "key", "label", F.hash("codes")).select("label", "codes")
+    ordered = materialize(ordered.mapInArrow(number, "label int, at binary"), "ordered")
     z = n = np.zeros(len(known) + 1)
     for _ in range(EPOCHS):
-        state = spark.sparkContext.broadcast((known, z, n))
+        state = spark.sparkContext.broadcast((z, n))
 
         def run(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            known, z, n = state.value
-            learner = Learner(z.copy(), n.copy())
+            learner = Learner(*(x.copy() for x in state.value))
             for batch in batches:
-                codes = batch.column(1)
-                for i, label in enumerate(batch.column(0).to_pylist()):
-                    mine = codes[i].values.to_numpy()
-                    at = np.searchsorted(known, mine)
-                    at = at[np.append(known, -1)[at] == mine]
-                    learner.learn(np.append(at, len(known)), label, weigh[label])
+                for label, at in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    learner.learn(np.frombuffer(at.as_buffer(), np.int32), label, weigh[label])
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (learner.z, learner.n)], ["z", "n"])
 
         (row,) = ordered.coalesce(1).mapInArrow(run, "z binary, n binary").collect()

@@ -148,13 +148,20 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held:
     return found.mapInArrow(run, f"label int, place bigint, key {kind}, codes array<bigint>")
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's numbers as the bytes of one row."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary())], ["codes"])
+
+
 def fit(rows: DataFrame, counts: dict[int, int]) -> Weights:
     """The weights after EPOCHS passes over ``rows`` (label, place, key, codes), ``counts`` of each label, in the order of place and key."""
     spark = rows.sparkSession
     weigh = {label: sum(counts.values()) / 2 / n for label, n in counts.items()}
     seen = rows.select(F.explode("codes").alias("code"), F.when(F.col("label") == 1, weigh[1]).otherwise(weigh[0]).alias("weight"))
     listed = materialize(seen.groupBy("code").agg(F.sum("weight").alias("weight")).where(F.col("weight") * EPOCHS > L1).select("code"), "codes")
-    known = np.sort(listed.toPandas()["code"].to_numpy(np.int64))  # of the bounded sample
+    packed = listed.mapInArrow(pack, "codes binary").collect()  # eight bytes for each code of the bounded sample
+    known = np.sort(np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["codes"], np.int64) for r in packed)]))
     release(listed)
     shared = spark.sparkContext.broadcast(known)
 

@@ -40,7 +40,7 @@ EDGES = [(1, None, "a"), (2, "", "a"), (3, " \n", None), (4, "one two", "b"), (4
 
 def oracle(sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con.sql(registry.oracle_sql()[name])
 

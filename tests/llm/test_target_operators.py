@@ -191,12 +191,11 @@ def plain_ftrl(rows, keys):
     return {k: w(k) for k in z}
 
 
-def test_learner_matches_the_textbook(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "L1", 1.5)
+def test_learner_matches_the_textbook(spark):
     rng = random.Random(2)
-    rows = [(rng.sample(range(100, 130), 6) + [7] * (i % 3 == 0), int(i % 3 == 0), i) for i in range(60)]
+    rows = [(rng.sample(range(100, 130), 6) + [7] * (i % 3 == 0), int(i % 3 == 0), i) for i in range(300)]
     df = spark.createDataFrame([(label, place, place, sorted(set(codes))) for codes, label, place in rows], "label int, place long, key long, codes array<bigint>")
-    got = toxicity.fit(df.repartition(3), {0: 40, 1: 20})
+    got = toxicity.fit(df.repartition(3), {0: 200, 1: 100})
     weigh = {0: 0.75, 1: 1.5}
     epochs = [(set(codes), label, weigh[label]) for codes, label, _ in rows] * toxicity.EPOCHS
     want = plain_ftrl(epochs, [7, *range(100, 130)])

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.scores import dot
-from ..operators import analysis, dense, prefixes, quantize, ranking, sparse
+from ..operators import analysis, blocks, dense, prefixes, quantize, ranking, sparse
 from ..sources import formats
 from ..sources.shared import scratch
 from .registry import query
-from .views import best, rounded
+from .views import K, best, rounded
 
 
 @query("build_postings", "SELECT term, docid, round(weight, 6) AS value FROM doc_weights")
@@ -181,8 +181,9 @@ def _(v):
 
 @query("sparse_index", "SELECT count(*) AS postings, count(DISTINCT term) AS terms, count(DISTINCT docid) AS docs, round(count(*) / count(DISTINCT docid), 6) AS l0 FROM doc_weights")
 def _(v):
-    n, docs = F.count(F.lit(1)), F.count_distinct("docid")
-    return v.index.agg(n.alias("postings"), F.count_distinct("term").alias("terms"), docs.alias("docs"), F.round(n / docs, 6).alias("l0"))
+    # shards have whole documents, and each has all terms of its own
+    n, docs = F.sum(F.size("places")), F.sum(F.size("docids"))
+    return blocks.build(v.index).agg(n.alias("postings"), F.count_distinct("term").alias("terms"), docs.alias("docs"), F.round(n / docs, 6).alias("l0"))
 
 
 @query("sparse_index_parallel", "SELECT term, count(*) AS n, round(sum(weight), 6) AS total FROM doc_weights GROUP BY term")
@@ -194,12 +195,14 @@ def _(v):
 
 @query("sparse_retrieve", "SELECT qid, docid, score FROM run_a")
 def _(v):
-    return v.run_a
+    # postings of the topics' terms only
+    index = blocks.build(sparse.postings(sparse.term_weights(v.corpus, "docid", among=v.topic_weights)))
+    return rounded(blocks.retrieve(v.topic_weights, index, K))
 
 
 @query("sparse_index_and_retrieve", f"SELECT r.qid, count(q.docid) AS hits FROM ({best('scores_a', 10)}) r LEFT JOIN qrels q USING (qid, docid) GROUP BY r.qid")
 def _(v):
-    run = ranking.top_k(rounded(sparse.score(v.topic_weights, sparse.postings(v.doc_weights))), 10)
+    run = blocks.retrieve(v.topic_weights, blocks.build(v.index), 10)
     return run.join(v.qrels, ["qid", "docid"], "left").groupBy("qid").agg(F.count("rel").alias("hits"))
 
 

@@ -274,3 +274,101 @@ def test_numbered_counts_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"), F.lit("a").alias("row")).repartition(5)
     assert all(r["n"] == r["x"] for r in numbered(df, [F.col("x")], "n").collect())
     assert numbered(df.limit(0), [F.col("x")], "n").collect() == []
+
+
+def plain_best(scores, k):
+    """The k best (qid, docid, score) of each query; scores by (qid, docid)."""
+    out = []
+    for q in {q for q, _ in scores}:
+        mine = sorted(((-round(s, 6), d) for (q_, d), s in scores.items() if q_ == q))[:k]
+        out += [(q, d, -s) for s, d in mine]
+    return sorted(out)
+
+
+def test_code_scan_of_eight_positions(spark, monkeypatch):
+    import numpy as np
+
+    from lodestone.operators import quantize
+
+    rng = np.random.default_rng(5)
+    docs = [(f"d{i:03}", [int(c) for c in rng.integers(0, 3, 8 if i % 7 else i % 5)]) for i in range(300)]
+    parts = [(q, m, c, float(10**m)) for q in range(4) for m in range(8) for c in (1, 2) if (q, m, c) != (1, 7, 2)] + [(9, 0, 5, 1.0), (3, 0, 0, None)]
+    scores = {}
+    for q in range(4):
+        for d, x in docs:
+            found = [float(10**m) for m, c in enumerate(x) if c in (1, 2) and (q, m, c) != (1, 7, 2)]
+            if found:
+                scores[q, d] = sum(found)
+    schema = "qid long, m int, code int, part double", "docid string, codes array<int>"
+    args = spark.createDataFrame(parts, schema[0]), spark.createDataFrame(docs, schema[1]).repartition(5)
+    every = {(r["qid"], r["docid"]): r["score"] for r in quantize.search_scores(*args).collect()}
+    assert {k: v for k, v in every.items() if v is not None} == scores and max(scores.values()) > 10**7
+    for table in (quantize.TABLE, 20):
+        monkeypatch.setattr(quantize, "TABLE", table)
+        got = quantize.scan(*args, 7)
+        assert sorted(map(tuple, got.select("qid", "docid", "score").collect())) == plain_best(scores, 7)
+    assert quantize.scan(args[0].limit(0), args[1], 7).count() == 0
+    assert quantize.search_scores(args[0].limit(0), args[1]).count() == 0
+
+
+def test_best_of_batches():
+    import numpy as np
+
+    from lodestone.operators import kernels
+
+    rng = np.random.default_rng(6)
+    top, scores = kernels.Best(3, 5), {}
+    for _ in range(40):
+        q, d = rng.integers(0, 3, 50), rng.integers(0, 10**6, 50)
+        s = rng.integers(0, 9, 50) / 4
+        scores |= {(int(a), int(b)): float(c) for a, b, c in zip(q, d, s)}
+        keep = [i for i in range(50) if scores[int(q[i]), int(d[i])] == s[i]]
+        top.add(q[keep], d[keep], s[keep])
+        if rng.random() < 0.3:
+            top.settle()
+    assert sorted((int(a), int(b), float(c)) for a, b, c in zip(*top.settle())) == plain_best(scores, 5)
+
+
+def test_block_index_matches_all_scores(spark, tmp_path):
+    import random
+
+    from lodestone.operators import blocks
+
+    rng = random.Random(7)
+    postings = {}
+    for d in range(400):
+        for t in {rng.choice(["the", "of", "a", *map(str, range(60))]) for _ in range(rng.choice([1, 3, 40]))}:
+            postings[t, f"d{d:03}"] = rng.choice([0.5, 1.0, 1.0, -0.25, 3.0])
+    queries = [(q, t, rng.choice([1.0, 0.5, -1.0])) for q in range(12) for t in rng.sample(["the", "of", "a", *map(str, range(70))], 6)] + [(0, None, 1.0)]
+    scores = {}
+    for q, t, w in queries:
+        for (t_, d), x in postings.items():
+            if t == t_:
+                scores[q, d] = scores.get((q, d), 0.0) + w * x
+    index = spark.createDataFrame([(t, d, x) for (t, d), x in postings.items()], "term string, docid string, value double").repartition(3)
+    asked = spark.createDataFrame(queries, "qid long, term string, weight double")
+    for k, threshold in ((3, 0.75), (1000, -100.0)):
+        want = plain_best({x: s for x, s in scores.items() if round(s, 6) > threshold}, k)
+        for size, window in ((10**6, 64), (900, 4)):
+            built = blocks.build(index, f"file://{tmp_path}/{k}-{size}", size, window)
+            got = blocks.retrieve(asked, built, k, threshold, window).select("qid", "docid", F.round("score", 6)).collect()
+            assert sorted(map(tuple, got)) == [(q, d, round(s, 6)) for q, d, s in want]
+    shards = built.select("shard").distinct().count()
+    assert shards > 2
+    plan = blocks.retrieve(asked, built, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "hashpartitioning(shard" not in plan
+    again = blocks.read(spark, f"file://{tmp_path}/1000-900", -(-len(postings) // 900), "string")
+    assert again.agg(F.sum(F.size("places"))).first()[0] == len(postings)
+    assert blocks.retrieve(asked, again, 1000, -100.0, 4).count() == len(want)
+    assert blocks.retrieve(asked.limit(0), built, 3).count() == 0
+    assert blocks.retrieve(asked, blocks.build(index.limit(0)), 3).count() == 0
+
+
+def test_blocks_below_the_best_are_skipped(spark):
+    from lodestone.operators import blocks, sparse
+    from lodestone.plans.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.1")
+    index = blocks.build(sparse.postings(sparse.term_weights(v.corpus, "docid", among=v.topic_weights)))
+    blocks_, scored = blocks.skips(v.topic_weights, index, 10).agg(F.sum("blocks"), F.sum("scored")).first()
+    assert scored < blocks_ / 2

@@ -204,7 +204,7 @@ def test_trained_codebook_matches_plain_lloyd(spark):
         near = ((left[:, None] - centers) ** 2).sum(-1).argmin(1)
         left = left - centers[near]
         want += [(m, c, v) for c, v in enumerate(centers)]
-    got = {(r["m"], r["code"]): r["vec"] for r in quantize.train(df, 2, 5, rounds=4).collect()}
+    got = {(r["m"], r["code"]): r["vec"] for r in quantize.train(df, 2, 5, rounds=4, start="hash").collect()}
     assert len(got) == 10 and all(np.allclose(got[m, c], v, atol=1e-9) for m, c, v in want)
 
 
@@ -372,3 +372,35 @@ def test_blocks_below_the_best_are_skipped(spark):
     index = blocks.build(sparse.postings(sparse.term_weights(v.corpus, "docid", among=v.topic_weights)))
     blocks_, scored = blocks.skips(v.topic_weights, index, 10).agg(F.sum("blocks"), F.sum("scored")).first()
     assert scored < blocks_ / 2
+
+
+def _error(x, book, levels):
+    import numpy as np
+
+    used = []
+    for m in range(levels):
+        centers = np.array([v for (m_, _), v in sorted(book.items()) if m_ == m])
+        near = ((x[:, None] - centers) ** 2).sum(-1).argmin(1)
+        used.append(set(near.tolist()))
+        x = x - centers[near]
+    return (x**2).sum(), used
+
+
+def test_codebooks_have_no_dead_codes(spark):
+    import numpy as np
+
+    from lodestone.operators import quantize
+
+    # clumps of very different sizes, many equal vectors
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(600, 4)) * 0.01, np.repeat(rng.normal(size=(1, 4)), 200, axis=0), rng.normal(size=(40, 4)) * 20])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "docid long, vec array<double>").repartition(3)
+    error = {}
+    for start in ("picked", "hash"):
+        book = {(r["m"], r["code"]): r["vec"] for r in quantize.train(df, 2, 16, rounds=4, start=start).collect()}
+        error[start], used = _error(x, book, 2)
+        assert used == [set(range(16))] * 2
+    assert error["picked"] <= error["hash"]
+    few = df.where("docid >= 600 AND docid < 803")  # four different vectors
+    book = {(r["m"], r["code"]): r["vec"] for r in quantize.train(few, 1, 8, rounds=2).collect()}
+    assert len({tuple(v) for v in book.values()}) == 4 and len(book) == 8

@@ -12,10 +12,9 @@ if there are more, so their number does not bound what can be predicted.
 
 Piece probabilities are fitted by expectation maximisation, whose counts sum
 over all segmentations too, on a sample bounded by ``SAMPLE`` rows of each
-language, of any length, chosen by a hash, and the ``SAMPLE_WORDS`` most
-frequent words of these; executors count the words. Only for the fit, words of
-more than ``FIT_BYTES`` bytes are cut into such parts between characters.
-Predictions read whole texts and cut nothing.
+language, of any length, chosen by a hash: on all words of these, whole whatever
+their length. Executors count the words and fit a language each; the driver gets
+the pieces that the languages use. Nothing is cut, in the fit or after it.
 
 A null text, an empty one and one without a letter are ``und`` with score 0.
 Rows without language are not learned from; without any rows to learn from all
@@ -42,12 +41,12 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, fold, materialize, slices, table
 
 FOLDS, HELD = 3, 1
-SAMPLE, SAMPLE_WORDS, FIT_BYTES = 300, 20_000, 32
+SAMPLE = 300
+#: Words of up to so many bytes are summed over without scaling.
+PLAIN = 32
 UNKNOWN = "und"
 #: Languages scored at a time, bytes of remembered scores, of one group of words, and the positions of a block.
 TOGETHER, MEMORY, GROUP, BLOCK = 64, 128 << 20, 16 << 20, 1024
-#: Parts in which a language's words are ranked.
-PARTS = 8
 #: Pieces up to this length are found by their bytes as a number, longer ones by their first bytes.
 SHORT = 8
 #: Positions between two scalings; a probability is far above 1e-300 to the power of their share of it.
@@ -150,18 +149,6 @@ def words(text: str) -> list[bytes]:
     return [b" " + w.encode("utf-8", "replace") for w in text.lower().split()]
 
 
-def fit_parts(word: bytes) -> list[bytes]:
-    """The word, or parts of at most FIT_BYTES bytes that do not cut characters."""
-    parts = []
-    while len(word) > FIT_BYTES:
-        end = FIT_BYTES
-        while word[end] & 0xC0 == 0x80:
-            end -= 1
-        parts.append(word[:end])
-        word = word[end:]
-    return [*parts, word]
-
-
 class Lattice:
     """All segmentations of all words."""
 
@@ -197,8 +184,8 @@ class Lattice:
                     np.add.at(alpha[at], w, alpha[at - n, w] * prob[i])
                 done = sizes == end
                 if done.any():
-                    out[done] = np.log(alpha[at, done]) + (logs[done] if size > FIT_BYTES else 0.0)
-                if size > FIT_BYTES and end % SCALING == 0:
+                    out[done] = np.log(alpha[at, done]) + (logs[done] if size > PLAIN else 0.0)
+                if size > PLAIN and end % SCALING == 0:
                     window = alpha[at - keep + 1 : at + 1]
                     top = window.max(axis=0)
                     window /= top
@@ -215,12 +202,15 @@ class Lattice:
         return out
 
     def expected(self, prob: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece of one language; ``weights`` counts the words, of at most FIT_BYTES bytes."""
+        """Expected uses of each piece of one language; ``weights`` counts the words."""
         prob = np.append(prob, 0.0)
         uses = np.zeros(len(prob))
         if not hasattr(self, "lattices"):
-            self.lattices = []
+            self.lattices, self.long = [], []
             for members in self.groups(1):
+                if len(self.found[members[-1]]) > PLAIN:
+                    self.long.append(members)
+                    continue
                 found = [self.found[i] for i in members.tolist()]
                 self.lattices.append((members, np.array([len(w) for w in found]), self.known.ending(found, 0, max(map(len, found)))))
         for members, sizes, (ids, long) in self.lattices:
@@ -245,8 +235,49 @@ class Lattice:
                     share = prob[i] * beta[at, w]
                     np.add.at(beta, (at - n, w), share)
                     np.add.at(uses, i, alpha[at - n, w] * share)
+        for members in self.long:
+            self._expected(members, prob, weights[members], uses)
         return uses[:-1]
 
+    def _expected(self, members: np.ndarray, prob: np.ndarray, weights: np.ndarray, uses: np.ndarray) -> None:
+        """Adds the uses of words of any length, in logarithms; the places of pieces are found block by block, twice."""
+        found = [self.found[i] for i in members.tolist()]
+        sizes = np.array([len(w) for w in found])
+        size, every = int(sizes.max()), np.arange(len(found))
+        with np.errstate(divide="ignore"):
+            logs = np.log(prob)
+        alpha = np.full((SHORT + size + 1, len(found)), -np.inf)  # SHORT places before the first
+        alpha[SHORT] = 0
+        for first in range(0, size, BLOCK):
+            ids, long = self.known.ending(found, first, min(size, first + BLOCK))
+            for end in range(first + 1, first + len(ids) + 1):
+                at = end + SHORT
+                terms = alpha[at - SHORT : at][::-1] + logs[ids[end - first - 1]]
+                top = terms.max(axis=0)
+                w, n, i = long.get(end, (every[:0],) * 3)
+                more = alpha[at - n, w] + logs[i]
+                np.maximum.at(top, w, more)
+                top = np.where(np.isfinite(top), top, 0.0)
+                sums = np.exp(terms - top).sum(axis=0)
+                np.add.at(sums, w, np.exp(more - top[w]))
+                with np.errstate(divide="ignore"):
+                    alpha[at] = top + np.log(sums)
+        beta = np.full_like(alpha, -np.inf)
+        beta[sizes + SHORT, every] = -alpha[sizes + SHORT, every]
+        for first in reversed(range(0, size, BLOCK)):
+            ids, long = self.known.ending(found, first, min(size, first + BLOCK))
+            for end in range(first + len(ids), first, -1):
+                at = end + SHORT
+                share = logs[ids[end - first - 1]] + beta[at]
+                used = np.exp(alpha[at - SHORT : at][::-1] + share) * weights
+                uses += np.bincount(ids[end - first - 1].ravel(), used.ravel(), len(uses))
+                beta[at - SHORT : at] = np.logaddexp(beta[at - SHORT : at], share[::-1])
+                if end in long:
+                    w, n, i = long[end]
+                    share = logs[i] + beta[at, w]
+                    np.add.at(uses, i, np.exp(alpha[at - n, w] + share) * weights[w])
+                    np.logaddexp.at(beta, (at - n, w), share)
+
 
 @dataclass
 class Model:
@@ -271,26 +302,30 @@ def floor(path: str) -> np.ndarray:
     return np.where(np.array([len(p) for p in pieces(path)]) == 1, 0.5, 0.02)
 
 
-def fit(samples: dict[str, Counter], path: str, rounds: int = 4) -> Model:
-    """EM from a start that favours long pieces; ``samples`` counts words of at most FIT_BYTES bytes by language."""
+def fit_language(found: list[bytes], counts: np.ndarray, path: str, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+    """EM from a start that favours long pieces: (pieces that are used, their probabilities, scale of the others)."""
     sizes = np.array([len(p) for p in pieces(path)], float)
+    lattice = Lattice(found, places(path))
+    prob = np.exp(-12.0 / sizes)
+    prob /= prob.sum()
+    for _ in range(rounds):
+        uses = lattice.expected(prob, counts) + floor(path)
+        prob = uses / uses.sum()
+    number = np.flatnonzero(uses > floor(path) * (1 + 1e-6)).astype(np.int32)
+    return number, prob[number], float(uses.sum())
+
+
+def fit(samples: dict[str, Counter], path: str) -> Model:
+    """The model of given counts of words by language."""
     used = []
     for language in sorted(samples):
-        kept = sorted(samples[language].items(), key=lambda x: (-x[1], x[0]))[:SAMPLE_WORDS]
-        lattice = Lattice([w for w, _ in kept], places(path))
-        weights = np.array([n for _, n in kept], float)
-        prob = np.exp(-12.0 / sizes)
-        prob /= prob.sum()
-        for _ in range(rounds):
-            uses = lattice.expected(prob, weights) + floor(path)
-            prob = uses / uses.sum()
-        number = np.flatnonzero(uses > floor(path) * (1 + 1e-6)).astype(np.int32)
-        used.append((number, prob[number], float(uses.sum())))
+        kept = sorted(samples[language].items())
+        used.append(fit_language([w for w, _ in kept], np.array([n for _, n in kept], float), path))
     return Model(sorted(samples), used, path)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held: int | None) -> dict[str, Counter]:
-    """Counts of the most frequent words of at most SAMPLE rows of each language.
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held: int | None) -> DataFrame:
+    """lang, word, n: the words of at most SAMPLE rows of each language.
 
     Rows are chosen by a hash of key and text, which alone are ranked; then
     their texts are fetched and executors count the words.
@@ -309,17 +344,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held: int
             for part in slices(batch, 1):
                 found: Counter = Counter()
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found.update((lang, p) for w in words(text or "") for p in fit_parts(w))
+                    found.update((lang, w) for w in words(text or ""))
                 keys = list(found)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
-    counts = texts.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # the most frequent of each of a few parts of a language's words; fit() takes the most frequent of these
-    best = F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(PARTS))).orderBy(F.desc("n"), "word"))
-    found: dict[str, Counter] = {}
-    for row in counts.withColumn("r", best).where(F.col("r") <= SAMPLE_WORDS).toLocalIterator():
-        found.setdefault(row["lang"], Counter())[bytes(row["word"])] = row["n"]
-    return found
+    return texts.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 class Predictor:
@@ -373,7 +402,15 @@ class Predictor:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int | None = HELD, path: str | None = None) -> Model:
     path = path or vocabulary()
-    return fit(sample(docs, id_col, text_col, lang_col, held), path)
+
+    def of_language(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("word")
+        number, value, scale = fit_language(rows["word"].to_pylist(), rows["n"].to_numpy().astype(float), path)
+        return pa.table({"lang": rows["lang"].slice(0, 1), "number": pa.array([number.tobytes()], pa.binary()), "value": pa.array([value.tobytes()], pa.binary()), "scale": [scale]})
+
+    fitted = sample(docs, id_col, text_col, lang_col, held).groupBy("lang").applyInArrow(of_language, "lang string, number binary, value binary, scale double")
+    rows = sorted(fitted.collect(), key=lambda r: r["lang"])  # a row of each language: 12 bytes of each piece that it uses
+    return Model([r["lang"] for r in rows], [(np.frombuffer(r["number"], np.int32), np.frombuffer(r["value"]), r["scale"]) for r in rows], path)
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,10 +8,10 @@ probability. Long texts are read in segments, whose chunks add up, so memory
 does not grow with a text beyond its own bytes.
 
 The network is fitted on the driver to a sample of labelled rows that is
-bounded by ``SAMPLE`` rows of each label, whatever their length; of a text of
-more than ``SAMPLE_BYTES`` bytes it is fitted to ``EXCERPTS`` parts of together
-so many, at places that a hash draws. All counts, and every score, cover all
-rows and whole texts. Fitting is seeded and does not depend on the order of rows.
+bounded by ``SAMPLE`` rows of each label, to their whole texts in the same
+segments; of each chunk only what its maxima saw is kept for the gradient. All
+counts, and every score, cover all rows and whole texts. Fitting is seeded and
+does not depend on the order of rows.
 
 A null text counts as empty; an empty text has the features 0 and gets a score
 like any other. Equal texts get equal scores. Labels, language, source and key
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,7 @@ from .common import fold, materialize, slices, table, whole
 
 WIDTH, FILTERS, CHUNK = 6, 12, 512
 HALF = CHUNK // 2
-SAMPLE, SAMPLE_BYTES, EXCERPTS = 1200, 16_384, 4
+SAMPLE = 1200
 FOLDS, THRESHOLD = 5, 0.3
 #: Halves of chunks in a segment, and window starts that are scored together.
 SEGMENT, TOGETHER = 512, 1 << 18
@@ -92,6 +92,34 @@ class Network:
         value = np.where(two[:, None], np.maximum(half[first], half[np.minimum(first + 1, len(half) - 1)]), half[first])
         return np.maximum(value, 0), part[first], at, first, two, out, data
 
+    def maxima(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(values of chunks, text of each, the WIDTH bytes at each chunk's maxima), of about TOGETHER windows at a time."""
+        values, owners, seen = [], [], []
+        waiting: list[tuple[bytes, int]] = []
+        mine: list[int] = []
+
+        def settle() -> None:
+            value, part, at, first, two, out, data = self.chunks(waiting)
+            last = np.append(at, len(out))
+            best = np.empty(value.shape, np.int64)
+            for c, (h, pair) in enumerate(zip(first.tolist(), two.tolist(), strict=True)):
+                best[c] = last[h] + out[last[h] : last[h + 1 + pair]].argmax(axis=0)
+            values.append(value)
+            owners.append(np.array(mine)[part])
+            seen.append(data[best[..., None] + np.arange(WIDTH)])
+            waiting.clear()
+            mine.clear()
+
+        for i, text in enumerate(texts):
+            for part in segments(text):
+                waiting.append(part)
+                mine.append(i)
+                if sum(n for _, n in waiting) >= TOGETHER:
+                    settle()
+        if waiting:
+            settle()
+        return np.concatenate(values), np.concatenate(owners), np.concatenate(seen)
+
     def combine(self, mean: np.ndarray, top: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(mean @ self.mean + top @ self.top + self.base, -30, 30)))
 
@@ -142,7 +170,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
             pick = order[i : i + batch]
-            value, owner, at, first, two, out, data = net.chunks([(texts[j], len(texts[j])) for j in pick])
+            value, owner, seen = net.maxima([texts[j] for j in pick])
             count = np.bincount(owner, minlength=len(pick))
             head = np.cumsum(count) - count
             mean, top = np.add.reduceat(value, head, axis=0) / count[:, None], np.maximum.reduceat(value, head, axis=0)
@@ -150,14 +178,10 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
             # through the mean of all chunks, and the maximum of one chunk
             g = (d / count)[owner, None] * net.mean + (value == top[owner]) * (d[owner, None] * net.top)
             g *= value > 0
-            last = np.append(at, len(out))
-            best = np.empty(value.shape, np.int64)
-            for c, (h, pair) in enumerate(zip(first.tolist(), two.tolist(), strict=True)):
-                best[c] = last[h] + out[last[h] : last[h + 1 + pair]].argmax(axis=0)
             grads = [np.zeros_like(net.filters), g.sum(axis=0), mean.T @ d + 1e-4 * net.mean, top.T @ d + 1e-4 * net.top]
-            f = np.broadcast_to(np.arange(FILTERS), best.shape)
+            f = np.broadcast_to(np.arange(FILTERS), value.shape)
             for k in range(WIDTH):
-                np.add.at(grads[0][k], (data[best + k], f), g)
+                np.add.at(grads[0][k], (seen[..., k], f), g)
             t += 1
             step = rate * min(1, 2 * (1 - epoch / epochs))
             for p_, g_, (m, v) in zip((net.filters, net.bias, net.mean, net.top), grads, state, strict=True):
@@ -169,13 +193,6 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
     return net
 
 
-def excerpt(data: Column, key: Column) -> Column:
-    """The bytes, or EXCERPTS parts of together SAMPLE_BYTES at hashed places if there are more."""
-    size = SAMPLE_BYTES // EXCERPTS
-    parts = [F.substring(data, F.pmod(F.xxhash64(key, F.lit(i)), F.octet_length(data) - size).cast("int") + 1, F.lit(size)) for i in range(EXCERPTS)]
-    return F.when(F.octet_length(data) <= SAMPLE_BYTES, data).otherwise(F.concat(*parts))
-
-
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held: int | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(texts, labels, weights): at most SAMPLE rows of each label that have a document, by a hash of the key.
 
@@ -191,7 +208,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held:
     with_text = rows.join(known.select("key"), "key", "left_semi")
     parts = [with_text.where(F.col("label") == k).orderBy(*order).limit(SAMPLE) for k in (0, 1)]
     chosen = materialize(parts[0].unionByName(parts[1]).distinct(), "sample")
-    found = known.join(F.broadcast(chosen), "key").select("key", "label", excerpt(F.col("data"), F.col("key")).alias("data"))  # 2 * SAMPLE keys at most
+    found = known.join(F.broadcast(chosen), "key").select("key", "label", "data")  # 2 * SAMPLE keys at most
     parts = [found.where(F.col("label") == k).orderBy(*order, "data").limit(SAMPLE) for k in (0, 1)]
     got = [(bytes(r["data"]), r["label"]) for p in parts for r in p.collect()]
     y = np.array([label for _, label in got], float)

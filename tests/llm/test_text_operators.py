@@ -119,15 +119,34 @@ def test_forward_sums_all_segmentations():
     assert np.isclose((uses * [len(p) for p in known]).sum(), sum(map(len, found)))
 
 
+def test_expected_uses_of_long_words(monkeypatch):
+    known = langid.pieces(langid.vocabulary())
+    rng = np.random.default_rng(2)
+    prob = rng.random(len(known))
+    prob /= prob.sum()
+    size = np.array([len(p) for p in known])
+    found = [" international".encode(), b" governmentinternationalresponsibility" * 3, " 語言識別不需要空格".encode() * 2, b"a" * 31, b" tooth"]
+    weights = np.array([1.0, 2, 3, 1, 5])
+    uses = []
+    for plain in (1 << 20, 0):  # all words by plain sums, all by logarithms
+        monkeypatch.setattr(langid, "PLAIN", plain)
+        monkeypatch.setattr(langid, "BLOCK", 16 if not plain else 1024)
+        uses.append(langid.Lattice(found, langid.places(langid.vocabulary())).expected(prob, weights))
+    assert np.allclose(*uses) and (uses[0][size > 8] > 0).any()
+    # far beyond what plain sums can hold
+    long = [" 語言識別不需要空格".encode() * 90, bytes(rng.integers(1, 256, 3000).astype(np.uint8))]
+    uses = langid.Lattice(long, langid.places(langid.vocabulary())).expected(prob, np.array([1.0, 1.0]))
+    assert np.isclose((uses * size).sum(), sum(map(len, long)))
+
+
 def test_any_number_of_languages_is_predicted(spark):
     # a language each of its own letters, more than are scored together, and words beyond the sample's parts
     tags = {f"l{i:03}": "".join(chr(0x4E00 + 50 * i + j) for j in range(50)) for i in range(langid.TOGETHER + 9)}
-    df = spark.createDataFrame([(i, v + " " + v[:20] * 200, k) for i, (k, v) in enumerate(tags.items())], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(i, v + " " + v[:20] * 20, k) for i, (k, v) in enumerate(tags.items())], "doc_id long, text string, lang string")
     model = langid.train(df, held=None)
     assert model.languages == sorted(tags)
     got = langid.identify(df, model).join(df.select("doc_id", "lang"), "doc_id").collect()
     assert all(r["lang_pred"] == r["lang"] for r in got)
-    assert b"".join(langid.fit_parts(w := " 語言".encode() * 30)) == w and all(x.decode() for x in langid.fit_parts(w))
 
 
 def held_out(spark, rows, right):
@@ -181,8 +200,25 @@ def test_quality_learns_from_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     labels = df.select("doc_id", "quality").unionByName(spark.range(5000, 9000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
     texts, y, _ = quality.sample(df, labels, "doc_id", "text", None)
-    assert len(texts) == 120 and y.sum() == 60 and max(map(len, texts)) <= quality.SAMPLE_BYTES
-    assert {len(t) for t in texts} == {7, 16, quality.SAMPLE_BYTES}
+    assert len(texts) == 120 and y.sum() == 60
+    assert {len(t) for t in texts} == {7, 16, 7 * 3001, 16 * 3001}  # whole
+
+
+def test_quality_maxima_by_segments(monkeypatch):
+    rng = np.random.default_rng(4)
+    net = quality.constant(0.5)
+    net.filters = rng.standard_normal(net.filters.shape).astype(np.float32)
+    texts = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (0, 3, 511, 512, 5000, 20_000)]
+    whole = net.maxima(texts)
+    monkeypatch.setattr(quality, "SEGMENT", 3)
+    monkeypatch.setattr(quality, "TOGETHER", 2000)
+    for a, b in zip(whole, net.maxima(texts), strict=True):
+        assert np.array_equal(a, b)
+    value, owner, seen = whole
+    assert value.shape[0] == sum(max(1, -(-len(t) // quality.HALF) - 1) for t in texts)
+    at = np.arange(quality.WIDTH)
+    again = np.maximum(net.filters[at[:, None, None], seen.transpose(2, 0, 1), np.arange(quality.FILTERS)].sum(0) + net.bias, 0)
+    assert np.allclose(again[owner > 0], value[owner > 0], atol=1e-4)
 
 
 @pytest.mark.parametrize("slab", [media.SLAB, 3])

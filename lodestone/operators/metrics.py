@@ -5,7 +5,7 @@ Judgments of at least 1 are relevant. Ranks break ties by the smaller docid.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -61,13 +61,47 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, cuts: list[int]) -> DataFrame:
-    """(k, metric, value): the mean of every metric at every cut, zeros included."""
-    names = ["rr", "recall", "precision", "ndcg", "ap", "r_cap"]
-    parts = [per_query(run, qrels, k).agg(*(F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names)).select(F.lit(k).alias("k"), F.expr("stack(6, " + ", ".join(f"'{n}', {n}" for n in names) + ") AS (metric, value)")) for k in cuts]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(k, metric, value): the mean of every metric at every cut, zeros included.
+
+    A query's ranks are computed once, to the deepest cut. Its relevant ranks, its
+    gains and its ideal gains are arrays by rank, of as many elements at most, and
+    each metric at each cut is a sum over the elements within the cut.
+    """
+    names, deepest = ["rr", "recall", "precision", "ndcg", "ap", "r_cap"], max(cuts)
+    top = with_rank(run).where(F.col("rank") <= deepest)
+    asked = qrels.groupBy("qid").agg(F.count(F.when(F.col("rel") >= 1, 1)).alias("relevant"))
+    # queries without a row of the run do not count
+    found = top.select("qid").distinct().join(asked, "qid")
+    hit = top.join(qrels.where("rel <> 0"), ["qid", "docid"])
+    ranks = hit.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("rel") >= 1, F.col("rank")))).alias("hits"), F.array_sort(F.collect_list(F.struct("rank", "rel"))).alias("gains"))
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rel"), "docid"))
+    best = qrels.withColumn("rank", place).where(F.col("rank") <= deepest).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "rel"))).alias("ideal"))
+    rows = found.join(ranks, "qid", "left").join(best, "qid", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("hits", "gains", "ideal")})
+    rows = rows.withColumn("precisions", F.transform("hits", lambda x, i: F.struct(x.alias("rank"), ((i + 1) / x).alias("share"))))
+    add = lambda pairs, value: F.aggregate(pairs, F.lit(0.0), lambda s, x: s + value(x))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    discounted = lambda x: x.rel / F.log2(x.rank + 1)
+
+    def at(k: int) -> Column:
+        within = lambda pairs: F.filter(pairs, lambda x: x.rank <= k)
+        hits, n = F.size(F.filter("hits", lambda x: x <= k)), F.col("relevant")
+        first = F.get("hits", F.lit(0))
+        values = [
+            F.when(first <= k, 1.0 / first).otherwise(0.0),
+            share(hits, n),
+            hits / k,
+            share(add(within("gains"), discounted), add(within("ideal"), discounted)),
+            share(add(within("precisions"), lambda x: x.share), n),
+            share(hits, F.least(n, F.lit(k))),
+        ]
+        return F.struct(F.lit(k).alias("k"), *(v.alias(name) for name, v in zip(names, values, strict=True)))
+
+    each = rows.select(F.explode(F.array(*map(at, cuts))).alias("x")).select("x.*")
+    means = each.groupBy("k").agg(*(F.avg(n).alias(n) for n in names))
+    none = run.sparkSession.createDataFrame([(k,) for k in cuts], "k int").join(means, "k", "left")  # a cut without queries is 0
+    stacked = F.expr("stack(6, " + ", ".join(f"'{n}', coalesce({n}, 0.0D)" for n in names) + ") AS (metric, value)")
+    return none.select("k", stacked)
 
 
 def check_metric(metric: str, graded: bool) -> None:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import analysis, metrics, quantize, ranking
+from ..operators import analysis, dense, metrics, quantize, ranking
 from ..operators.prefixes import by_smtid, smtid_qrels, smtid_scores
 from ..sources.shared import numbered
 from .registry import query
-from .views import rounded
+from .views import best, rounded
 
 
 def per_query(run: str, qrels: str, k: int) -> str:
@@ -55,6 +55,16 @@ def _(v):
     return rounded(metrics.evaluate(v.run_v, v.qrels_v, [5, 10, 50]), "value")
 
 
+# the reference's cuts over runs that are as deep
+ALL_CUTS = (1, 3, 5, 10, 100, 1000)
+
+
+@query("evaluate_all_cuts_full", all_metrics("deep_v", "qrels_v", ALL_CUTS), {"deep_v": best("(SELECT * FROM scores_v WHERE qid <> docid)", 1000)})
+def _(v):
+    deep = dense.retrieve_blocked(v.query_vectors, v.vectors, 1000, but_self=True)
+    return rounded(metrics.evaluate(deep, v.qrels_v, list(ALL_CUTS)), "value")
+
+
 @query("eval_dispatch", f"SELECT 'text' AS dataset, * FROM ({all_metrics('run_a', 'qrels', (10,))}) UNION ALL SELECT 'vectors' AS dataset, * FROM ({all_metrics('run_v', 'qrels_v', (10,))})")
 def _(v):
     text = metrics.evaluate(v.run_a, v.qrels, [10]).withColumn("dataset", F.lit("text"))

@@ -404,3 +404,42 @@ def test_codebooks_have_no_dead_codes(spark):
     few = df.where("docid >= 600 AND docid < 803")  # four different vectors
     book = {(r["m"], r["code"]): r["vec"] for r in quantize.train(few, 1, 8, rounds=2).collect()}
     assert len({tuple(v) for v in book.values()}) == 4 and len(book) == 8
+
+
+def test_a_state_travels_with_the_beam(spark):
+    import itertools
+
+    import numpy as np
+
+    from lodestone.operators import rerank
+
+    sequences = [(i, list(c)) for i, c in enumerate(itertools.product(range(3), repeat=3)) if i % 4]
+    trie = prefixes.edges(codes_of(spark, sequences))
+    queries = spark.createDataFrame([(q, [float(q), 1.0]) for q in range(3)], "qid long, state array<double>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(states, last, length):
+        # the state folds all codes read; the scores depend on it and so on the whole prefix
+        calls.add(len(states))
+        states = np.stack([states[:, 0], states[:, 1] * 3 + last + 1], axis=1)
+        return np.cos(states[:, :1] + states[:, 1:] * (1 + np.arange(3)) + length), states
+
+    def plain(q, codes):
+        fold, last, total = 1.0, -1, 0.0
+        for m, c in enumerate(codes):
+            fold = fold * 3 + last + 1
+            total += float(np.cos(q + fold * (1 + c) + m))
+            last = c
+        return total
+
+    want = set()
+    for q in range(3):
+        beam_ = [[]]
+        for m in range(3):
+            step = {tuple(b + [c]) for b in beam_ for c in range(3) if any(x[: m + 1] == b + [c] for _, x in sequences)}
+            beam_ = [list(x) for x in sorted(step, key=lambda x: (-round(plain(q, x), 6), x))[:4]]
+        want |= {(q, tuple(x), round(plain(q, x), 6)) for x in beam_}
+    found = beam.search(queries, trie, rerank.Stateful(scorer), 3, 4)
+    assert {(r["qid"], tuple(r["codes"]), round(r["score"], 6)) for r in found.collect()} == want
+    # one call for a query, then one for each of its hypotheses
+    assert calls.value == 3 * (1 + 3 + 4)

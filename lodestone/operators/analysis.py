@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
+# Fixed values.
 #: Upper ends of the buckets of best ranks.
 RANK_BUCKETS = (1, 5, 10, 50, 100, 1000)
 QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
@@ -13,9 +16,25 @@ DIFF_EDGES = (-1.0, -0.5, -0.1, -0.05, -0.01, 0.0, 0.01, 0.05, 0.1, 0.5, 1.0)
 
 
 def quantiles(df: DataFrame, column: str) -> DataFrame:
-    """(q, value) with linear interpolation."""
-    found = df.agg(F.percentile(column, F.array(*map(F.lit, QUANTILES))).alias("v"))
-    return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, QUANTILES)).alias("q"), F.col("v").alias("value"))).alias("z")).select("z.q", "z.value")
+    """(q, value) with linear interpolation; no rows without values.
+
+    Equal values are counted first, so a frequent one is a row. Tasks sort ranges
+    of the distinct values, and the ranges' sums tell where each value's rows
+    begin and end in the order of all; only the ranges' sums meet in a task.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = written(counts.orderBy("x").select("x", "n", F.spark_partition_id().alias("range")), "values")
+    sums = ranges.groupBy("range").agg(F.sum("n").alias("sum"))
+    before = F.sum("sum").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("range", F.coalesce(before, F.lit(0)).alias("before"), F.sum("sum").over(W.partitionBy()).alias("total"))  # a row for each range
+    inside = F.sum("n").over(W.partitionBy("range").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    rows = ranges.withColumn("inside", inside).join(F.broadcast(sums), "range")
+    rows = rows.select("x", (F.col("before") + F.col("inside") - F.col("n")).alias("first"), (F.col("before") + F.col("inside")).alias("behind"), F.explode(F.array(*map(F.lit, QUANTILES))).alias("q"), "total")
+    place = F.col("q") * (F.col("total") - 1)
+    rows = rows.withColumns({"low": F.floor(place), "high": F.ceil(place), "share": place - F.floor(place)})
+    holds = lambda at: (F.col("first") <= F.col(at)) & (F.col(at) < F.col("behind"))
+    found = rows.where(holds("low") | holds("high")).groupBy("q").agg(F.max(F.when(holds("low"), F.col("x"))).alias("a"), F.max(F.when(holds("high"), F.col("x"))).alias("b"), F.max("share").alias("share"))
+    return found.select("q", (F.col("a") * (1 - F.col("share")) + F.col("b") * F.col("share")).alias("value"))
 
 
 def bucket_of_rank(rank: Column) -> Column:

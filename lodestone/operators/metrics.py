@@ -104,6 +104,11 @@ def evaluate(run: DataFrame, qrels: DataFrame, cuts: list[int]) -> DataFrame:
     return none.select("k", stacked)
 
 
+def goes_with(metric: Column, graded: Column) -> Column:
+    """Whether :func:`check_metric` would accept the metric."""
+    return graded == F.startswith(metric, F.lit("ndcg"))
+
+
 def check_metric(metric: str, graded: bool) -> None:
     """Graded judgments are for ndcg, binary ones for all other metrics."""
     if graded != metric.startswith("ndcg"):

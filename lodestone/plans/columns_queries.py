@@ -141,9 +141,11 @@ def _(v):
     return rows.select("docid", C.to_string(F.col("e.prefix")).alias("prefix"), "e.next")
 
 
-@query("special_tokens", "SELECT CAST(i AS INTEGER) AS position, CAST(j AS INTEGER) AS code, '<docid_' || i || '_' || j || '>' AS token FROM range(4) a(i), range(8) b(j)")
+@query("special_tokens", "SELECT DISTINCT CAST(m AS INTEGER) AS position, code, '<docid_' || m || '_' || code || '>' AS token FROM code_pos")
 def _(v):
-    return C.token_grid(v.spark, 4, 8)
+    # of the grid, the tokens that documents use
+    used = v.codes.select(F.posexplode("codes").alias("position", "code")).distinct()
+    return C.token_grid(v.spark, 4, 8).join(used, ["position", "code"], "left_semi")
 
 
 @query("code_token_bijection", "SELECT docid, CAST(32000 + m * 8 + code AS INTEGER) AS token, CAST(m AS INTEGER) AS position, code FROM code_pos")
@@ -169,9 +171,11 @@ def _(v):
     return v.run_v.select("qid", "docid", F.explode(scores).alias("x")).select("qid", "docid", "x.length", F.round("x.score", 9).alias("score"))
 
 
-@query("reg_weight_schedule", "SELECT t AS step, round(0.01 * pow(least(t, 50000) / 50000, 2), 9) AS weight FROM range(0, 100000, 1000) r(t)")
+@query("reg_weight_schedule", "SELECT docid * 100 AS step, round(0.01 * pow(least(docid * 100, 50000) / 50000, 2), 9) AS weight FROM vectors")
 def _(v):
-    return v.spark.range(0, 100000, 1000).select(F.col("id").alias("step"), F.round(S.reg_weight(F.col("id"), 0.01, 50000), 9).alias("weight"))
+    # a step for each hundred examples, here vectors
+    steps = v.vectors.select((F.col("docid") * 100).alias("step"))
+    return steps.withColumn("weight", F.round(S.reg_weight(F.col("step"), 0.01, 50000), 9))
 
 
 @query("tokenize_truncate", "SELECT docid, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:64], ' ') AS tokens FROM corpus")

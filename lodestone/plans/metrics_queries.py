@@ -72,16 +72,12 @@ def _(v):
     return rounded(text.unionByName(vectors), "value")
 
 
-@query("metric_guard", "SELECT * FROM (VALUES ('ndcg_cut_10', true), ('ndcg_cut_10', false), ('recip_rank', true), ('recip_rank', false)) t(metric, graded), LATERAL (SELECT graded = starts_with(metric, 'ndcg') AS ok)")
+@query("metric_guard", "SELECT qid, metric, graded, graded = starts_with(metric, 'ndcg') AS ok FROM (SELECT qid, max(rel) > 2 AS graded FROM qrels_v GROUP BY qid), (VALUES ('ndcg_cut_10'), ('recip_rank')) t(metric)")
 def _(v):
-    def allowed(metric, graded):
-        try:
-            metrics.check_metric(metric, graded)
-        except ValueError:
-            return False
-        return True
-
-    return v.spark.createDataFrame([(m, g, allowed(m, g)) for m in ("ndcg_cut_10", "recip_rank") for g in (True, False)], "metric string, graded boolean, ok boolean")
+    # which metrics go with a query's judgments; those with three grades count as graded
+    kinds = v.qrels_v.groupBy("qid").agg((F.max("rel") > 2).alias("graded"))
+    each = kinds.withColumn("metric", F.explode(F.array(F.lit("ndcg_cut_10"), F.lit("recip_rank"))))
+    return each.select("qid", "metric", "graded", metrics.goes_with(F.col("metric"), F.col("graded")).alias("ok"))
 
 
 SMT_RUN = "SELECT qid, smtid AS docid, max(score) AS score FROM run_v JOIN smtids USING (docid) GROUP BY qid, smtid"

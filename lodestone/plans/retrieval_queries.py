@@ -77,6 +77,11 @@ def _(v):
     return rounded(analysis.quantiles(v.doc_weights.groupBy("docid").agg(F.count(F.lit(1)).alias("n")), "n"), "value")
 
 
+@query("token_weight_profile", QUANTILES.replace("n::DOUBLE", "weight") + "doc_weights")
+def _(v):
+    return rounded(analysis.quantiles(v.doc_weights, "weight"), "value")
+
+
 @query("docid_codes_export", "SELECT CAST(docid AS VARCHAR) AS docid, array_to_string(codes, '_') AS smtid, count(*) OVER (PARTITION BY codes) AS sharing FROM doc_codes")
 def _(v):
     path = scratch(v.spark, "codes")

@@ -134,9 +134,11 @@ _PATHS = ["/d/TREC_DL_2019/msmarco/qrel.json", "/d/trec2020/msmarco", "/d/msmarc
 _LABELS = ["TREC_DL_2019", "TREC_DL_2020", "MSMARCO_TRAIN", "MSMARCO", "MSMARCO_v2_dev1", "MSMARCO_v2_dev2", "TOY", "NQ_320K", "other_dataset"]
 
 
-@query("dataset_name", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{n}')" for p, n in zip(_PATHS, _LABELS, strict=True)) + ") t(path, dataset)")
+@query("dataset_name", "SELECT page_id, p || '#' || url AS path, dataset FROM pages JOIN (VALUES " + ", ".join(f"({i}, '{p}', '{n}')" for i, (p, n) in enumerate(zip(_PATHS, _LABELS, strict=True))) + ") t(i, p, dataset) ON page_id % 9 = i")
 def _(v):
-    return v.spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", dataset_name(F.col("path")).alias("dataset"))
+    # pages as if they lay in the folders of data sets
+    path = F.concat(F.get(F.array(*map(F.lit, _PATHS)), (F.col("page_id") % 9).cast("int")), F.lit("#"), F.col("url"))
+    return v.table("pages").select("page_id", path.alias("path")).withColumn("dataset", dataset_name(F.col("path")))
 
 
 @query("sparse_stats_per_shard", "SELECT round(avg(l0), 6) AS l0 FROM (SELECT avg(n) AS l0 FROM (SELECT docid, docid % 4 AS shard, count(*) AS n FROM doc_weights GROUP BY docid) GROUP BY shard)")

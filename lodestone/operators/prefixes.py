@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
+from ..sources.shared import scratch
+
+#: Buckets of a stored tree at each depth.
+BUCKETS = 32
+
+_STORED = "prefix array<int>, next int, depth int"
 
 
 def edges(codes: DataFrame, *group: str) -> DataFrame:
@@ -13,6 +21,28 @@ def edges(codes: DataFrame, *group: str) -> DataFrame:
     return codes.select(*group, F.explode(C.edges(F.col("codes"))).alias("e")).select(*group, "e.prefix", "e.next").distinct()
 
 
+def store(codes: DataFrame, path: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The tree of all codes on files, as :func:`stored` gives it.
+
+    It is partitioned by depth and bucketed by prefix, so that a step of a search
+    reads one depth, and a join by prefix does not send the tree anywhere.
+    """
+    path, table = path or scratch(codes.sparkSession, "tree"), f"tree_{uuid.uuid4().hex}"
+    tree = edges(codes).withColumn("depth", F.size("prefix"))
+    # one file for each bucket of a depth
+    by_bucket = tree.repartition(buckets, "prefix")
+    by_bucket.write.partitionBy("depth").bucketBy(buckets, "prefix").option("path", path).saveAsTable(table)
+    return codes.sparkSession.table(table)
+
+
+def stored(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """(prefix, next, depth) that :func:`store` wrote, in another session too."""
+    table = f"tree_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} ({_STORED}) USING parquet PARTITIONED BY (depth) CLUSTERED BY (prefix) INTO {buckets} BUCKETS LOCATION '{path}'")
+    spark.catalog.recoverPartitions(table)
+    return spark.table(table)
+
+
 def query_edges(run: DataFrame, codes: DataFrame) -> DataFrame:
     """The trie of each query's own candidates; joined before prefixes multiply the rows."""
     return edges(run.select("qid", "docid").join(codes, "docid"), "qid")

@@ -55,18 +55,6 @@ def random_negatives(sets: DataFrame, vocabulary: DataFrame, times: int) -> Data
     return draws.where(~F.array_contains("own", F.col("tid"))).select("docid", F.col("i").cast("long").alias("i"), "tid")
 
 
-def stratified(ranked: DataFrame, parts: int, total: int, *group: str) -> DataFrame:
-    """Groups of at most ``total`` rows whole, larger ones total / parts rows of each part of their ranks.
-
-    ``ranked`` has rank, from 1, and docid.
-    """
-    size = F.count(F.lit(1)).over(W.partitionBy(*group))
-    part = F.least(F.floor((F.col("rank") - 1) / F.floor(F.col("size") / parts)), F.lit(parts - 1))
-    rows = ranked.withColumn("size", size).withColumn("part", F.when(F.col("size") > total, part).otherwise(F.lit(0)))
-    place = F.row_number().over(W.partitionBy(*group, "part").orderBy(hash_order(*group, "docid"), "docid"))
-    return rows.withColumn("place", place).where((F.col("size") <= total) | (F.col("place") <= total // parts)).drop("size", "part", "place")
-
-
 def margins(pairs: DataFrame) -> DataFrame:
     """Mean squared difference of the student's and teacher's margins."""
     gap = (F.col("s_pos") - F.col("s_neg")) - (F.col("t_pos") - F.col("t_neg"))

@@ -92,8 +92,8 @@ def _(v):
 
 @query("prefix_constraint_join", "SELECT s.qid, t.prefix, t.next FROM (SELECT DISTINCT qid, array_to_string(codes[1:2], '_') AS prefix FROM run_v JOIN doc_codes USING (docid)) s JOIN trie t ON t.m = 2 AND t.prefix = s.prefix")
 def _(v):
-    beams = v.run_v.join(v.codes, "docid").select("qid", C.prefix(F.col("codes"), 2).alias("prefix")).distinct()
-    return beams.join(prefixes.edges(v.codes), "prefix").select("qid", C.to_string(F.col("prefix")).alias("prefix"), "next")
+    beams = v.run_v.join(v.stored_codes, "docid").select("qid", C.prefix(F.col("codes"), 2).alias("prefix")).distinct()
+    return beams.join(v.tree.where("depth = 2"), "prefix").select("qid", C.to_string(F.col("prefix")).alias("prefix"), "next")
 
 
 @query("code_to_token_join", "SELECT docid, m, CAST(32000 + m * 8 + code AS INTEGER) AS token FROM code_pos")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import dataset_name, title_text
 from ..operators import metrics, ranking, training
-from ..sources import formats
+from ..sources import formats, versions
 from ..sources.shared import scratch as shared_path
 from .registry import query
 
@@ -100,7 +100,9 @@ def _(v):
 @query("write_index", "SELECT term, docid, round(weight, 6) AS value FROM doc_weights WHERE term IN (SELECT term FROM topic_weights)")
 def _(v):
     path = scratch(v, "index")
-    formats.write_index(v.index, path)
+    # two chunks of documents, the second added to the committed first
+    formats.write_index(v.index.where("docid % 2 = 0"), path)
+    formats.write_index(v.index.where("docid % 2 = 1"), path, add=True)
     found = formats.read_index(v.spark, path, v.topic_weights)
     return found.join(v.topic_weights.select("term").distinct(), "term", "left_semi").select("term", "docid", F.round("value", 6).alias("value"))
 
@@ -117,9 +119,10 @@ def _(v):
 @query("write_embeddings", "SELECT docid, len(vec) AS dims, round(list_sum(vec::DOUBLE[]), 6) AS total FROM vectors")
 def _(v):
     path = scratch(v, "embeddings")
-    formats.write_table(v.vectors.select("docid", "vec"), path)
+    for r in range(3):  # a chunk for each third of the documents
+        versions.append(v.vectors.where(F.pmod("docid", F.lit(3)) == r).select("docid", "vec"), path)
     total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return v.spark.read.parquet(path).select("docid", F.size("vec").cast("long").alias("dims"), F.round(total, 6).alias("total"))
+    return versions.read(v.spark, path).select("docid", F.size("vec").cast("long").alias("dims"), F.round(total, 6).alias("total"))
 
 
 @query("write_perf", f"SELECT 'vectors' AS dataset, 'rr' AS metric, round(avg(rr), 6) AS value FROM (SELECT q.qid, coalesce(1.0 / min(r.n), 0) AS rr FROM (SELECT DISTINCT qid FROM qrels_v) q JOIN (SELECT DISTINCT qid FROM run_v) u USING (qid) LEFT JOIN (SELECT r.qid, r.n FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS n FROM run_v) r JOIN qrels_v USING (qid, docid) WHERE n <= 10) r ON r.qid = q.qid GROUP BY q.qid)")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import dot
-from ..operators import dense, prefixes, quantize, ranking, rerank, sparse, training
+from ..operators import dense, prefixes, quantize, ranking, rerank, sampling, sparse, training
 from ..sources.shared import numbered, written
 from .registry import query
 from .views import best, rounded
@@ -121,9 +120,7 @@ def same_prefix(v):
 
 @query("same_prefix_rerank", "SELECT g.qid, g.rel_docid, g.docid, s.score FROM (SELECT *, row_number() OVER (PARTITION BY qid, rel_docid ORDER BY md5(qid || ':' || rel_docid || ':' || docid), docid) AS n FROM grouped) g JOIN scores_v s ON s.qid = g.qid AND s.docid = g.docid WHERE n <= 10", {"grouped": GROUPED})
 def _(v):
-    order = F.row_number().over(W.partitionBy("qid", "rel_docid").orderBy(training.hash_order("qid", "rel_docid", "docid"), "docid"))
-    kept = same_prefix(v).withColumn("n", order).where("n <= 10").drop("n")
-    return with_dense(v, kept)
+    return with_dense(v, sampling.draw(same_prefix(v), 10, ["qid", "rel_docid"]))
 
 
 STRATA = """SELECT qid, rel_docid, docid, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, rel_docid, part ORDER BY md5(qid || ':' || rel_docid || ':' || docid), docid) AS place FROM
@@ -134,8 +131,8 @@ STRATA = """SELECT qid, rel_docid, docid, rank FROM (SELECT *, row_number() OVER
 
 @query("hard_negative_rerank", STRATA, {"grouped": GROUPED})
 def _(v):
-    ranked = ranking.with_rank(with_dense(v, same_prefix(v)), ["qid", "rel_docid"])
-    return training.stratified(ranked, 5, 20, "qid", "rel_docid").select("qid", "rel_docid", "docid", "rank")
+    ranks = sampling.ranked(with_dense(v, same_prefix(v)), ["qid", "rel_docid"])
+    return sampling.stratified(ranks, 5, 20, ["qid", "rel_docid"]).select("qid", "rel_docid", "docid", "rank")
 
 
 @query("teacher_rerank_smtids", "SELECT f.qid, s.docid, v.score FROM (SELECT * FROM (SELECT qid, smtid, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, smtid) AS n FROM scores_q JOIN smtids USING (docid) GROUP BY qid, smtid) WHERE n <= 5) f JOIN smtids s USING (smtid) JOIN scores_v v ON v.qid = f.qid AND v.docid = s.docid")
@@ -284,9 +281,7 @@ def _(v):
 
 @query("same_prefix_rerank_full", "SELECT g.qid, g.rel_docid, g.docid, s.score FROM (SELECT *, row_number() OVER (PARTITION BY qid, rel_docid ORDER BY md5(qid || ':' || rel_docid || ':' || docid), docid) AS n FROM grouped) g JOIN scores_v s ON s.qid = g.qid AND s.docid = g.docid WHERE n <= 50", {"grouped": GROUPED})
 def _(v):
-    order = F.row_number().over(W.partitionBy("qid", "rel_docid").orderBy(training.hash_order("qid", "rel_docid", "docid"), "docid"))
-    kept = same_prefix(v).withColumn("n", order).where("n <= 50").drop("n")
-    return with_dense(v, kept)
+    return with_dense(v, sampling.draw(same_prefix(v), 50, ["qid", "rel_docid"]))
 
 
 STRATA_200 = """SELECT qid, rel_docid, docid, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, rel_docid, part ORDER BY md5(qid || ':' || rel_docid || ':' || docid), docid) AS place FROM
@@ -297,5 +292,5 @@ STRATA_200 = """SELECT qid, rel_docid, docid, rank FROM (SELECT *, row_number()
 
 @query("hard_negative_rerank_full", STRATA_200, {"grouped": GROUPED})
 def _(v):
-    ranked = ranking.with_rank(with_dense(v, same_prefix(v)), ["qid", "rel_docid"])
-    return training.stratified(ranked, 20, 200, "qid", "rel_docid").select("qid", "rel_docid", "docid", "rank")
+    ranks = sampling.ranked(with_dense(v, same_prefix(v)), ["qid", "rel_docid"])
+    return sampling.stratified(ranks, 20, 200, ["qid", "rel_docid"]).select("qid", "rel_docid", "docid", "rank")

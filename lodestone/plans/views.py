@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions.scores import tokens
 from ..operators import beam, dense, prefixes, quantize, ranking, sparse
-from ..sources.shared import broadcast_if_small
+from ..sources.shared import broadcast_if_small, written
 
 K, TERMS, LEVELS, SIZE, BEAMS = 50, 16, 4, 8, 4
 
@@ -97,6 +97,20 @@ class Views:
     def codes(self) -> DataFrame:
         return quantize.encode(self.vectors, self.codebook, LEVELS)
 
+    @cached_property
+    def stored_codes(self) -> DataFrame:
+        """The codes from files, for plans that read them often."""
+        return written(self.codes, "codes")
+
+    @cached_property
+    def stored_run(self) -> DataFrame:
+        return written(self.run_v, "run")
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        """The prefix tree of all codes, by depth and bucketed by prefix."""
+        return prefixes.store(self.stored_codes)
+
     @cached_property
     def logits(self) -> DataFrame:
         return quantize.code_scores(self.query_vectors, self.codebook)
@@ -108,7 +122,7 @@ class Views:
     @cached_property
     def lexical(self) -> DataFrame:
         """Candidates of the vector queries with a lexical score."""
-        return self.run_v
+        return self.stored_run
 
     @cached_property
     def teacher(self) -> DataFrame:
@@ -229,11 +243,14 @@ def beam_sql(kind: str, beams: int = BEAMS, length: int = LEVELS, tag: str = "")
 
 def beams_of(v: Views, kind: str, beams: int | None = BEAMS, length: int = LEVELS) -> DataFrame:
     """(qid, codes, score) of the same searches."""
-    codes = v.codes.select("docid", C.prefix(F.col("codes"), length).alias("codes"))
-    if kind == "constrained":
-        return beam.search(v.query_vectors, prefixes.edges(codes), v.logits, length, beams)
-    if kind == "condition":
-        return beam.search(v.query_vectors, prefixes.query_edges(v.lexical, codes), v.logits, length, beams)
-    if kind == "incorporate":
-        return beam.search(v.query_vectors, prefixes.edges(codes), v.logits, length, beams, prefixes.pooled(v.lexical, codes), floor=True)
-    return beam.search(v.query_vectors, prefixes.query_edges(v.lexical, codes), v.logits, length, beams, prefixes.pooled(v.lexical, codes, kind.split("_")[1]))
+    if kind in ("constrained", "incorporate"):
+        # depths below ``length`` of the tree of whole codes are the tree of the shorter ones
+        pooled = {} if kind == "constrained" else {"lexical": prefixes.pooled(v.lexical, shorter(v, length)), "floor": True}
+        return beam.search(v.query_vectors, v.tree, v.logits, length, beams, **pooled)
+    codes, how = shorter(v, length), None if kind == "condition" else kind.split("_")[1]
+    trie = prefixes.query_edges(v.lexical, codes)
+    return beam.search(v.query_vectors, trie, v.logits, length, beams, how and prefixes.pooled(v.lexical, codes, how))
+
+
+def shorter(v: Views, length: int) -> DataFrame:
+    return v.stored_codes.select("docid", C.prefix(F.col("codes"), length).alias("codes"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import title_text
+from . import versions
 from .shared import numbered
 
 
@@ -112,15 +113,20 @@ def write_codes(codes: DataFrame, path: str) -> None:
     format_codes(codes).write.mode("overwrite").text(path)
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings by hash bucket of the term, so that a query reads its terms' buckets only."""
+def write_index(postings: DataFrame, path: str, buckets: int = 64, add: bool = False) -> int:
+    """Postings by hash bucket of the term, so that a query reads its terms' buckets only.
+
+    They become a version of their own, or are added to the newest one; until it is
+    committed, readers have the one before (:mod:`.versions`).
+    """
     rows = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "term")
+    return (versions.append if add else versions.replace)(rows, path, "bucket")
 
 
-def read_index(spark: SparkSession, path: str, queries: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+def read_index(spark: SparkSession, path: str, queries: DataFrame | None = None, buckets: int = 64, version: int | None = None) -> DataFrame:
     """The postings, or those in the buckets of the queries' terms; a missing term has no rows."""
-    index = spark.read.parquet(path)
+    index = versions.read(spark, path, version)
     if queries is not None:
         wanted = [r[0] for r in queries.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]  # at most the number of buckets
         index = index.where(F.col("bucket").isin(wanted))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import codes as C
 from lodestone.functions import scores as S
-from lodestone.operators import analysis, beam, metrics, prefixes, quantize, ranking, sparse, training
+from lodestone.operators import analysis, beam, metrics, prefixes, quantize, ranking, sampling, sparse, training
 from lodestone.plans.views import Views, beams_of
 from lodestone.sources import formats
 
@@ -122,9 +122,9 @@ def test_examples_start_with_the_positive(spark):
 
 
 def test_strata_keep_small_groups_whole(spark):
-    ranked = spark.range(10).select(F.lit(1).alias("qid"), F.col("id").alias("docid"), (F.col("id") + 1).alias("rank"))
-    assert training.stratified(ranked, 5, 10, "qid").count() == 10
-    kept = training.stratified(ranked, 5, 5, "qid")
+    ranks = spark.range(10).select(F.lit(1).alias("qid"), F.col("id").alias("docid"), (F.col("id") + 1).alias("rank"), F.lit(10).alias("size"))
+    assert sampling.stratified(ranks, 5, 10, ["qid"]).count() == 10
+    kept = sampling.stratified(ranks, 5, 5, ["qid"])
     assert sorted((r["rank"] - 1) // 2 for r in kept.collect()) == [0, 1, 2, 3, 4]
 
 

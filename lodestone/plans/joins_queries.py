@@ -211,3 +211,10 @@ def _(v):
 def _(v):
     counts = v.run_v.join(prefixes.by_smtid(v.codes, 2), "docid").groupBy("qid", F.col("smtid").alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("n"), "prefix"))).where("r <= 100").drop("r")
+
+
+# whole code strings of runs of 1,000, of which a query has more than 100
+@query("most_common_prefixes_full", "SELECT qid, prefix, n FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, prefix) AS r FROM (SELECT qid, smtid AS prefix, count(*) AS n FROM deep_v JOIN smtids USING (docid) GROUP BY ALL)) WHERE r <= 100")
+def _(v):
+    counts = v.deep_run.join(v.smtids, "docid").groupBy("qid", F.col("smtid").alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("n"), "prefix"))).where("r <= 100").drop("r")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import analysis, dense, metrics, quantize, ranking
+from ..operators import analysis, metrics, quantize, ranking
 from ..operators.prefixes import by_smtid, smtid_qrels, smtid_scores
-from ..sources.shared import numbered
+from ..sources.shared import broadcast_if_small, numbered
 from .registry import query
 from .views import best, rounded
 
@@ -59,10 +59,9 @@ def _(v):
 ALL_CUTS = (1, 3, 5, 10, 100, 1000)
 
 
-@query("evaluate_all_cuts_full", all_metrics("deep_v", "qrels_v", ALL_CUTS), {"deep_v": best("(SELECT * FROM scores_v WHERE qid <> docid)", 1000)})
+@query("evaluate_all_cuts_full", all_metrics("deep_v", "qrels_v", ALL_CUTS))
 def _(v):
-    deep = dense.retrieve_blocked(v.query_vectors, v.vectors, 1000, but_self=True)
-    return rounded(metrics.evaluate(deep, v.qrels_v, list(ALL_CUTS)), "value")
+    return rounded(metrics.evaluate(v.deep_run, v.qrels_v, list(ALL_CUTS)), "value")
 
 
 @query("eval_dispatch", f"SELECT 'text' AS dataset, * FROM ({all_metrics('run_a', 'qrels', (10,))}) UNION ALL SELECT 'vectors' AS dataset, * FROM ({all_metrics('run_v', 'qrels_v', (10,))})")
@@ -165,6 +164,30 @@ def _(v):
     return rows.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("other"), 6).alias("mean_other"))
 
 
+# Judgments of one document in 250, whose best ranks reach the buckets 100 and 1,000.
+RARE = {"rare_v": "SELECT qid, docid, 1 AS rel FROM query_vectors JOIN vectors ON docid % 250 = (qid * 7 + 3) % 250 WHERE qid <> docid", "best_ranks": BEST.replace("run_v", "deep_v").replace("qrels_v", "rare_v")}
+RARE["other_ranks"] = RARE["best_ranks"].replace("deep_v", "scores_q")
+
+
+def rare(v):
+    asked = broadcast_if_small(v.query_vectors.select("qid", ((F.col("qid") * 7 + 3) % 250).alias("at")))
+    return v.vectors.select("docid", (F.col("docid") % 250).alias("at")).join(asked, "at").where("qid != docid").select("qid", "docid", F.lit(1).alias("rel"))
+
+
+@query("rank_bucket_full", f"SELECT qid, {BUCKET} AS bucket FROM best_ranks", RARE)
+def _(v):
+    best = analysis.best_ranks(ranking.with_rank(v.deep_run), rare(v))
+    return best.select("qid", analysis.bucket_of_rank(F.col("best")).alias("bucket"))
+
+
+@query("rank_bucket_report_full", f"SELECT {BUCKET} AS bucket, count(*) AS queries, round(avg(other), 6) AS mean_other FROM best_ranks JOIN (SELECT qid, best AS other FROM other_ranks) USING (qid) GROUP BY bucket", RARE)
+def _(v):
+    best = analysis.best_ranks(ranking.with_rank(v.deep_run), rare(v))
+    other = analysis.best_ranks(ranking.with_rank(rounded(quantize.search_scores(v.logits, v.codes))), rare(v)).withColumnRenamed("best", "other")
+    rows = best.join(other, "qid").groupBy(analysis.bucket_of_rank(F.col("best")).alias("bucket"))
+    return rows.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("other"), 6).alias("mean_other"))
+
+
 POPULAR = """SELECT r.qid, coalesce(min(p.n), 101) AS place, max(CASE WHEN b.best <= 10 THEN 1.0::DOUBLE / b.best ELSE 0 END) AS rr FROM (SELECT DISTINCT qid FROM qrels_v) r JOIN best_ranks b USING (qid)
     LEFT JOIN (SELECT qid, prefix, row_number() OVER (PARTITION BY qid ORDER BY n DESC, prefix) AS n FROM (SELECT qid, array_to_string(codes[1:2], '_') AS prefix, count(*) AS n FROM run_v JOIN doc_codes USING (docid) GROUP BY ALL)) p
     ON p.qid = r.qid AND p.prefix IN (SELECT array_to_string(codes[1:2], '_') FROM doc_codes d JOIN (SELECT qid, docid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS n FROM run_v) JOIN qrels_v USING (qid, docid)) h USING (docid) WHERE h.qid = r.qid) GROUP BY r.qid"""

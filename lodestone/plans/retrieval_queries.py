@@ -216,7 +216,7 @@ def _(v):
     return v.bow.groupBy("docid").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))
 
 
-@query("bow_docids_full", "SELECT docid, string_agg(term, ' ' ORDER BY term) AS terms FROM bow_64 GROUP BY docid", {"bow_64": f"SELECT docid, term FROM ({best('doc_weights', 64, 'docid', 'term', 'weight')})"})
+@query("bow_docids_full", "SELECT docid, string_agg(term, ' ' ORDER BY term) AS terms FROM bow_64 GROUP BY docid")
 def _(v):
     bow = sparse.term_set(v.doc_weights, 64)
     return bow.groupBy("docid").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))
@@ -230,6 +230,14 @@ def _(v):
     return rounded(sparse.retrieve_sets(v.topic_weights, v.bow, 50))
 
 
+FILLED_64 = FILLED.replace("FROM bow)", "FROM bow_64)").replace("scores_b", "scores_64")
+
+
+@query("term_set_retrieve_full", "SELECT qid, docid, score FROM (" + best("filled", 200) + ")", {"filled": FILLED_64, "scores_64": "SELECT qid, docid, round(sum(weight), 6) AS score FROM topic_weights JOIN bow_64 USING (term) GROUP BY qid, docid"})
+def _(v):
+    return rounded(sparse.retrieve_sets(v.topic_weights, sparse.term_set(v.doc_weights, 64), 200))
+
+
 @query("term_set_retrieve_parallel", "SELECT qid, docid, score FROM (" + best("filled", 20) + ")", {"filled": FILLED})
 def _(v):
     shards = [ranking.top_k(sparse.retrieve_sets(v.topic_weights, v.bow.where(F.pmod("docid", F.lit(3)) == r), 20), 20) for r in range(3)]

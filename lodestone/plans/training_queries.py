@@ -252,30 +252,25 @@ def _(v):
 
 
 # The same operators with the reference's own limits, over runs deep enough to reach them.
-DEEP = {"deep_v": best("(SELECT * FROM scores_v WHERE qid <> docid)", 1000)}
 EXAMPLES_200 = EXAMPLES.replace("run_v", "deep_v").replace("n <= 20", "n <= 200")
 MERGED_DEEP = "SELECT * FROM deep_v UNION ALL SELECT qid, docid, score * 0.5 AS score FROM scores_q s WHERE NOT EXISTS (SELECT 1 FROM deep_v r WHERE r.qid = s.qid AND r.docid = s.docid)"
 
 
-def deep_run(v):
-    return dense.retrieve_blocked(v.query_vectors, v.vectors, 1000, but_self=True)
-
-
-@query("add_qrel_to_rerank_full", EXAMPLES_200, DEEP | {"positives": POSITIVES})
+@query("add_qrel_to_rerank_full", EXAMPLES_200, {"positives": POSITIVES})
 def _(v):
-    return training.add_positives(deep_run(v), positives(v), 200)
+    return training.add_positives(v.deep_run, positives(v), 200)
 
 
-@query("negatives_top200_full", "SELECT qid, rel_docid, count(*) AS n FROM examples WHERE pos > 0 GROUP BY qid, rel_docid", DEEP | {"positives": POSITIVES, "examples": EXAMPLES_200})
+@query("negatives_top200_full", "SELECT qid, rel_docid, count(*) AS n FROM examples WHERE pos > 0 GROUP BY qid, rel_docid", {"positives": POSITIVES, "examples": EXAMPLES_200})
 def _(v):
-    rows = training.add_positives(deep_run(v), positives(v), 200)
+    rows = training.add_positives(v.deep_run, positives(v), 200)
     return rows.where("pos > 0").groupBy("qid", "rel_docid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("add_qrel_to_merged_rerank_full", EXAMPLES_200.replace("deep_v r", "merged r"), DEEP | {"positives": POSITIVES, "merged": MERGED_DEEP})
+@query("add_qrel_to_merged_rerank_full", EXAMPLES_200.replace("deep_v r", "merged r"), {"positives": POSITIVES, "merged": MERGED_DEEP})
 def _(v):
     second = rounded(quantize.search_scores(v.logits, v.codes)).withColumn("score", F.col("score") * 0.5)
-    merged = ranking.merge_first_wins(deep_run(v), second.select("qid", "docid", "score"), ["qid", "docid"])
+    merged = ranking.merge_first_wins(v.deep_run, second.select("qid", "docid", "score"), ["qid", "docid"])
     return training.add_positives(merged, positives(v), 200)
 
 
@@ -294,3 +289,28 @@ STRATA_200 = """SELECT qid, rel_docid, docid, rank FROM (SELECT *, row_number()
 def _(v):
     ranks = sampling.ranked(with_dense(v, same_prefix(v)), ["qid", "rel_docid"])
     return sampling.stratified(ranks, 20, 200, ["qid", "rel_docid"]).select("qid", "rel_docid", "docid", "rank")
+
+
+# the best 200 of a topic's 250 scored documents
+TRAINED = "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS pos, docid, score FROM deep_teacher"
+
+
+@query("make_trainset_full", f"SELECT * FROM ({TRAINED}) WHERE pos <= 200")
+def _(v):
+    teacher = written(v.deep_teacher, "teacher")
+    shards = [teacher.where(F.pmod("docid", F.lit(3)) == r) for r in range(3)]
+    ranked = ranking.with_rank(ranking.merge_max(shards, ["qid", "docid"]))
+    return ranked.where("rank <= 200").select("qid", F.col("rank").alias("pos"), "docid", "score")
+
+
+@query("sort_desc_examples_full", f"SELECT qid, string_agg(CAST(docid AS VARCHAR), ',' ORDER BY pos) AS docids FROM ({TRAINED}) WHERE pos <= 200 GROUP BY qid")
+def _(v):
+    packed = training.examples(ranking.with_rank(v.deep_teacher).where("rank <= 200").withColumnRenamed("rank", "pos"), "qid")
+    return packed.select("qid", F.array_join(F.col("docids").cast("array<string>"), ",").alias("docids"))
+
+
+@query("keep_top100_smtids_full", "SELECT qid, smtid, round(score, 9) AS score FROM (" + best("smtid_scores", 100, tie="smtid") + ")", {"smtid_scores": SMTID_SCORES.replace("run_v", "deep_v")})
+def _(v):
+    teacher = written(v.deep_run.join(v.smtids, "docid"), "teacher")
+    own = teacher.groupBy("qid", "smtid").agg(F.min("score").alias("score"))
+    return training.smtid_examples(teacher, own, 0.5, 100).select("qid", "smtid", F.round("score", 9).alias("score"))

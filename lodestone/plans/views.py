@@ -19,6 +19,8 @@ from ..operators import beam, dense, prefixes, quantize, ranking, sparse
 from ..sources.shared import broadcast_if_small, written
 
 K, TERMS, LEVELS, SIZE, BEAMS = 50, 16, 4, 8, 4
+#: Limits as deep as the survey's, for the queries named ``_full``.
+DEEP_K, DEEP_TEACHER, LONG = 1000, 250, 8
 
 
 class Views:
@@ -89,7 +91,10 @@ class Views:
 
     @cached_property
     def codebook(self) -> DataFrame:
-        rows = self.vectors.where(F.col("docid") < LEVELS * SIZE).withColumn("m", F.floor(F.col("docid") / SIZE).cast("int"))
+        return self.given_codebook(LEVELS)
+
+    def given_codebook(self, levels: int) -> DataFrame:
+        rows = self.vectors.where(F.col("docid") < levels * SIZE).withColumn("m", F.floor(F.col("docid") / SIZE).cast("int"))
         scaled = F.transform("vec", lambda x: x.cast("double") * F.pow(F.lit(0.5), F.col("m")))
         return rows.select("m", (F.col("docid") % SIZE).cast("int").alias("code"), scaled.alias("vec"))
 
@@ -111,6 +116,25 @@ class Views:
         """The prefix tree of all codes, by depth and bucketed by prefix."""
         return prefixes.store(self.stored_codes)
 
+    @cached_property
+    def long_codebook(self) -> DataFrame:
+        return self.given_codebook(LONG)
+
+    @cached_property
+    def long_codes(self) -> DataFrame:
+        return written(quantize.encode(self.vectors, self.long_codebook, LONG), "codes")
+
+    @cached_property
+    def deep_run(self) -> DataFrame:
+        return dense.retrieve_blocked(self.query_vectors, self.vectors, DEEP_K, but_self=True)
+
+    @cached_property
+    def deep_teacher(self) -> DataFrame:
+        """The teacher's scores of each topic's best 250 documents."""
+        weights = sparse.term_weights(self.corpus, "docid", among=self.topic_weights)
+        run = rounded(sparse.retrieve(self.topic_weights, sparse.postings(weights), DEEP_TEACHER))
+        return jaccard(run.select("qid", "docid"), self.topics, self.corpus)
+
     @cached_property
     def logits(self) -> DataFrame:
         return quantize.code_scores(self.query_vectors, self.codebook)
@@ -179,28 +203,43 @@ SQL: dict[str, str] = {
     "scores_v": "SELECT qid, docid, round(list_inner_product(qvec::DOUBLE[], vec::DOUBLE[]), 6) AS score FROM query_vectors, vectors",
     "run_v": best("(SELECT * FROM scores_v WHERE qid <> docid)", K),
     "qrels_v": "SELECT qid, docid, CAST(1 + docid % 3 AS INTEGER) AS rel FROM vectors JOIN query_vectors ON label = qlabel WHERE qid <> docid",
-    "codebook": f"SELECT CAST(docid // {SIZE} AS INTEGER) AS m, CAST(docid % {SIZE} AS INTEGER) AS code, list_transform(vec, lambda x: x::DOUBLE * pow(0.5, docid // {SIZE})) AS vec FROM vectors WHERE docid < {LEVELS * SIZE}",
-    "level_0": "SELECT docid, vec::DOUBLE[] AS rest, []::INTEGER[] AS codes FROM vectors",
-    "logits": "SELECT qid, m, code, list_inner_product(qvec::DOUBLE[], vec) AS part FROM query_vectors, codebook",
     "teacher_pairs": f"SELECT qid, docid FROM ({best('run_a', 20)})",
     "teacher": """SELECT p.qid, p.docid, round(coalesce(i.n, 0) / (q.n + d.n - coalesce(i.n, 0)), 6) AS score FROM teacher_pairs p
         JOIN (SELECT qid, count(*) AS n FROM topic_weights GROUP BY qid) q ON q.qid = p.qid JOIN (SELECT docid, count(*) AS n FROM doc_weights GROUP BY docid) d ON d.docid = p.docid
         LEFT JOIN (SELECT p.qid, p.docid, count(*) AS n FROM teacher_pairs p JOIN topic_weights t ON t.qid = p.qid JOIN doc_weights w ON w.docid = p.docid AND w.term = t.term GROUP BY p.qid, p.docid) i ON i.qid = p.qid AND i.docid = p.docid""",
 }
-for _m in range(LEVELS):
-    SQL[f"near_{_m}"] = f"SELECT docid, rest, codes, code, vec, row_number() OVER (PARTITION BY docid ORDER BY round(list_sum(list_transform(list_zip(rest, vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), code) AS n FROM level_{_m}, codebook WHERE m = {_m}"
-    SQL[f"level_{_m + 1}"] = f"SELECT docid, list_transform(list_zip(rest, vec), lambda z: z[1] - z[2]) AS rest, list_append(codes, code) AS codes FROM near_{_m} WHERE n = 1"
 SQL |= {
-    "doc_codes": f"SELECT docid, codes FROM level_{LEVELS}",
-    "smtids": "SELECT array_to_string(codes, '_') AS smtid, docid FROM doc_codes",
-    "code_pos": "SELECT docid, unnest(codes) AS code, generate_subscripts(codes, 1) - 1 AS m FROM doc_codes",
-    "code_edges": "SELECT docid, array_to_string(codes[1:m], '_') AS prefix, m, code AS next FROM code_pos JOIN doc_codes USING (docid)",
-    "trie": "SELECT DISTINCT prefix, m, next FROM code_edges",
-    "pooled": "SELECT qid, prefix, m, next, max(score) AS mx, min(score) AS mn, avg(score) AS av FROM run_v JOIN code_edges USING (docid) GROUP BY ALL",
-    "scores_q": "SELECT qid, docid, round(sum(part), 6) AS score FROM code_pos JOIN logits USING (m, code) GROUP BY qid, docid",
+    "deep_v": best("(SELECT * FROM scores_v WHERE qid <> docid)", DEEP_K),
+    "deep_pairs": f"SELECT qid, docid FROM ({best('scores_a', DEEP_TEACHER)})",
+    "deep_teacher": SQL["teacher"].replace("teacher_pairs", "deep_pairs"),
+    "bow_64": f"SELECT docid, term FROM ({best('doc_weights', 64, 'docid', 'term', 'weight')})",
 }
 
 
+def _of_codes(levels: int, tag: str) -> dict[str, str]:
+    """Views of codes with so many levels; ``tag`` ends their names."""
+    views = {
+        f"codebook{tag}": f"SELECT CAST(docid // {SIZE} AS INTEGER) AS m, CAST(docid % {SIZE} AS INTEGER) AS code, list_transform(vec, lambda x: x::DOUBLE * pow(0.5, docid // {SIZE})) AS vec FROM vectors WHERE docid < {levels * SIZE}",
+        f"level_0{tag}": "SELECT docid, vec::DOUBLE[] AS rest, []::INTEGER[] AS codes FROM vectors",
+        f"logits{tag}": f"SELECT qid, m, code, list_inner_product(qvec::DOUBLE[], vec) AS part FROM query_vectors, codebook{tag}",
+    }
+    for m in range(levels):
+        views[f"near_{m}{tag}"] = f"SELECT docid, rest, codes, code, vec, row_number() OVER (PARTITION BY docid ORDER BY round(list_sum(list_transform(list_zip(rest, vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), code) AS n FROM level_{m}{tag}, codebook{tag} WHERE m = {m}"
+        views[f"level_{m + 1}{tag}"] = f"SELECT docid, list_transform(list_zip(rest, vec), lambda z: z[1] - z[2]) AS rest, list_append(codes, code) AS codes FROM near_{m}{tag} WHERE n = 1"
+    return views | {
+        f"doc_codes{tag}": f"SELECT docid, codes FROM level_{levels}{tag}",
+        f"smtids{tag}": f"SELECT array_to_string(codes, '_') AS smtid, docid FROM doc_codes{tag}",
+        f"code_pos{tag}": f"SELECT docid, unnest(codes) AS code, generate_subscripts(codes, 1) - 1 AS m FROM doc_codes{tag}",
+        f"code_edges{tag}": f"SELECT docid, array_to_string(codes[1:m], '_') AS prefix, m, code AS next FROM code_pos{tag} JOIN doc_codes{tag} USING (docid)",
+        f"trie{tag}": f"SELECT DISTINCT prefix, m, next FROM code_edges{tag}",
+        f"pooled{tag}": f"SELECT qid, prefix, m, next, max(score) AS mx, min(score) AS mn, avg(score) AS av FROM run_v JOIN code_edges{tag} USING (docid) GROUP BY ALL",
+        f"scores_q{tag}": f"SELECT qid, docid, round(sum(part), 6) AS score FROM code_pos{tag} JOIN logits{tag} USING (m, code) GROUP BY qid, docid",
+    }
+
+
+SQL |= _of_codes(LEVELS, "") | _of_codes(LONG, "_long")
+
+
 def with_views(statement: str, extra: dict[str, str] | None = None) -> str:
     """The statement behind the views that it needs."""
     known = SQL | (extra or {})
@@ -218,24 +257,24 @@ def with_views(statement: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH {ctes}\n{statement}" if ctes else statement
 
 
-def beam_sql(kind: str, beams: int = BEAMS, length: int = LEVELS, tag: str = "") -> dict[str, str]:
-    """Views of a search, the last of them ``found``; ``tag`` ends all their names.
+def beam_sql(kind: str, beams: int = BEAMS, length: int = LEVELS, tag: str = "", of: str = "") -> dict[str, str]:
+    """Views of a search, the last of them ``found``; ``tag`` ends all their names, ``of`` those of the codes.
 
     ``kind`` is constrained, condition, incorporate or guided by a pooled score.
     """
     views = {f"beam_0{tag}": "SELECT qid, '' AS prefix, 0.0::DOUBLE AS score FROM query_vectors"}
     how = {"guided_max": "mx", "guided_min": "mn", "guided_mean": "av"}.get(kind)
     for m in range(length):
-        trie = f"beam_{m}{tag} b JOIN trie t ON t.m = {m} AND t.prefix = b.prefix"
-        source, extra = f"beam_{m}{tag} b JOIN pooled t ON t.qid = b.qid AND t.m = {m} AND t.prefix = b.prefix", f" + t.{how}" if how else ""
+        trie = f"beam_{m}{tag} b JOIN trie{of} t ON t.m = {m} AND t.prefix = b.prefix"
+        source, extra = f"beam_{m}{tag} b JOIN pooled{of} t ON t.qid = b.qid AND t.m = {m} AND t.prefix = b.prefix", f" + t.{how}" if how else ""
         if kind == "constrained":
             source = trie
         elif kind == "incorporate":
-            source = f"{trie} LEFT JOIN pooled p ON p.qid = b.qid AND p.m = {m} AND p.prefix = b.prefix AND p.next = t.next"
+            source = f"{trie} LEFT JOIN pooled{of} p ON p.qid = b.qid AND p.m = {m} AND p.prefix = b.prefix AND p.next = t.next"
             extra = " + greatest(coalesce(p.mx, 0), 0)"
         step = "CASE WHEN b.prefix = '' THEN '' ELSE b.prefix || '_' END || t.next"
         rank = f"row_number() OVER (PARTITION BY b.qid ORDER BY round(b.score + l.part{extra}, 6) DESC, {step})"
-        views[f"step_{m}{tag}"] = f"SELECT b.qid, {step} AS prefix, b.score + l.part AS score, {rank} AS r FROM {source} JOIN logits l ON l.qid = b.qid AND l.m = {m} AND l.code = t.next"
+        views[f"step_{m}{tag}"] = f"SELECT b.qid, {step} AS prefix, b.score + l.part AS score, {rank} AS r FROM {source} JOIN logits{of} l ON l.qid = b.qid AND l.m = {m} AND l.code = t.next"
         views[f"beam_{m + 1}{tag}"] = f"SELECT qid, prefix, score FROM step_{m}{tag} WHERE r <= {beams}"
     views[f"found{tag}"] = f"SELECT qid, prefix AS smtid, score FROM beam_{length}{tag}"
     return views

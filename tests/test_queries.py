@@ -66,3 +66,13 @@ def test_strata_of_groups_beyond_200(spark):
     got = registry.queries()["hard_negative_rerank_full"](spark, "/root/testdata/sf0.1").select(*want.columns).collect()
     assert max(Counter((r["qid"], r["rel_docid"]) for r in got).values()) == 200
     assert rows(map(tuple, got)) == rows(want.fetchall())
+
+
+def test_cuts_of_deep_queries_bind(spark):
+    from pyspark.sql import functions as F
+
+    sf, q = "/root/testdata/sf0.01", registry.queries()
+    most = lambda name: q[name](spark, sf).groupBy("qid").count().agg(F.max("count")).first()[0]
+    assert most("make_trainset_full") == 200  # of 250 scored
+    assert most("keep_top100_smtids_full") == most("most_common_prefixes_full") == 100  # of more than 300 strings
+    assert {100, 1000} <= {r["bucket"] for r in q["rank_bucket_full"](spark, sf).collect()}

@@ -14,9 +14,11 @@ written to the shared folder with their bytes, and rows that come later are
 looked up there, through the directory too. A row in a wrong bucket would not
 meet its copies. Everything is DataFrame work: no Python runs on the executors.
 
-A key that a thousandth of all rows or more have is hot; at most a thousand are.
-Entries of hot keys are counted before they are sent, by key and bytes, and
-their rows stay where they are and look their entry up in a broadcast.
+A key is hot if its rows together are as large as an owner's share, or are a
+thousandth of all rows. Entries of hot keys are counted before they are sent, by
+key and bytes. Their rows find their entry by key and bytes too: in a broadcast
+if all these entries are small, else in parts of an owner's share, each of which
+has a copy of the key's chain.
 
 A null text counts as empty, and empty texts equal each other. A null id is
 smaller than any other. Rows that repeat id and text are rows of the same
@@ -35,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from .common import materialize, table, whole
+from .common import fresh, materialize, table, whole
 
 #: Distinct keys of a bucket: at least the first, and so many that there are about 2 ** 18 buckets at most.
 LEAST_CAPACITY, BUCKET_BITS = 4096, 18
@@ -43,8 +45,10 @@ LEAST_CAPACITY, BUCKET_BITS = 4096, 18
 STEP_BITS = 14
 #: Keys of this share of all rows are hot.
 HOT_KEYS = 1000
-#: Text bytes that an owner has on average at most.
+#: Text bytes that an owner has on average at most, and a key that is not hot.
 OWNER_BYTES = 64 << 20
+#: What a row counts beside its text, and the bound of hot keys in a broadcast, of 16 bytes each.
+ROW_BYTES, HOT_LIST = 64, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -139,10 +143,24 @@ class Directory:
         return self.find(rows).repartitionById(self.owners, F.col("owner"))
 
     def cold(self, rows: DataFrame) -> DataFrame:
-        return rows if self.hot is None else rows.join(F.broadcast(self.hot), "h", "left_anti")  # at most HOT_KEYS keys
+        return rows if self.hot is None else rows.join(self.hot, "h", "left_anti")
 
     def of_hot(self, rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(self.hot), "h", "left_semi")
+        return rows.join(self.hot, "h", "left_semi")
+
+    def find_hot(self, rows: DataFrame, entries: DataFrame, how: str = "inner") -> DataFrame:
+        """Hot ``rows`` with their entries of the same key and bytes.
+
+        A row's part of its key follows from its other columns; rows that differ in none share one.
+        """
+        if (entries.agg(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0) <= OWNER_BYTES:
+            return rows.join(F.broadcast(entries), ["h", "text"], how)
+        part, parts = fresh(rows, "part"), fresh(rows, "parts")
+        hot = self.hot.withColumnRenamed("parts", parts)
+        copies = entries.join(hot, "h").withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
+        others = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns if c != "text"))
+        spread = rows.join(hot, "h").withColumn(part, F.pmod(others, F.col(parts)).cast("int")).drop(parts)
+        return spread.join(copies, ["h", "text", part], how).drop(part)
 
 
 def build_directory(df: DataFrame, text_col: str, capacity: int | None, hash_of: Callable[[Column], Column]) -> Directory:
@@ -151,10 +169,13 @@ def build_directory(df: DataFrame, text_col: str, capacity: int | None, hash_of:
     keys = materialize(keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")), "keys")
     sums = keys.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes")).first()
     rows = sums["rows"] or 0
-    hot = keys.where(F.col("n") >= max(rows / HOT_KEYS, 2)).select("h")
+    size = F.col("bytes") + F.col("n") * ROW_BYTES
+    shared = (F.col("n") >= 2) & ((F.col("n") >= rows / HOT_KEYS) | (size >= OWNER_BYTES))
+    hot = keys.where(shared).select("h", F.ceil(size / OWNER_BYTES).cast("int").alias("parts"))
+    found = hot.count()
     buckets = grow_directory(keys, capacity or max(LEAST_CAPACITY, sums["keys"] >> BUCKET_BITS))
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (sums["bytes"] or 0) // OWNER_BYTES)
-    return Directory(spark, buckets, max(1, min(len(buckets), owners)), rows, None if hot.isEmpty() else hot)
+    return Directory(spark, buckets, max(1, min(len(buckets), owners)), rows, None if not found else F.broadcast(hot) if found <= HOT_LIST else hot)
 
 
 def entry_rows(key: Column) -> WindowSpec:
@@ -195,11 +216,8 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         links = directory.of_hot(rows).groupBy("h", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         links = directory.owned(links).withColumn("chain", chain_place())
         links = materialize(links.select("bucket", "h", "chain", "text", sha256, "keep_id", "group_size"), "index")
-        narrow = links.drop("text")
-        # chains of at most HOT_KEYS keys; a longer list of them is not broadcast
-        narrow = F.broadcast(narrow) if narrow.count() <= 2 * HOT_KEYS else narrow
-        asked = directory.find(directory.of_hot(rows).select("id", "h", sha256)).drop("owner")
-        entries, found = entries.unionByName(links), found.unionByName(asked.join(narrow, ["bucket", "h", "sha256"]))
+        asked = directory.find_hot(directory.of_hot(rows), links).select(found.columns)
+        entries, found = entries.unionByName(links), found.unionByName(asked)
     return Index(entries, found, directory)
 
 
@@ -208,14 +226,13 @@ def look_up(rows: DataFrame, index: Index) -> DataFrame:
 
     They are joined with the chains of their buckets by key and bytes; those of
     no entry have nulls. Rows of hot keys are not sent anywhere if the entries of
-    those are few.
+    those are small.
     """
     directory, on = index.directory, ["bucket", "h", "text"]
     found = directory.find(directory.cold(rows)).drop("owner").join(directory.cold(index.entries), on, "left")
     if directory.hot is not None:
-        known = directory.of_hot(index.entries)
-        known = F.broadcast(known) if known.agg(F.sum(F.octet_length("text"))).first()[0] <= OWNER_BYTES else known
-        found = found.unionByName(directory.find(directory.of_hot(rows)).drop("owner").join(known, on, "left"))
+        hot = directory.find(directory.of_hot(rows)).drop("owner", "bucket")
+        found = found.unionByName(directory.find_hot(hot, directory.of_hot(index.entries), "left"))
     return found.drop("bucket")
 
 

@@ -120,6 +120,30 @@ def test_copies_meet_only_through_the_directory(spark, monkeypatch):
     assert exact_dedup.exact_duplicates(docs_of(spark, rows), capacity=4).where("kept").count() > want
 
 
+@pytest.mark.parametrize("owner_bytes", [300, 1 << 30])
+@pytest.mark.parametrize("hash_of", ["text", "length"])
+def test_hot_keys_are_found_by_bytes(spark, monkeypatch, owner_bytes, hash_of):
+    # half of the bytes are copies of one text, and with the bad hash other texts collide with it
+    rows = [(i, "hot one", "s") for i in range(120)] + [(200 + i, f"cold{i % 50:03d}"[:7], "s") for i in range(120)] + [(None, "hot one", "s"), (500, "", "s"), (501, None, "s"), (7, "hot one", "s")]
+    monkeypatch.setattr(exact_dedup, "OWNER_BYTES", owner_bytes)
+    monkeypatch.setattr(exact_dedup, "HOT_KEYS", 4)
+    hashed = BAD_HASHES["length"] if hash_of == "length" else exact_dedup.text_hash
+    df = docs_of(spark, rows)
+    index = exact_dedup.build_index(df, capacity=4, hash_of=hashed)
+    assert index.directory.hot is not None
+    if owner_bytes == 300:
+        assert index.directory.hot.agg(F.max("parts")).first()[0] > 10  # spread over many parts
+    groups = {}
+    for i, t, _ in rows:
+        groups.setdefault(t or "", []).append(i)
+    got = sorted(map(tuple, exact_dedup.exact_duplicates(df, capacity=4, hash_of=hashed).select("doc_id", "keep_id", "group_size").collect()), key=str)
+    want = sorted(((i, max(g for g in groups[t or ""] if g is not None), len(groups[t or ""])) for i, t, _ in rows), key=str)
+    assert got == want
+    later = spark.createDataFrame([("hot one", 1), ("hot two", 2), ("", 3)], "text string, parts long").withColumn("h", hashed(F.col("text")))
+    found = {r["text"]: (r["keep_id"], r["parts"]) for r in exact_dedup.look_up(later, index).collect()}
+    assert found == {"hot one": (119, 1), "hot two": (None, 2), "": (501, 3)}
+
+
 def test_directory_doubles_until_buckets_fit(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
     buckets = exact_dedup.grow_directory(keys, 100)

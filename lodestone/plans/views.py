@@ -114,7 +114,7 @@ class Views:
     @cached_property
     def tree(self) -> DataFrame:
         """The prefix tree of all codes, by depth and bucketed by prefix."""
-        return prefixes.store(self.stored_codes)
+        return prefixes.store(self.codes, buckets=8)
 
     @cached_property
     def long_codebook(self) -> DataFrame:
@@ -146,7 +146,7 @@ class Views:
     @cached_property
     def lexical(self) -> DataFrame:
         """Candidates of the vector queries with a lexical score."""
-        return self.stored_run
+        return self.run_v
 
     @cached_property
     def teacher(self) -> DataFrame:
@@ -292,4 +292,4 @@ def beams_of(v: Views, kind: str, beams: int | None = BEAMS, length: int = LEVEL
 
 
 def shorter(v: Views, length: int) -> DataFrame:
-    return v.stored_codes.select("docid", C.prefix(F.col("codes"), length).alias("codes"))
+    return v.codes.select("docid", C.prefix(F.col("codes"), length).alias("codes"))

@@ -69,6 +69,8 @@ from .common import broadcast_if_small, fresh, materialize, release, slices, tab
 
 #: Homes that the documents of a coarse region measure, documents of a region that is not split, and pivots of one that is.
 HOMES, LEAF, PIVOTS = 4, 512, 8
+#: Documents of one component that share a shingle of a leaf and join each other; more are a crowd, which does not.
+CROWD = 32
 #: Edges whose nodes' least neighbours, at most two for each, are broadcast.
 EDGES = 200_000
 _LEVEL_RATIO = 1.5
@@ -434,8 +436,44 @@ def split(cells: DataFrame, measure: Measure, depth: int) -> tuple[DataFrame, Da
     return small.unionByName(stay).unionByName(inner), links
 
 
+def meetings(windows: DataFrame, measure: Measure) -> DataFrame:
+    """cell, u, v of rows of ``windows`` that meet in an item of a cell and may be linked.
+
+    Two documents of one component have nothing to find out. Where more than
+    ``CROWD`` documents of a component share an item, these do not join with
+    each other: they meet the documents outside crowds, and crowds of one item
+    meet by pairs of crowds. What is linked with the pivot is one crowd.
+    """
+    keys = ["cell", "item", "crowd"]
+    crowds = materialize(windows.groupBy(keys).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD).select(keys), "crowds")
+
+    def side(rows: DataFrame, n: int) -> DataFrame:
+        return rows.select("cell", "item", *(F.col(c).alias(f"{c}{n}") for c in ("u", "nu", "crowd", "label", "far", "left")))
+
+    def close(met: DataFrame) -> DataFrame:
+        most = measure.window(F.col("nu1") + F.col("nu2"))
+        may = (F.col("crowd1") != F.col("crowd2")) & (F.col("label1") != F.col("label2")) & (F.abs(F.col("far1") - F.col("far2")) <= most)
+        # where they meet first, all that they share is in what is left of both
+        may &= 2 * F.least("left1", "left2") >= F.col("far1") + F.col("far2") - most
+        return met.where(may).select("cell", F.least("u1", "u2").alias("u"), F.greatest("u1", "u2").alias("v"))
+
+    if crowds.isEmpty():
+        found = close(side(windows, 1).join(side(windows, 2), ["cell", "item"]).where("u1 < u2"))
+    else:
+        known = broadcast_if_small(crowds)
+        few, many = windows.join(known, keys, "left_anti"), windows.join(known, keys, "left_semi")
+        found = close(side(few, 1).join(side(few, 2), ["cell", "item"]).where("u1 < u2"))
+        found = found.unionByName(close(side(few, 1).join(side(many, 2), ["cell", "item"])))
+        one, two = (crowds.withColumnRenamed("crowd", f"crowd{n}") for n in (1, 2))
+        both = materialize(one.join(two, ["cell", "item"]).where("crowd1 < crowd2"), "both")
+        met = side(many, 1).join(broadcast_if_small(both), ["cell", "item", "crowd1"]).join(side(many, 2), ["cell", "item", "crowd2"])
+        found = found.unionByName(close(met))
+    # a pair that meets in several cells is compared in one
+    return found.groupBy("u", "v").agg(F.min("cell").alias("cell"))
+
+
 def leaves(cells: DataFrame, measure: Measure) -> DataFrame:
-    """(u, v) of nodes of a cell that may be linked and are of different components so far."""
+    """(a, b): keys of linked sets of a cell that are of different components so far."""
     listed = cells.select("cell", "u", F.explode("items").alias("item"))
     often = listed.groupBy("cell", "item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     ranked = listed.join(often, ["cell", "item"]).groupBy("u", "cell").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
@@ -445,14 +483,21 @@ def leaves(cells: DataFrame, measure: Measure) -> DataFrame:
     first = F.greatest(measure.first(F.col("nu"), F.col("far"), F.col("linked")) - alone, F.lit(0))
     at = F.posexplode(F.slice("items", F.lit(1), first)).alias("pos", "i")
     windows = ranked.select("u", "cell", "nu", "linked", "label", "far", alone.alias("alone"), at)
-    windows = windows.select("u", "cell", "nu", "linked", "label", "far", F.col("i.item").alias("item"), (F.col("far") - F.col("alone") - F.col("pos")).alias("left"))
+    crowd = F.struct("linked", F.when(F.col("linked"), 0).otherwise(F.col("label")).alias("of"))
+    windows = windows.select("u", "cell", "nu", crowd.alias("crowd"), "label", "far", F.col("i.item").alias("item"), (F.col("far") - F.col("alone") - F.col("pos")).alias("left"))
     windows = materialize(windows, "windows")
-    a, b = (windows.select("cell", "item", *(F.col(c).alias(f"{c}{side}") for c in ("u", "nu", "linked", "label", "far", "left"))) for side in (1, 2))
-    most = measure.window(F.col("nu1") + F.col("nu2"))
-    close = (F.col("u1") < F.col("u2")) & (F.col("label1") != F.col("label2")) & ~(F.col("linked1") & F.col("linked2")) & (F.abs(F.col("far1") - F.col("far2")) <= most)
-    # where they meet first, all that they share is in what is left of both
-    close &= 2 * F.least("left1", "left2") >= F.col("far1") + F.col("far2") - most
-    return a.join(b, ["cell", "item"]).where(close).select(F.col("u1").alias("u"), F.col("u2").alias("v")).distinct()
+    pairs = materialize(meetings(windows, measure), "pairs")
+    release(windows)
+    # two sets differ where their deviations from the pivot do
+    one, two = (cells.select("cell", F.col("u").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("ku", "nu", "items"))) for side in "uv")
+    met = pairs.join(one, ["cell", "u"]).join(two, ["cell", "v"])
+    apart = F.size(F.array_except("items_u", "items_v")) + F.size(F.array_except("items_v", "items_u"))
+    met = met.withColumn("total", F.col("nu_u") + F.col("nu_v")).withColumn("apart", apart)
+    inter = (F.col("total") - F.col("apart")) / 2
+    met = met.where(measure.linked(inter, inter + F.col("apart"))).select(F.col("ku_u").alias("a"), F.col("ku_v").alias("b"))
+    found = materialize(met, "links")
+    release(pairs)
+    return found
 
 
 def links(base: DataFrame, df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
@@ -503,9 +548,8 @@ def links(base: DataFrame, df: DataFrame, id_col: str, text_col: str, measure: M
         parts, more = split(todo, measure, depth)
         cells = materialize(parts.unionByName(cells.where("final")), "cells")
         edges = edges.unionByName(more)
-    pairs = materialize(leaves(cells, measure), "pairs")
-    more = materialize(paired(pairs, sets).where(linked).select(F.col("ku").alias("a"), F.col("kv").alias("b")), "links")
-    release(regions, sets, pairs)
+    more = leaves(cells, measure)
+    release(regions, sets)
     return components(edges.unionByName(more))
 
 

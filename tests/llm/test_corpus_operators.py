@@ -302,11 +302,11 @@ def noisy(rng, words, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize(  # bounds are HOMES, LEAF, PIVOTS
-    ("m", "bounds"), [(Measure(3, 9, 10), None), (Measure(5, 4, 5), (0, 2, 2)), (Measure(2, 1, 2), (1, 6, 3))]
+@pytest.mark.parametrize(  # bounds are HOMES, LEAF, PIVOTS, CROWD
+    ("m", "bounds"), [(Measure(3, 9, 10), None), (Measure(5, 4, 5), (0, 2, 2, 0)), (Measure(2, 1, 2), (1, 6, 3, 1))]
 )
 def test_components(spark, m, bounds, monkeypatch):
-    for name, value in zip(("HOMES", "LEAF", "PIVOTS"), bounds or (), strict=False):
+    for name, value in zip(("HOMES", "LEAF", "PIVOTS", "CROWD"), bounds or (), strict=False):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(m.words)
     rows = [(i, t) for i, t, _ in EDGES]
@@ -350,6 +350,46 @@ def test_links_of_sets_just_beyond_a_pivot(spark, m):
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, m)
 
 
+def hub_with_outliers(rng, copies, outliers, words=200):
+    """Copies that vary one or two of ten places, and outliers that vary more of them, up to and past the threshold."""
+    template = [f"t{i}" for i in range(words)]
+    rows = []
+    for i in range(copies + outliers):
+        text = list(template)
+        many = int(rng.integers(1, 3)) if i < copies else int(rng.integers(2, 6))
+        for place in rng.choice(10, many, replace=False):
+            text[place * words // 10] = f"v{place}x{rng.integers(3)}"
+        rows.append((i + 1, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 32])
+def test_hub_of_near_copies_with_outliers(spark, crowd, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    m, rows = Measure(3, 9, 10), hub_with_outliers(np.random.default_rng(crowd), 200, 60)
+    got = jaccard_join.jaccard_components(docs_of(spark, [(i, t, "s") for i, t in rows]), measure=m).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, m)
+
+
+@pytest.mark.parametrize("crowd", [0, 2, 100])
+def test_meetings_of_crowds(spark, crowd, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    m, rng = Measure(3, 9, 10), np.random.default_rng(4)
+    rows = []
+    for u in range(60):
+        label, linked, nu, far = int(rng.integers(4)), bool(rng.integers(4) == 0), int(rng.integers(90, 110)), int(rng.integers(4, 12))
+        for item in rng.choice(12, 3, replace=False).tolist():
+            rows.append((item % 2, u, nu, (linked, 0 if linked else label), label, far, item, int(rng.integers(1, far + 1))))
+    schema = "cell long, u long, nu long, crowd struct<linked: boolean, of: long>, label long, far int, item long, left int"
+    got = jaccard_join.meetings(spark.createDataFrame(rows, schema).repartition(3), m).collect()
+    want = defaultdict(set)
+    for (c1, u1, n1, k1, l1, f1, i1, r1), (c2, u2, n2, k2, l2, f2, i2, r2) in itertools.combinations(rows, 2):
+        most = (n1 + n2) * 1 / 19
+        if (c1, i1) == (c2, i2) and k1 != k2 and l1 != l2 and abs(f1 - f2) <= most and 2 * min(r1, r2) >= f1 + f2 - most:
+            want[min(u1, u2), max(u1, u2)].add(c1)
+    assert len(want) > 50 and {(r["u"], r["v"]): r["cell"] for r in got} == {pair: min(cells) for pair, cells in want.items()}
+
+
 def test_signatures_meet_for_every_linked_pair():
     rng = np.random.default_rng(9)
     for m in (Measure(3, 9, 10), Measure(5, 4, 5), Measure(2, 1, 2)):

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +14,8 @@ from ..functions.scores import dot
 from ..sources.shared import broadcast_if_small, numbered, written
 from .ranking import top_k
 
-#: Queries whose vectors a task holds at a time.
-BLOCK = 1024
+#: Queries of a block, and bytes of queries' vectors that are broadcast.
+BLOCK, SENT = 1024, 64 << 20
 
 
 def all_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -29,15 +29,23 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> Dat
     return asked.join(vectors.select("docid", "vec"), "docid").select("qid", "docid", dot(F.col("qvec"), F.col("vec")).alias("score"))
 
 
-def blocks_of(queries: DataFrame, size: int = BLOCK) -> Iterator[list]:
-    """The queries in blocks of about ``size`` rows, each collected by itself."""
-    count = queries.count()
-    parts = max(1, -(-count // size))
-    if parts > 1:
-        queries = written(queries, "queries")
-    for part in range(parts):
-        rows = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
-        yield rows.orderBy("qid").collect()
+def blocks_of(rows: DataFrame, key: str, vec: str, size: int | None = None) -> DataFrame:
+    """(keys, matrix): the rows of each task in blocks of at most ``size``, else an Arrow batch, ordered by key.
+
+    The matrix has a row of doubles for each key; vectors have one length, and none is null.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, size or max(1, batch.num_rows)):
+                part = pa.Table.from_batches([batch.slice(first, size)]).sort_by(key).combine_chunks()
+                keys, vectors = (c.chunk(0) for c in part.columns)
+                matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                listed = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+                yield pa.RecordBatch.from_arrays([listed, pa.array([matrix.tobytes()], pa.binary())], ["keys", "matrix"])
+
+    return rows.select(key, vec).mapInArrow(pack, f"keys array<{kind}>, matrix binary")
 
 
 def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,33 +55,32 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def retrieve_blocked(queries: DataFrame, vectors: DataFrame, k: int, but_self: bool = False) -> DataFrame:
-    """(qid, docid, score) of each query's best k, by one matrix product for each batch of vectors.
+    """(qid, docid, score) of each query's best k, by one matrix product for each block of queries and of vectors.
 
-    A batch keeps its k best of each query, so the shuffle has k rows of a query
-    and batch. Queries go to the tasks in blocks; each block reads the vectors
-    once. ``but_self`` leaves out the vector that is the query itself.
+    Blocks meet blocks, and of two that meet the k best of each query go on. The
+    blocks of queries are broadcast up to ``SENT`` bytes; beyond, both
+    sides are written and tasks read the blocks that they join. ``but_self``
+    leaves out the vector that is the query itself.
     """
     kind, key = vectors.schema["docid"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
-    found = []
-    for rows in blocks_of(queries):
-        qids = np.array([r["qid"] for r in rows])
-        matrix = np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), -1)
-
-        def best(batches: Iterator[pd.DataFrame], qids: np.ndarray = qids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch) or not len(qids):
-                    continue
-                batch = batch.sort_values("docid", kind="stable")
-                ids = batch["docid"].to_numpy()
-                scores = np.round(np.stack(batch["vec"].to_numpy()).astype(np.float64) @ matrix.T, 6)
+    asked = written(blocks_of(queries, "qid", "qvec", BLOCK), "queries").withColumnsRenamed({"keys": "qids", "matrix": "qrows"})
+    blocks = blocks_of(vectors, "docid", "vec")
+    met = blocks.crossJoin(F.broadcast(asked)) if (asked.agg(F.sum(F.length("qrows"))).first()[0] or 0) <= SENT else written(blocks, "vectors").crossJoin(asked)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, rows, qids, qrows in zip(*batch.columns, strict=True):
+                ids, qids = ids.values, qids.values
+                matrix, wanted = (np.frombuffer(m.as_buffer()).reshape(len(n), -1) for m, n in ((rows, ids), (qrows, qids)))
+                scores = np.round(matrix @ wanted.T, 6)
                 if but_self:
-                    scores[ids[:, None] == qids] = -np.inf
+                    scores[ids.to_numpy(zero_copy_only=False)[:, None] == qids.to_numpy(zero_copy_only=False)] = -np.inf
                 row, column = best_rows(scores, ids, k)
-                out = pd.DataFrame({"qid": qids[column], "docid": ids[row], "score": scores[row, column]})
-                yield out[out["score"] > -np.inf]
+                found = scores[row, column]
+                row, column, found = (x[found > -np.inf] for x in (row, column, found))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(column)), ids.take(pa.array(row)), pa.array(found)], ["qid", "docid", "score"])
 
-        found.append(vectors.select("docid", "vec").mapInPandas(best, f"qid {key}, docid {kind}, score double"))
-    return top_k(reduce(DataFrame.unionByName, found), k)
+    return top_k(met.select("keys", "matrix", "qids", "qrows").mapInArrow(best, f"qid {key}, docid {kind}, score double"), k)
 
 
 def retrieve(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

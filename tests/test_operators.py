@@ -231,10 +231,12 @@ def test_dense_blocks_and_indexes(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "docid long, vec array<double>").repartition(4)
     queries = df.where("docid % 4 = 0").select(F.col("docid").alias("qid"), F.col("vec").alias("qvec"))
     want = {(q, d) for q in range(0, 60, 4) for d in sorted((d for d in range(60) if d != q), key=lambda d: (-x[q] @ x[d], d))[:5]}
-    for size in (1024, 2):
-        monkeypatch.setattr(dense.blocks_of, "__defaults__", (size,))
+    for size, sent in ((1024, 1 << 20), (2, 1 << 20), (2, 0)):
+        monkeypatch.setattr(dense, "BLOCK", size)
+        monkeypatch.setattr(dense, "SENT", sent)
         got = dense.retrieve_blocked(queries, df, 5, but_self=True).collect()
-        assert {(r["qid"], r["docid"]) for r in got} == want
+        assert len(got) == len(want) and {(r["qid"], r["docid"]) for r in got} == want
+        assert dense.retrieve_blocked(queries.limit(0), df, 5).collect() == dense.retrieve_blocked(queries, df.limit(0), 5).collect() == []
     paths = [f"file://{tmp_path}/{r}" for r in range(3)]
     for r, path in enumerate(paths):
         dense.write_index(df.where(F.col("docid") % 3 == r), path)

@@ -32,7 +32,7 @@ def _(v):
 def _(v):
     from ..operators import dense
 
-    return rounded(ranking.drop_self_match(dense.all_pairs(v.query_vectors, v.vectors)))
+    return ranking.drop_self_match(dense.all_pairs(v.query_vectors, v.vectors, digits=True))
 
 
 @query("drop_empty_smtid", "SELECT count(*) FILTER (n > 0) AS kept, count(*) FILTER (n = 0) AS dropped FROM (SELECT g.smtid, count(s.docid) AS n FROM (SELECT i // 512 || '_' || i // 64 % 8 || '_' || i // 8 % 8 || '_' || i % 8 AS smtid FROM range(4096) x(i)) g LEFT JOIN smtids s USING (smtid) GROUP BY g.smtid)")

@@ -128,7 +128,7 @@ def _(v):
 @query("write_perf", f"SELECT 'vectors' AS dataset, 'rr' AS metric, round(avg(rr), 6) AS value FROM (SELECT q.qid, coalesce(1.0 / min(r.n), 0) AS rr FROM (SELECT DISTINCT qid FROM qrels_v) q JOIN (SELECT DISTINCT qid FROM run_v) u USING (qid) LEFT JOIN (SELECT r.qid, r.n FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS n FROM run_v) r JOIN qrels_v USING (qid, docid) WHERE n <= 10) r ON r.qid = q.qid GROUP BY q.qid)")
 def _(v):
     path = scratch(v, "perf")
-    value = metrics.reciprocal_ranks(v.run_v, v.qrels_v, 10).agg(F.round(F.avg("rr"), 6).alias("value"))
+    value = metrics.reciprocal_ranks(v.run_v, v.groups_v, 10).agg(F.round(F.avg("rr"), 6).alias("value"))
     formats.write_table(value.select(F.lit("vectors").alias("dataset"), F.lit("rr").alias("metric"), "value"), path)
     return v.spark.read.parquet(path)
 
